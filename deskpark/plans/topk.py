@@ -1,0 +1,38 @@
+"""Top-k per group that survives a hot group.
+
+``row_number() over (partition by g order by o) <= k`` sends every row of a
+group to one task. When ``k`` is a literal Spark already inserts a partial
+``WindowGroupLimit`` before the shuffle. When ``k`` varies per row (a page
+``offset + limit`` per request) it cannot, so we do it by hand: rank inside
+``(group, salt)`` first, keep the first ``k`` of every salt bucket, and only
+then rank the few survivors per group. A group holding a third of all rows is
+spread over ``buckets`` tasks in the first stage; the second stage sees at most
+``buckets * k`` rows per group.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+DEFAULT_BUCKETS = 64
+
+
+def top_k_per_group(df: DataFrame, group_cols: list[str], order_cols: list[Column], k: Column,
+                    salt_cols: list[str], rank_col: str = "rn",
+                    buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+    """Rows of ``df`` ranked ``1..k`` within ``group_cols`` by ``order_cols``.
+
+    ``order_cols`` must be a total order (end with a unique key) so that the
+    two stages agree with a single global ranking. ``salt_cols`` spread a
+    group over buckets (use the unique key).
+    """
+    salt = F.pmod(F.xxhash64(*salt_cols), F.lit(buckets))
+    w1 = Window.partitionBy(*group_cols, "_salt").orderBy(*order_cols)
+    stage1 = (df.withColumn("_salt", salt)
+                .withColumn("_r1", F.row_number().over(w1))
+                .where(F.col("_r1") <= k))
+    w2 = Window.partitionBy(*group_cols).orderBy(*order_cols)
+    return (stage1.withColumn(rank_col, F.row_number().over(w2))
+                  .where(F.col(rank_col) <= k)
+                  .drop("_salt", "_r1"))
