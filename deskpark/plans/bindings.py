@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 
 from deskpark.operators import hydrate as H
 from deskpark.operators import inbox as I
+from deskpark.operators import tickets as T
 from deskpark.operators import transcripts as TR
 from deskpark.plans.registry import register
 from deskpark.sources.fixtures import TestData
@@ -41,3 +42,52 @@ def ticket_detail(d: TestData) -> DataFrame:
 @register("ticket_cards")
 def ticket_cards(d: TestData) -> DataFrame:
     return H.ticket_cards(d.ticket, d.analista, d.external, d.cliente_servicio, d.servicio)
+
+
+def _cards_of(d: TestData):
+    return lambda t: H.ticket_cards(t, d.analista, d.external, d.cliente_servicio, d.servicio)
+
+
+@register("open_tickets")
+def open_tickets(d: TestData) -> DataFrame:
+    return T.open_tickets(d.ticket, d.owner_req)
+
+
+@register("all_tickets")
+def all_tickets(d: TestData) -> DataFrame:
+    return T.all_tickets(d.ticket, d.owner_req)
+
+
+@register("ticket_lookup_owned")
+def ticket_lookup_owned(d: TestData) -> DataFrame:
+    return T.lookup_owned(d.lookup_req, d.ticket, _cards_of(d))
+
+
+@register("tickets_by_subject")
+def tickets_by_subject(d: TestData) -> DataFrame:
+    return T.tickets_by_subject(d.ticket, d.search_req)
+
+
+@register("subject_digest")
+def subject_digest(d: TestData) -> DataFrame:
+    return T.subject_digest(d.search_req, d.ticket, _cards_of(d))
+
+
+@register("ticket_digest")
+def ticket_digest(d: TestData) -> DataFrame:
+    return T.ticket_digest(d.owner_req, d.ticket, _cards_of(d))
+
+
+@register("recent_tickets")
+def recent_tickets(d: TestData) -> DataFrame:
+    return T.recent_tickets(d.ticket, d.owner_req)
+
+
+@register("urgency_summary")
+def urgency_summary(d: TestData) -> DataFrame:
+    return T.urgency_summary(d.ticket, d.owner_req)
+
+
+@register("sla_due")
+def sla_due(d: TestData) -> DataFrame:
+    return T.sla_due(d.ticket)

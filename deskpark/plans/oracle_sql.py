@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from deskpark.functions import vocab as V
 from deskpark.plans.oracle_views import (
-    ilike_contains, level_from_ui, md5_bigint, py_strip, status_from_ui, with_views,
+    ilike_contains, level_from_ui, md5_bigint, py_strip, sql_lit, status_from_ui, with_views,
 )
 
 ORACLE: dict[str, str] = {}
@@ -91,3 +91,112 @@ def _detail() -> str:
 @q("ticket_cards", "cards")
 def _cards() -> str:
     return "SELECT id_ticket, id_colaborador, estado, card FROM cards"
+
+
+TICKET_COLS = "id_colaborador, id_ticket, asunto, nivel, tipo, estado, created_at"
+OWNED = "(SELECT * FROM ticket WHERE id_colaborador IN (SELECT id_colaborador FROM owner_req))"
+
+
+@q("open_tickets", "ticket", "owner_req")
+def _open() -> str:
+    return f"SELECT {TICKET_COLS} FROM {OWNED} WHERE estado <> 'finalizado'"
+
+
+@q("all_tickets", "ticket", "owner_req")
+def _all() -> str:
+    return f"SELECT {TICKET_COLS} FROM {OWNED}"
+
+
+@q("ticket_lookup_owned", "lookup_req", "ticket", "cards")
+def _lookup() -> str:
+    found, missing = V.REPLY_ONE_FOUND, V.REPLY_ONE_MISSING.split("{id}")
+    return f"""
+    SELECT r.req_id, r.id_ticket, c.card IS NOT NULL AS found,
+           CASE WHEN c.card IS NOT NULL THEN '{found}' || c.card
+                ELSE '{missing[0]}' || CAST(r.id_ticket AS VARCHAR) || '{missing[1]}' END AS reply
+    FROM lookup_req r LEFT JOIN cards c ON c.id_ticket = r.id_ticket AND c.id_colaborador = r.id_colaborador
+    """
+
+
+SUBJECT_HITS = f"""
+    SELECT r.id_colaborador, r.q, t.id_ticket, t.asunto
+    FROM search_req r JOIN ticket t ON t.id_colaborador = r.id_colaborador
+    WHERE {ilike_contains('t.asunto', 'r.q')}"""
+
+
+@q("tickets_by_subject", "search_req", "ticket")
+def _subject() -> str:
+    return SUBJECT_HITS
+
+
+def _parts(keys: str, cards_sql: str, req_sql: str, found: str, empty: str, extra_cols: str = "") -> str:
+    """Reply parts: header row (part -1) + one row per id_ticket // 1000 block."""
+    k = [x.strip() for x in keys.split(",")]
+    on = " AND ".join(f"f.{c} = x.{c}" for c in k)
+    return f"""
+    cards_k AS ({cards_sql}),
+    firsts AS (SELECT {keys}, min(id_ticket) AS f FROM cards_k GROUP BY {keys}),
+    body AS (
+      SELECT {', '.join('x.' + c for c in k)}, CAST(x.id_ticket // 1000 AS BIGINT) AS part,
+             string_agg(CASE WHEN x.id_ticket = f.f THEN chr(10) ELSE chr(10) || chr(10) END || x.card, ''
+                        ORDER BY x.id_ticket) AS text
+      FROM cards_k x JOIN firsts f ON {on}
+      GROUP BY {', '.join('x.' + c for c in k)}, x.id_ticket // 1000),
+    head AS (
+      SELECT {', '.join('x.' + c for c in k)}, CAST(-1 AS BIGINT) AS part,
+             CASE WHEN f.f IS NULL THEN {empty} ELSE {found} END AS text
+      FROM ({req_sql}) x LEFT JOIN firsts f ON {on})
+    SELECT {extra_cols}{keys}, part, text FROM head UNION ALL SELECT {extra_cols}{keys}, part, text FROM body"""
+
+
+@q("subject_digest", "search_req", "ticket", "cards")
+def _subject_digest() -> str:
+    f0, f1 = V.REPLY_SUBJECT_FOUND.split("{q}")
+    e0, e1 = V.REPLY_SUBJECT_EMPTY.split("{q}")
+    cards_sql = f"SELECT h.id_colaborador, h.q, h.id_ticket, c.card FROM ({SUBJECT_HITS}) h " \
+                "JOIN cards c ON c.id_ticket = h.id_ticket"
+    return "WITH " + _parts("id_colaborador, q", cards_sql, "SELECT id_colaborador, q FROM search_req",
+                            f"{sql_lit(f0)} || x.q || {sql_lit(f1)}", f"{sql_lit(e0)} || x.q || {sql_lit(e1)}")
+
+
+@q("ticket_digest", "owner_req", "ticket", "cards")
+def _digest() -> str:
+    out = []
+    for kind, where, found, empty in (("open", "WHERE estado <> 'finalizado'", V.REPLY_OPEN_FOUND,
+                                       V.REPLY_OPEN_EMPTY),
+                                      ("all", "", V.REPLY_ALL_FOUND, V.REPLY_ALL_EMPTY)):
+        cards_sql = f"SELECT c.id_colaborador, c.id_ticket, c.card FROM cards c " \
+                    f"WHERE c.id_ticket IN (SELECT id_ticket FROM {OWNED} {where})"
+        inner = "WITH " + _parts("id_colaborador", cards_sql, "SELECT id_colaborador FROM owner_req",
+                                 f"'{found}'", f"'{empty}'", extra_cols=f"'{kind}' AS kind, ")
+        out.append(f"SELECT * FROM ({inner})")
+    return " UNION ALL ".join(out)
+
+
+@q("recent_tickets", "ticket", "owner_req")
+def _recent() -> str:
+    return f"""
+    SELECT id_colaborador, CAST(rn AS INTEGER) AS rn, id_ticket, asunto, nivel, estado, created_at FROM (
+      SELECT *, row_number() OVER (PARTITION BY id_colaborador
+                                   ORDER BY created_at DESC NULLS LAST, id_ticket DESC) AS rn
+      FROM {OWNED}) WHERE rn <= {V.RECENT_TICKETS}"""
+
+
+@q("urgency_summary", "ticket", "owner_req")
+def _urgency() -> str:
+    return f"""
+    SELECT r.id_colaborador, coalesce(a.n_open, 0) AS n_open, coalesce(a.n_bajo, 0) AS n_bajo,
+           coalesce(a.n_medio, 0) AS n_medio, coalesce(a.n_alto, 0) AS n_alto,
+           coalesce(a.n_critico, 0) AS n_critico
+    FROM owner_req r LEFT JOIN (
+      SELECT id_colaborador, count(*) AS n_open,
+             count(*) FILTER (WHERE nivel = 'bajo') AS n_bajo, count(*) FILTER (WHERE nivel = 'medio') AS n_medio,
+             count(*) FILTER (WHERE nivel = 'alto') AS n_alto, count(*) FILTER (WHERE nivel = 'crítico') AS n_critico
+      FROM {OWNED} WHERE estado <> 'finalizado' GROUP BY id_colaborador) a ON a.id_colaborador = r.id_colaborador"""
+
+
+@q("sla_due", "ticket")
+def _sla() -> str:
+    cases = " ".join(f"WHEN '{lv}' THEN created_at + INTERVAL {d} DAY + INTERVAL {h} HOUR"
+                     for lv, (d, h) in V.SLA_BY_LEVEL.items())
+    return f"SELECT id_ticket, nivel, created_at, CASE nivel {cases} END AS due_at FROM ticket"

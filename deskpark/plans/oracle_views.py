@@ -15,6 +15,11 @@ OFF = "1000000000"
 STRIP = f"'{X.PY_STRIP_PATTERN}'"
 
 
+def sql_lit(s: str) -> str:
+    """A SQL string literal."""
+    return "'" + s.replace("'", "''") + "'"
+
+
 def py_strip(expr: str) -> str:
     return f"regexp_replace({expr}, {STRIP}, '', 'g')"
 
