@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from deskpark.operators import hydrate as H
+from deskpark.operators import identity as ID
 from deskpark.operators import inbox as I
+from deskpark.operators import services as SV
 from deskpark.operators import tickets as T
 from deskpark.operators import transcripts as TR
 from deskpark.plans.registry import register
-from deskpark.sources.fixtures import TestData
+from deskpark.sources.fixtures import DEFAULT_ASSIGNEE, DEFAULT_CLIENT, TestData
 
 
 @register("analyst_inbox")
@@ -91,3 +93,46 @@ def urgency_summary(d: TestData) -> DataFrame:
 @register("sla_due")
 def sla_due(d: TestData) -> DataFrame:
     return T.sla_due(d.ticket)
+
+
+ASSIGNEE_QUERY_NAME = DEFAULT_ASSIGNEE.upper()  # matched in another letter case
+
+
+@register("client_services")
+def client_services(d: TestData) -> DataFrame:
+    return SV.client_services(d.cliente_servicio, d.servicio)
+
+
+@register("service_resolve")
+def service_resolve(d: TestData) -> DataFrame:
+    return SV.service_resolve(d.intake_req, d.cliente_servicio, d.servicio)
+
+
+@register("user_context")
+def user_context(d: TestData) -> DataFrame:
+    return SV.user_context(d.colaborador, d.analista, d.external, d.cliente, d.cliente_servicio, d.servicio)
+
+
+@register("identity_upsert")
+def identity_upsert(d: TestData) -> DataFrame:
+    return ID.identity_upsert(d.external, d.login)
+
+
+@register("identity_duplicates")
+def identity_duplicates(d: TestData) -> DataFrame:
+    return ID.identity_duplicates(d.external)
+
+
+@register("role_collaborator")
+def role_collaborator(d: TestData) -> DataFrame:
+    return ID.role_collaborator(ID.login_personas(d.external, d.login), d.colaborador, d.cliente, DEFAULT_CLIENT)
+
+
+@register("role_analyst")
+def role_analyst(d: TestData) -> DataFrame:
+    return ID.role_analyst(ID.login_personas(d.external, d.login), d.analista)
+
+
+@register("default_assignee")
+def default_assignee(d: TestData) -> DataFrame:
+    return ID.default_assignee(d.external, d.analista, ASSIGNEE_QUERY_NAME)

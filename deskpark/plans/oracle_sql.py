@@ -200,3 +200,99 @@ def _sla() -> str:
     cases = " ".join(f"WHEN '{lv}' THEN created_at + INTERVAL {d} DAY + INTERVAL {h} HOUR"
                      for lv, (d, h) in V.SLA_BY_LEVEL.items())
     return f"SELECT id_ticket, nivel, created_at, CASE nivel {cases} END AS due_at FROM ticket"
+
+
+@q("client_services", "cliente_servicio", "servicio")
+def _client_services() -> str:
+    return """
+    SELECT cs.id_cliente, CAST(s.id_servicio AS VARCHAR) AS id_servicio, s.nombre
+    FROM (SELECT DISTINCT id_cliente, id_servicio FROM cliente_servicio) cs
+    JOIN servicio s ON s.id_servicio = cs.id_servicio"""
+
+
+@q("service_resolve", "intake_req", "cliente_servicio", "servicio")
+def _service_resolve() -> str:
+    return f"""
+    WITH named AS (
+      SELECT cs.id_cliente, s.nombre, min(cs.id_cliente_servicio) AS first_cs
+      FROM cliente_servicio cs JOIN servicio s ON s.id_servicio = cs.id_servicio GROUP BY 1, 2),
+    hits AS (
+      SELECT r.req_id, min(n.first_cs) AS id_cliente_servicio
+      FROM intake_req r JOIN named n ON n.id_cliente = r.id_cliente
+      WHERE {ilike_contains('n.nombre', 'r.nombre_servicio')} GROUP BY 1)
+    SELECT r.req_id, h.id_cliente_servicio FROM intake_req r LEFT JOIN hits h ON h.req_id = r.req_id"""
+
+
+def _context(nombre: str, cliente: str, services: str) -> str:
+    parts = ("\n    CONTEXTO DEL USUARIO ACTUAL:\n    - Nombre del usuario: ", "\n    - Empresa del usuario: ",
+             "\n    - Servicios contratados por la empresa: ", "\n    ")
+    return (f"{sql_lit(parts[0])} || coalesce({nombre}, 'None') || {sql_lit(parts[1])} || "
+            f"coalesce({cliente}, 'None') || {sql_lit(parts[2])} || {services} || {sql_lit(parts[3])}")
+
+
+@q("user_context", "colaborador", "analista", "first_ext", "cliente", "cliente_servicio", "servicio")
+def _user_context() -> str:
+    cli_name = f"CASE WHEN cl.has_cli THEN cl.cli_nombre ELSE {sql_lit(V.UNKNOWN_CLIENT)} END"
+    svc = f"coalesce(nullif(t.services_text, ''), {sql_lit(V.NO_SERVICES)})"
+    return f"""
+    WITH cli AS (SELECT id_cliente, min(nombre) AS cli_nombre, true AS has_cli FROM cliente GROUP BY 1),
+    texts AS (
+      SELECT p.id_cliente, string_agg(s.nombre, ', ' ORDER BY s.id_servicio, s.nombre) AS services_text
+      FROM (SELECT DISTINCT id_cliente, id_servicio FROM cliente_servicio) p
+      JOIN servicio s ON s.id_servicio = p.id_servicio GROUP BY 1)
+    SELECT 'colaborador' AS kind, CAST(c.id_persona AS VARCHAR) AS persona_id,
+           CAST(c.id_colaborador AS VARCHAR) AS colaborador_id, CAST(c.id_cliente AS VARCHAR) AS cliente_id,
+           e.ext_nombre AS nombre, e.ext_correo AS correo, {cli_name} AS cliente_nombre, {svc} AS services_text,
+           {_context('e.ext_nombre', cli_name, svc)} AS context
+    FROM colaborador c LEFT JOIN first_ext e ON e.id_persona = c.id_persona
+    LEFT JOIN cli cl ON cl.id_cliente = c.id_cliente LEFT JOIN texts t ON t.id_cliente = c.id_cliente
+    UNION ALL
+    SELECT 'analista', CAST(a.id_persona AS VARCHAR), {sql_lit(V.ZERO_UUID)}, {sql_lit(V.ZERO_UUID)},
+           e.ext_nombre, e.ext_correo, {sql_lit(V.ANALYST_CLIENT_NAME)}, {sql_lit(V.NO_SERVICES)},
+           {_context('e.ext_nombre', sql_lit(V.ANALYST_CLIENT_NAME), sql_lit(V.NO_SERVICES))}
+    FROM analista a LEFT JOIN first_ext e ON e.id_persona = a.id_persona"""
+
+
+@q("identity_upsert", "upsert")
+def _upsert() -> str:
+    return "SELECT * FROM upsert"
+
+
+@q("identity_duplicates", "external")
+def _dups() -> str:
+    return "SELECT provider, id_provider, count(*) AS n FROM external GROUP BY 1, 2 HAVING count(*) > 1"
+
+
+PERSONAS = "(SELECT DISTINCT id_persona FROM upsert WHERE action IN ('insert', 'update'))"
+
+
+@q("role_collaborator", "upsert", "colaborador", "cliente")
+def _role_collab() -> str:
+    from deskpark.sources.fixtures import DEFAULT_CLIENT
+    client = f"(SELECT min(id_cliente) FROM cliente WHERE nombre = {sql_lit(DEFAULT_CLIENT)})"
+    return f"""
+    WITH existing AS (SELECT id_persona, min(id_colaborador) AS old_id FROM colaborador
+                      WHERE id_cliente = {client} GROUP BY 1)
+    SELECT p.id_persona, CAST({client} AS BIGINT) AS id_cliente,
+           coalesce(e.old_id, {md5_bigint("'colaborador'", 'p.id_persona', client)}) AS id_colaborador,
+           CASE WHEN e.old_id IS NULL THEN 'created' ELSE 'existing' END AS action
+    FROM {PERSONAS} p LEFT JOIN existing e ON e.id_persona = p.id_persona"""
+
+
+@q("role_analyst", "upsert", "analyst_of_person")
+def _role_analyst() -> str:
+    return f"""
+    SELECT p.id_persona, coalesce(a.id_analista, {md5_bigint("'analista'", 'p.id_persona')}) AS id_analista,
+           CAST(coalesce(a.analyst_level, {V.NEW_ANALYST_LEVEL}) AS INTEGER) AS nivel,
+           CASE WHEN a.id_analista IS NULL THEN 'created' ELSE 'existing' END AS action
+    FROM {PERSONAS} p LEFT JOIN analyst_of_person a ON a.id_persona = p.id_persona"""
+
+
+@q("default_assignee", "external", "analista")
+def _default_assignee() -> str:
+    from deskpark.sources.fixtures import DEFAULT_ASSIGNEE
+    name = sql_lit(DEFAULT_ASSIGNEE.upper())
+    return f"""
+    WITH m AS (SELECT id_persona FROM external WHERE nombre ILIKE {name} ORDER BY provider, id_provider LIMIT 1)
+    SELECT {name} AS assignee_name,
+           (SELECT min(id_analista) FROM analista WHERE id_persona = (SELECT id_persona FROM m)) AS id_analista"""

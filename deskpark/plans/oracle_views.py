@@ -210,6 +210,27 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         FROM ticket t
         LEFT JOIN analyst_names n ON n.id_analista = t.id_analista
         LEFT JOIN svc s ON s.id_cliente_servicio = t.id_cliente_servicio"""),
+    "upsert": (("external", "login"), f"""
+        WITH dup AS (SELECT provider, id_provider, count(*) AS _n FROM external GROUP BY 1, 2),
+        ext AS (SELECT e.*, d._n FROM external e JOIN dup d ON d.provider = e.provider
+                                                          AND d.id_provider = e.id_provider),
+        new AS (SELECT 'google' AS provider, id_provider, login_id, correo AS l_correo, nombre AS l_nombre,
+                       hd AS l_hd FROM (
+                  SELECT *, row_number() OVER (PARTITION BY id_provider ORDER BY ts DESC, login_id DESC) AS r
+                  FROM login) WHERE r = 1),
+        j AS (SELECT coalesce(ext.provider, new.provider) AS provider,
+                     coalesce(ext.id_provider, new.id_provider) AS id_provider,
+                     ext.id_persona, ext.correo, ext.nombre, ext.hd, ext._n, new.login_id, new.l_correo,
+                     new.l_nombre, new.l_hd, ext.provider IS NOT NULL AS has_ext
+              FROM ext FULL OUTER JOIN new ON ext.provider = new.provider AND ext.id_provider = new.id_provider),
+        k AS (SELECT *, CASE WHEN NOT has_ext THEN 'insert' WHEN login_id IS NULL THEN 'keep'
+                             WHEN _n > 1 THEN 'duplicate' ELSE 'update' END AS action FROM j)
+        SELECT coalesce(id_persona, {md5_bigint('provider', 'id_provider')}) AS id_persona, provider, id_provider,
+               CASE WHEN action IN ('insert', 'update') THEN l_correo ELSE correo END AS correo,
+               CASE WHEN action IN ('insert', 'update') THEN l_nombre ELSE nombre END AS nombre,
+               CASE WHEN action IN ('insert', 'update') THEN l_hd ELSE hd END AS hd,
+               action, login_id
+        FROM k"""),
 }
 
 
