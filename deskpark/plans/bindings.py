@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from deskpark.operators import commands as CM
+from deskpark.operators import escalation as ES
 from deskpark.operators import hydrate as H
 from deskpark.operators import identity as ID
 from deskpark.operators import inbox as I
+from deskpark.operators import intake as IN
 from deskpark.operators import services as SV
 from deskpark.operators import tickets as T
 from deskpark.operators import transcripts as TR
@@ -136,3 +139,58 @@ def role_analyst(d: TestData) -> DataFrame:
 @register("default_assignee")
 def default_assignee(d: TestData) -> DataFrame:
     return ID.default_assignee(d.external, d.analista, ASSIGNEE_QUERY_NAME)
+
+
+@register("normalize_status")
+def normalize_status(d: TestData) -> DataFrame:
+    return CM.normalize_status(d.status_cmd)
+
+
+@register("normalize_level")
+def normalize_level(d: TestData) -> DataFrame:
+    return CM.normalize_level(d.status_cmd)
+
+
+@register("status_validate")
+def status_validate(d: TestData) -> DataFrame:
+    return CM.status_validate(d.status_cmd, d.analista, d.ticket)
+
+
+@register("status_apply")
+def status_apply(d: TestData) -> DataFrame:
+    return CM.status_apply(d.ticket, CM.status_validate(d.status_cmd, d.analista, d.ticket))
+
+
+@register("escalation_candidates")
+def escalation_candidates(d: TestData) -> DataFrame:
+    return ES.escalation_candidates(d.escalation_cmd, d.analista)
+
+
+@register("escalation_validate")
+def escalation_validate(d: TestData) -> DataFrame:
+    return ES.escalation_validate(d.escalation_cmd, d.analista, d.ticket)
+
+
+@register("escalation_apply")
+def escalation_apply(d: TestData) -> DataFrame:
+    return ES.escalation_apply(d.ticket, ES.escalation_validate(d.escalation_cmd, d.analista, d.ticket))
+
+
+@register("escalation_log")
+def escalation_log(d: TestData) -> DataFrame:
+    return ES.escalation_log(d.escalado, ES.escalation_validate(d.escalation_cmd, d.analista, d.ticket))
+
+
+def _intake(d: TestData) -> DataFrame:
+    return IN.ticket_intake(d.intake_req, d.ticket, d.cliente_servicio, d.servicio, d.external, d.analista,
+                            ASSIGNEE_QUERY_NAME)
+
+
+@register("ticket_intake")
+def ticket_intake(d: TestData) -> DataFrame:
+    return _intake(d)
+
+
+@register("ticket_receipts")
+def ticket_receipts(d: TestData) -> DataFrame:
+    return IN.ticket_receipts(_intake(d))

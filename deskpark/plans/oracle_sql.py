@@ -296,3 +296,115 @@ def _default_assignee() -> str:
     WITH m AS (SELECT id_persona FROM external WHERE nombre ILIKE {name} ORDER BY provider, id_provider LIMIT 1)
     SELECT {name} AS assignee_name,
            (SELECT min(id_analista) FROM analista WHERE id_persona = (SELECT id_persona FROM m)) AS id_analista"""
+
+
+@q("normalize_status", "status_cmd")
+def _norm_status() -> str:
+    return f"SELECT cmd_id, status, {status_from_ui('status')} AS db_status FROM status_cmd"
+
+
+@q("normalize_level", "status_cmd")
+def _norm_level() -> str:
+    return f"SELECT cmd_id, level, {level_from_ui('level')} AS db_level FROM status_cmd"
+
+
+@q("status_validate", "status_valid")
+def _status_validate() -> str:
+    return "SELECT * FROM status_valid"
+
+
+@q("status_apply", "ticket", "status_valid")
+def _status_apply() -> str:
+    last = "ORDER BY ts DESC, cmd_id DESC"
+    return f"""
+    WITH fold AS (
+      SELECT id_ticket, first(db_status {last}) AS n_estado, max(ts) AS n_updated_at,
+             max(ts) FILTER (WHERE db_status = 'finalizado') AS n_closed_at,
+             first(substr(description, 1, {V.DIAGNOSIS_MAX_CHARS}) {last})
+               FILTER (WHERE db_status = 'finalizado' AND description IS NOT NULL AND description <> '')
+               AS n_diagnostico,
+             first(db_level {last}) FILTER (WHERE level_code = 200) AS n_nivel
+      FROM status_valid WHERE status_code = 200 GROUP BY id_ticket)
+    SELECT t.id_ticket, t.id_colaborador, t.id_cliente_servicio, t.id_analista, t.asunto, t.tipo,
+           coalesce(f.n_nivel, t.nivel) AS nivel,
+           CASE WHEN f.n_estado IS NOT NULL THEN f.n_estado ELSE t.estado END AS estado,
+           coalesce(f.n_diagnostico, t.diagnostico) AS diagnostico, t.created_at,
+           CASE WHEN f.n_estado IS NOT NULL THEN f.n_updated_at ELSE t.updated_at END AS updated_at,
+           coalesce(f.n_closed_at, t.closed_at) AS closed_at
+    FROM ticket t LEFT JOIN fold f ON f.id_ticket = t.id_ticket"""
+
+
+@q("escalation_candidates", "escalation_cmd", "analyst_of_person", "esc_off", "esc_pos")
+def _esc_candidates() -> str:
+    return f"""
+    SELECT c.cmd_id, a.id_analista AS issuer, a.analyst_level AS issuer_level,
+           CAST(coalesce(o.n_above, 0) AS BIGINT) AS n_candidates, p.id_analista AS id_candidate
+    FROM escalation_cmd c JOIN analyst_of_person a ON a.id_persona = c.id_persona
+    LEFT JOIN esc_off o ON o.nivel = a.analyst_level
+    LEFT JOIN esc_pos p ON o.n_above > 0 AND p.pos = {md5_bigint('7', 'c.cmd_id')} % nullif(o.n_above, 0)"""
+
+
+@q("escalation_validate", "esc_valid")
+def _esc_validate() -> str:
+    return "SELECT * FROM esc_valid"
+
+
+@q("escalation_apply", "ticket", "esc_valid")
+def _esc_apply() -> str:
+    return """
+    WITH last AS (SELECT id_ticket, first(id_analista_derivado ORDER BY ts DESC, cmd_id DESC) AS n_analista
+                  FROM esc_valid WHERE code = 200 GROUP BY 1)
+    SELECT t.id_ticket, t.id_colaborador, t.id_cliente_servicio, coalesce(l.n_analista, t.id_analista) AS id_analista,
+           t.asunto, t.tipo, t.nivel, t.estado, t.diagnostico, t.created_at, t.updated_at, t.closed_at
+    FROM ticket t LEFT JOIN last l ON l.id_ticket = t.id_ticket"""
+
+
+@q("escalation_log", "escalado", "esc_valid")
+def _esc_log() -> str:
+    return """
+    SELECT CAST((SELECT coalesce(max(id_escalado), 0) FROM escalado)
+                + row_number() OVER (ORDER BY ts, cmd_id) AS BIGINT) AS id_escalado,
+           id_ticket, id_analista_solicitante, id_analista_derivado, motivo, cmd_id
+    FROM esc_valid WHERE code = 200"""
+
+
+def _intake_sql() -> str:
+    from deskpark.sources.fixtures import DEFAULT_ASSIGNEE
+    name = sql_lit(DEFAULT_ASSIGNEE.upper())
+    types = ", ".join(sql_lit(x) for x in V.TICKET_TYPES)
+    levels = ", ".join(sql_lit(x) for x in V.TICKET_LEVELS)
+    return f"""
+    WITH r AS (
+      SELECT r.*, h.id_cliente_servicio,
+             CASE WHEN r.tipo IS NULL OR r.nivel IS NULL OR NOT (r.tipo IN ({types}) AND r.nivel IN ({levels}))
+                  THEN 'invalid' WHEN h.id_cliente_servicio IS NULL THEN 'rejected' ELSE 'created' END AS outcome
+      FROM intake_req r LEFT JOIN service_hits h ON h.req_id = r.req_id),
+    ids AS (SELECT req_id, CAST((SELECT coalesce(max(id_ticket), 0) FROM ticket)
+                                + row_number() OVER (ORDER BY ts, req_id) AS BIGINT) AS id_ticket
+            FROM r WHERE outcome = 'created'),
+    m AS (SELECT id_persona FROM external WHERE nombre ILIKE {name} ORDER BY provider, id_provider LIMIT 1),
+    da AS (SELECT min(id_analista) AS id_analista FROM analista WHERE id_persona = (SELECT id_persona FROM m))
+    SELECT r.req_id, r.outcome, i.id_ticket, r.id_colaborador,
+           CASE WHEN r.outcome = 'created' THEN r.id_cliente_servicio END AS id_cliente_servicio,
+           CASE WHEN r.outcome = 'created' THEN (SELECT id_analista FROM da) END AS id_analista,
+           r.asunto, r.tipo, r.nivel, CASE WHEN r.outcome = 'created' THEN {sql_lit(V.STATUS_NEW)} END AS estado,
+           CASE WHEN r.outcome = 'created' THEN r.ts END AS created_at
+    FROM r LEFT JOIN ids i ON i.req_id = r.req_id"""
+
+
+@q("ticket_intake", "intake_req", "service_hits", "ticket", "external", "analista")
+def _intake() -> str:
+    return _intake_sql()
+
+
+@q("ticket_receipts", "intake_req", "service_hits", "ticket", "external", "analista")
+def _receipts() -> str:
+    ok0, ok1 = V.RECEIPT_OK.split("{id}")
+    ok1a, ok1b = ok1.split("{ts}")
+    return f"""
+    WITH intake AS ({_intake_sql()})
+    SELECT req_id, outcome,
+           CASE WHEN outcome = 'created' THEN {sql_lit(ok0)} || CAST(id_ticket AS VARCHAR) || {sql_lit(ok1a)}
+                     || strftime(created_at, '%d/%m/%Y %H:%M:%S') || {sql_lit(ok1b)}
+                WHEN outcome = 'rejected' THEN {sql_lit(V.RECEIPT_FAIL)} END AS reply
+    FROM intake"""

@@ -231,6 +231,71 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                CASE WHEN action IN ('insert', 'update') THEN l_hd ELSE hd END AS hd,
                action, login_id
         FROM k"""),
+    "status_valid": (("status_cmd", "analyst_of_person", "ticket"), f"""
+        WITH j AS (
+          SELECT c.*, a.id_analista, t.id_analista AS assignee, t.id_ticket IS NOT NULL AS has_t,
+                 {status_from_ui('c.status')} AS db_status, {level_from_ui('c.level')} AS db_level
+          FROM status_cmd c LEFT JOIN analyst_of_person a ON a.id_persona = c.id_persona
+          LEFT JOIN ticket t ON t.id_ticket = c.id_ticket),
+        k AS (SELECT *, CASE WHEN id_analista IS NULL THEN 403 WHEN NOT has_t THEN 404
+                             WHEN assignee IS DISTINCT FROM id_analista THEN 403
+                             WHEN db_status IS NULL THEN 400 ELSE 200 END AS status_code FROM j)
+        SELECT cmd_id, ts, id_ticket, id_analista, status_code,
+               CASE WHEN status_code <> 200 THEN NULL WHEN level IS NULL OR level = '' THEN NULL
+                    WHEN db_level IS NULL THEN 400 ELSE 200 END AS level_code,
+               db_status, db_level, description
+        FROM k"""),
+    "esc_off": (("analista",), """
+        SELECT nivel, n_level,
+               CAST(coalesce(sum(n_level) OVER (ORDER BY nivel DESC ROWS BETWEEN UNBOUNDED PRECEDING
+                                                AND 1 PRECEDING), 0) AS BIGINT) AS n_above
+        FROM (SELECT nivel, count(*) AS n_level FROM analista GROUP BY 1)"""),
+    "esc_pos": (("analista", "esc_off"), """
+        SELECT a.id_analista,
+               CAST(o.n_above + row_number() OVER (PARTITION BY a.nivel ORDER BY a.id_analista) - 1 AS BIGINT) AS pos
+        FROM analista a JOIN esc_off o ON o.nivel = a.nivel"""),
+    "esc_valid": (("escalation_cmd", "analyst_of_person", "ticket", "esc_off", "esc_pos"), f"""
+        WITH j AS (
+          SELECT c.*, a.id_analista AS issuer, a.analyst_level AS issuer_level, t.id_analista AS a0,
+                 t.id_ticket IS NOT NULL AS has_t
+          FROM escalation_cmd c LEFT JOIN analyst_of_person a ON a.id_persona = c.id_persona
+          LEFT JOIN ticket t ON t.id_ticket = c.id_ticket),
+        k AS (SELECT *, CASE WHEN motivo IS NULL OR length(motivo) < 10 THEN 422 WHEN issuer IS NULL THEN 403
+                             WHEN issuer_level >= 3 THEN 403 WHEN NOT has_t THEN 404 END AS static_code FROM j),
+        ok AS (
+          SELECT k.cmd_id, k.ts, k.id_ticket, k.issuer, k.a0, p.id_analista AS cand
+          FROM k LEFT JOIN esc_off o ON o.nivel = k.issuer_level
+          LEFT JOIN esc_pos p ON o.n_above > 0 AND p.pos = {md5_bigint('7', 'k.cmd_id')} % nullif(o.n_above, 0)
+          WHERE k.static_code IS NULL),
+        r1 AS (
+          SELECT id_ticket, ts AS t1, cmd_id AS c1, cand AS a1 FROM (
+            SELECT *, row_number() OVER (PARTITION BY id_ticket ORDER BY ts, cmd_id) AS r
+            FROM ok WHERE issuer = a0 AND cand IS NOT NULL) WHERE r = 1),
+        r2 AS (
+          SELECT id_ticket, ts AS t2, cmd_id AS c2, cand AS a2 FROM (
+            SELECT ok.*, row_number() OVER (PARTITION BY ok.id_ticket ORDER BY ok.ts, ok.cmd_id) AS r
+            FROM ok JOIN r1 ON r1.id_ticket = ok.id_ticket
+            WHERE (ok.ts > r1.t1 OR (ok.ts = r1.t1 AND ok.cmd_id > r1.c1)) AND ok.issuer = r1.a1
+              AND ok.cand IS NOT NULL) WHERE r = 1),
+        judged AS (
+          SELECT ok.cmd_id, ok.cand, ok.issuer,
+                 CASE WHEN r2.t2 IS NOT NULL AND (r2.t2 < ok.ts OR (r2.t2 = ok.ts AND r2.c2 < ok.cmd_id)) THEN r2.a2
+                      WHEN r1.t1 IS NOT NULL AND (r1.t1 < ok.ts OR (r1.t1 = ok.ts AND r1.c1 < ok.cmd_id)) THEN r1.a1
+                      ELSE ok.a0 END AS assignee_then
+          FROM ok LEFT JOIN r1 ON r1.id_ticket = ok.id_ticket LEFT JOIN r2 ON r2.id_ticket = ok.id_ticket),
+        dyn AS (SELECT cmd_id, cand, CASE WHEN issuer IS DISTINCT FROM assignee_then THEN 403
+                                          WHEN cand IS NULL THEN 409 ELSE 200 END AS dyn_code FROM judged)
+        SELECT k.cmd_id, k.ts, k.id_ticket, coalesce(k.static_code, d.dyn_code) AS code,
+               k.issuer AS id_analista_solicitante,
+               CASE WHEN coalesce(k.static_code, d.dyn_code) = 200 THEN d.cand END AS id_analista_derivado, k.motivo
+        FROM k LEFT JOIN dyn d ON d.cmd_id = k.cmd_id"""),
+    "service_hits": (("intake_req", "cliente_servicio", "servicio"), f"""
+        WITH named AS (
+          SELECT cs.id_cliente, s.nombre, min(cs.id_cliente_servicio) AS first_cs
+          FROM cliente_servicio cs JOIN servicio s ON s.id_servicio = cs.id_servicio GROUP BY 1, 2)
+        SELECT r.req_id, min(n.first_cs) AS id_cliente_servicio
+        FROM intake_req r JOIN named n ON n.id_cliente = r.id_cliente
+        WHERE {ilike_contains('n.nombre', 'r.nombre_servicio')} GROUP BY 1"""),
 }
 
 
