@@ -10,9 +10,11 @@ from deskpark.operators import hydrate as H
 from deskpark.operators import identity as ID
 from deskpark.operators import inbox as I
 from deskpark.operators import intake as IN
+from deskpark.operators import retrieval as RT
 from deskpark.operators import services as SV
 from deskpark.operators import tickets as T
 from deskpark.operators import transcripts as TR
+from deskpark.operators import triage as TG
 from deskpark.plans.registry import register
 from deskpark.sources.fixtures import DEFAULT_ASSIGNEE, DEFAULT_CLIENT, TestData
 
@@ -194,3 +196,28 @@ def ticket_intake(d: TestData) -> DataFrame:
 @register("ticket_receipts")
 def ticket_receipts(d: TestData) -> DataFrame:
     return IN.ticket_receipts(_intake(d))
+
+
+@register("kb_topk")
+def kb_topk(d: TestData) -> DataFrame:
+    return RT.kb_topk(d.kb_document, d.kb_question)
+
+
+@register("kb_context")
+def kb_context(d: TestData) -> DataFrame:
+    return RT.kb_context(d.kb_document, d.kb_question)
+
+
+@register("kb_unanswered")
+def kb_unanswered(d: TestData) -> DataFrame:
+    return RT.kb_unanswered(d.kb_document, d.kb_question)
+
+
+@register("triage_type")
+def triage_type(d: TestData) -> DataFrame:
+    return TG.triage_type(d.mensaje)
+
+
+@register("triage_urgency")
+def triage_urgency(d: TestData) -> DataFrame:
+    return TG.triage_urgency(d.mensaje)

@@ -408,3 +408,81 @@ def _receipts() -> str:
                      || strftime(created_at, '%d/%m/%Y %H:%M:%S') || {sql_lit(ok1b)}
                 WHEN outcome = 'rejected' THEN {sql_lit(V.RECEIPT_FAIL)} END AS reply
     FROM intake"""
+
+
+def _tokens(expr: str) -> str:
+    from deskpark.operators.retrieval import TOKEN_SPLIT
+    return f"list_filter(string_split_regex(lower({expr}), '{TOKEN_SPLIT}'), lambda x: x <> '')"
+
+
+def _bm25_sql(k: int) -> str:
+    from deskpark.operators.retrieval import B, K1
+    return f"""
+    dt AS (SELECT doc_id, {_tokens('text')} AS toks FROM kb_document),
+    stats AS (SELECT doc_id, len(toks) AS dl FROM dt),
+    corpus AS (SELECT (SELECT count(*) FROM kb_document) AS n_docs, avg(dl) AS avgdl FROM stats),
+    qt AS (SELECT DISTINCT conv_id, unnest({_tokens('q')}) AS term FROM kb_question),
+    postings AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(toks) AS term FROM dt)
+                 WHERE term IN (SELECT term FROM qt) GROUP BY 1, 2),
+    dfs AS (SELECT term, count(*) AS df FROM postings GROUP BY 1),
+    contrib AS (
+      SELECT q.conv_id, p.doc_id,
+             ln(1 + (c.n_docs - d.df + 0.5) / (d.df + 0.5)) * p.tf * {K1 + 1}
+               / (p.tf + {K1} * ({1 - B} + {B} * s.dl / c.avgdl)) AS w
+      FROM qt q JOIN postings p ON p.term = q.term JOIN dfs d ON d.term = q.term
+      JOIN stats s ON s.doc_id = p.doc_id, corpus c),
+    scores AS (SELECT conv_id, doc_id, round(sum(w), 6) AS score FROM contrib GROUP BY 1, 2),
+    topk AS (SELECT conv_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+               SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, doc_id) AS rank FROM scores)
+             WHERE rank <= {k})"""
+
+
+@q("kb_topk", "kb_document", "kb_question")
+def _kb_topk() -> str:
+    return f"WITH {_bm25_sql(V.KB_TOP_K)} SELECT * FROM topk"
+
+
+@q("kb_context", "kb_document", "kb_question")
+def _kb_context() -> str:
+    return f"""WITH {_bm25_sql(V.KB_TOP_K)},
+    ctx AS (SELECT t.conv_id, count(*) AS n_docs,
+                   string_agg(d.text, {sql_lit(V.KB_DOC_SEPARATOR)} ORDER BY t.rank) AS context
+            FROM topk t JOIN kb_document d ON d.doc_id = t.doc_id GROUP BY 1)
+    SELECT q.conv_id, coalesce(c.n_docs, 0) AS n_docs, coalesce(c.context, '') AS context
+    FROM kb_question q LEFT JOIN ctx c ON c.conv_id = q.conv_id"""
+
+
+@q("kb_unanswered", "kb_document", "kb_question")
+def _kb_unanswered() -> str:
+    return f"""
+    WITH qt AS (SELECT DISTINCT conv_id, unnest({_tokens('q')}) AS term FROM kb_question),
+    used AS (SELECT DISTINCT term FROM (SELECT unnest({_tokens('text')}) AS term FROM kb_document)
+             WHERE term IN (SELECT term FROM qt))
+    SELECT conv_id, q FROM kb_question
+    WHERE conv_id NOT IN (SELECT conv_id FROM qt WHERE term IN (SELECT term FROM used))"""
+
+
+def _triage_sql(table: dict, label_col: str, pick: str, default: str) -> str:
+    rows = ", ".join(f"({sql_lit(label)}, {rank}, {sql_lit(kw)})"
+                     for rank, (label, kws) in enumerate(table.items()) for kw in kws)
+    return f"""
+    WITH rules(label, rank, term) AS (VALUES {rows}),
+    words AS (SELECT id_ticket, unnest({_tokens('content')}) AS term FROM mensaje WHERE role = 'user'),
+    hits AS (SELECT w.id_ticket, r.label, r.rank, count(*) AS hits FROM words w JOIN rules r ON r.term = w.term
+             GROUP BY 1, 2, 3),
+    best AS (SELECT id_ticket, label, hits FROM (
+               SELECT *, row_number() OVER (PARTITION BY id_ticket ORDER BY {pick}) AS r FROM hits) WHERE r = 1)
+    SELECT t.id_ticket, coalesce(b.label, {sql_lit(default)}) AS {label_col}, coalesce(b.hits, 0) AS hits
+    FROM (SELECT DISTINCT id_ticket FROM mensaje) t LEFT JOIN best b ON b.id_ticket = t.id_ticket"""
+
+
+@q("triage_type", "mensaje")
+def _triage_type() -> str:
+    from deskpark.operators.triage import TYPE_DEFAULT, TYPE_KEYWORDS
+    return _triage_sql(TYPE_KEYWORDS, "tipo", "hits DESC, rank", TYPE_DEFAULT)
+
+
+@q("triage_urgency", "mensaje")
+def _triage_urgency() -> str:
+    from deskpark.operators.triage import LEVEL_DEFAULT, LEVEL_KEYWORDS
+    return _triage_sql(LEVEL_KEYWORDS, "nivel", "rank", LEVEL_DEFAULT)
