@@ -1,0 +1,20 @@
+"""Spread CPU-heavy row work over the cluster when the scan is too narrow.
+
+A table stored as one large file with one row group is read by one task.
+Before expensive per-row expressions (regex tokenizing of long texts) we
+round-robin such input over ``spark.sql.shuffle.partitions`` partitions. On
+a table that already has enough partitions (the normal case on a cluster)
+this is a no-op and adds no shuffle. Only the partition count of the plan is
+inspected: no job runs.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    want = min_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want)
