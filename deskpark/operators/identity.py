@@ -19,7 +19,13 @@ KEY = ["provider", "id_provider"]
 
 
 def latest_login(login: DataFrame) -> DataFrame:
-    """Latest login per (provider, id_provider) by (ts, login_id)."""
+    """Latest login per (provider, id_provider) by (ts, login_id).
+
+    When the feed carries the token issuer (``iss``), logins from issuers
+    other than the accepted ones are dropped first (F25).
+    """
+    if "iss" in login.columns:
+        login = login.where(F.col("iss").isin(*V.ACCEPTED_ISSUERS))
     m = F.max_by(F.struct("login_id", "correo", "nombre", "hd"), F.struct("ts", "login_id")).alias("m")
     return (login.withColumn("provider", F.lit(V.PROVIDER)).groupBy(*KEY).agg(m)
             .select(*KEY, "m.login_id", "m.correo", "m.nombre", "m.hd"))

@@ -326,3 +326,13 @@ def test_digest_parts_reassemble(spark, dims):
     assert reply("all", 1) == "He encontrado los siguientes tickets:\n" + "\n\n".join(card[i] for i in (3, 5, 1500))
     assert reply("open", 2) == "Usted no tiene tickets abiertos actualmente."
     assert reply("all", 3) == "Usted no tiene tickets actualmente."
+
+
+def test_login_issuer_filter(spark):
+    ext = df(spark, S.EXTERNAL, [(1, "google", "k1", "a@x", "A", None)])
+    login = spark.createDataFrame(
+        [(10, D(2024, 1, 1), "k1", "ok@x", "A2", None, "accounts.google.com"),
+         (11, D(2024, 1, 2), "k1", "bad@x", "A3", None, "evil.example")],
+        "login_id bigint, ts timestamp_ntz, id_provider string, correo string, nombre string, hd string, iss string")
+    r = ID.identity_upsert(ext, login).collect()[0]
+    assert (r.action, r.correo) == ("update", "ok@x")
