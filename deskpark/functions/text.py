@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deskpark.functions import vocab
@@ -53,6 +53,34 @@ def ilike_contains(text: Column | str, q: Column | str) -> Column:
     return F.ilike(col_(text), contains_pattern(q), F.lit("\\"))
 
 
+def uuid_or_null(c: Column | str) -> Column:
+    """Canonical lower-case UUID text, or NULL when it does not parse.
+
+    Python's ``uuid.UUID(x)`` drops ``urn:`` / ``uuid:``, strips braces and
+    removes every hyphen, then needs 32 hex digits. A malformed id then
+    matches nothing instead of failing the job. (``int()``'s tolerance of
+    ``0x``, ``_`` and blanks inside those 32 characters is not copied.)
+    """
+    h = F.regexp_replace(col_(c), r"urn:|uuid:", "")
+    h = F.regexp_replace(F.regexp_replace(h, r"^[{}]+|[{}]+$", ""), "-", "")
+    lower = F.lower(h)
+    canonical = F.concat_ws("-", F.substring(lower, 1, 8), F.substring(lower, 9, 4), F.substring(lower, 13, 4),
+                            F.substring(lower, 17, 4), F.substring(lower, 21, 12))
+    return F.when(h.rlike(r"^[0-9a-fA-F]{32}$"), canonical)
+
+
+def guard_ids(df: DataFrame, *cols: str) -> DataFrame:
+    """Apply ``uuid_or_null`` to string id columns of a request table.
+
+    Integer ids (as in the generated test data) pass unchanged.
+    """
+    types = dict(df.dtypes)
+    for c in cols:
+        if types.get(c) == "string":
+            df = df.withColumn(c, uuid_or_null(c))
+    return df
+
+
 def ddmmyyyy(ts: Column | str) -> Column:
     """``strftime('%d/%m/%Y')``; NULL stays NULL."""
     return F.date_format(col_(ts), "dd/MM/yyyy")

@@ -40,7 +40,7 @@ def status_validate(cmds: DataFrame, analista: DataFrame, ticket: DataFrame) ->
     """
     an = analyst_of_person(analista).select("id_persona", "id_analista")
     t = ticket.select("id_ticket", F.col("id_analista").alias("assignee"), F.lit(True).alias("_t"))
-    j = cmds.join(an, "id_persona", "left").join(t, "id_ticket", "left")
+    j = X.guard_ids(cmds, "id_persona").join(an, "id_persona", "left").join(t, "id_ticket", "left")
     db_status, db_level = X.status_from_ui("status"), X.level_from_ui("level")
     status_code = (F.when(F.col("id_analista").isNull(), 403).when(F.col("_t").isNull(), 404)
                    .when(~F.col("assignee").eqNullSafe(F.col("id_analista")), 403)

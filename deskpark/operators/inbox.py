@@ -36,7 +36,7 @@ def resolve_requests(requests: DataFrame, analista: DataFrame) -> DataFrame:
     bad_page = ((F.col("page_limit") < 1) | (F.col("page_limit") > V.PAGE_LIMIT_MAX)
                 | (F.col("page_offset") < 0))
     code = (F.when(bad_page, 422).when(~no_filter & wanted.isNull(), 400).otherwise(200))
-    return (requests.join(analyst_of_person(analista), "id_persona", "left")
+    return (X.guard_ids(requests, "id_persona").join(analyst_of_person(analista), "id_persona", "left")
                     .select("req_id", "id_analista", "page_limit", "page_offset",
                             no_filter.alias("no_filter"), wanted.alias("wanted"), code.alias("code")))
 

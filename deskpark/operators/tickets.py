@@ -23,7 +23,8 @@ TICKET_COLS = ["id_colaborador", "id_ticket", "asunto", "nivel", "tipo", "estado
 
 def owned(ticket: DataFrame, owner_req: DataFrame) -> DataFrame:
     """Tickets of the requesting collaborators (semi join: no fan-out)."""
-    return ticket.join(owner_req.select("id_colaborador"), "id_colaborador", "left_semi")
+    return ticket.join(X.guard_ids(owner_req.select("id_colaborador"), "id_colaborador"), "id_colaborador",
+                       "left_semi")
 
 
 def open_tickets(ticket: DataFrame, owner_req: DataFrame) -> DataFrame:
@@ -41,7 +42,7 @@ def tickets_by_subject(ticket: DataFrame, search_req: DataFrame) -> DataFrame:
     Equi-join on the owner, ``ILIKE`` as a residual: never tickets x patterns.
     """
     t = ticket.select("id_colaborador", "id_ticket", "asunto")
-    return (search_req.join(t, "id_colaborador")
+    return (X.guard_ids(search_req, "id_colaborador").join(t, "id_colaborador")
                       .where(X.ilike_contains(F.col("asunto"), F.col("q")))
                       .select("id_colaborador", "q", "id_ticket", "asunto"))
 
@@ -83,6 +84,7 @@ def lookup_owned(lookup_req: DataFrame, ticket: DataFrame, cards_of) -> DataFram
     ``cards_of(tickets) -> (id_ticket, card)`` renders cards for the matched
     tickets only.
     """
+    lookup_req = X.guard_ids(lookup_req, "id_colaborador")
     hit = ticket.join(lookup_req.select("id_ticket", "id_colaborador"), ["id_ticket", "id_colaborador"],
                       "left_semi")
     cards = cards_of(hit).select("id_ticket", "id_colaborador", "card")

@@ -6,6 +6,11 @@ partition (one small row per partition), turn the counts into start offsets
 with a window over those few rows, and number the rows inside each partition.
 The result is ``start + 1, start + 2, ...`` in ``o`` order, the same numbers a
 global ``row_number`` gives.
+
+The input is read three times (range sampling, partition counts, numbering),
+so it is first written as a reliable checkpoint under the session's
+``spark.checkpoint.dir``: the (often expensive) input plan runs once, and a
+lost executor re-reads the checkpoint instead of recomputing the lineage.
 """
 
 from __future__ import annotations
@@ -13,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from deskpark.session import checkpoint_dir
+
 
 def dense_ids(df: DataFrame, order_cols: list[str], start: Column, id_col: str,
               partitions: int | None = None) -> DataFrame:
@@ -21,7 +28,11 @@ def dense_ids(df: DataFrame, order_cols: list[str], start: Column, id_col: str,
     ``start`` is a scalar column (for example a scalar subquery of the
     current maximum id). ``order_cols`` must be unique together.
     """
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if spark.sparkContext.getCheckpointDir() is None:
+        checkpoint_dir(spark)
+    df = df.checkpoint(eager=True)
     ranged = df.repartitionByRange(n, *order_cols).withColumn("_pid", F.spark_partition_id())
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select(
