@@ -51,20 +51,25 @@ def analyst_inbox(requests: DataFrame, ticket: DataFrame, analista: DataFrame, c
                       "tipo", "estado", "created_at", "updated_at")
     # Equi-join on the analyst; the status filter is a residual on the joined row.
     matched = t.join(live, "id_analista").where(F.col("no_filter") | (F.col("estado") == F.col("wanted")))
-    totals = matched.groupBy("req_id").agg(F.count(F.lit(1)).alias("total"))
     # ORDER BY updated_at DESC (PostgreSQL: NULLs first, T1), id_ticket DESC as tie-break.
+    # The count before paging (A1) comes out of the same pass as the page.
     order = [F.col("updated_at").desc_nulls_first(), F.col("id_ticket").desc()]
-    page = top_k_per_group(matched, ["req_id"], order, F.col("page_offset") + F.col("page_limit"),
-                           salt_cols=["id_ticket"])
-    page = page.where(F.col("rn") > F.col("page_offset")).withColumn("rn", F.col("rn") - F.col("page_offset"))
-    items = H.hydrate_page(page.select("req_id", "rn", "id_ticket", "id_colaborador", "id_cliente_servicio",
-                                       "asunto", "tipo", "estado", "created_at", "updated_at"),
-                           colaborador, external, cliente, cliente_servicio, servicio, keep=("req_id", "rn"))
-    out = (req.join(totals, "req_id", "left")
-              .join(items, "req_id", "left")
-              .select("req_id", "code",
-                      F.when(F.col("code") != 200, F.lit(None))
-                       .otherwise(F.coalesce(F.col("total"), F.lit(0))).cast("bigint").alias("total"),
-                      "page_limit", "page_offset", "rn", "id_ticket", "subject", "user", "service", "status",
-                      "date", "updated_at"))
-    return out
+    ranked = top_k_per_group(matched, ["req_id"], order, F.col("page_offset") + F.col("page_limit"),
+                             salt_cols=["id_ticket"], size_col="total")
+    # Keep the page rows; a request whose page is empty keeps its first row as a
+    # carrier of the total, with the item columns blanked below.
+    shown = F.col("rn") > F.col("page_offset")
+    carrier = (F.col("rn") == 1) & (F.col("page_offset") >= F.col("total"))
+    page = (ranked.where(shown | carrier)
+                  .select("req_id", "total", shown.alias("_shown"),
+                          (F.col("rn") - F.col("page_offset")).alias("rn"), "id_ticket", "id_colaborador",
+                          "id_cliente_servicio", "asunto", "tipo", "estado", "created_at", "updated_at"))
+    items = H.hydrate_page(page, colaborador, external, cliente, cliente_servicio, servicio,
+                           keep=("req_id", "total", "_shown", "rn"))
+    item_cols = ["rn", "id_ticket", "subject", "user", "service", "status", "date", "updated_at"]
+    return (req.join(items, "req_id", "left")
+               .select("req_id", "code",
+                       F.when(F.col("code") != 200, F.lit(None))
+                        .otherwise(F.coalesce(F.col("total"), F.lit(0))).cast("bigint").alias("total"),
+                       "page_limit", "page_offset",
+                       *[F.when(F.col("_shown"), F.col(c)).alias(c) for c in item_cols]))

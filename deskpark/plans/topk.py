@@ -20,19 +20,25 @@ DEFAULT_BUCKETS = 64
 
 def top_k_per_group(df: DataFrame, group_cols: list[str], order_cols: list[Column], k: Column,
                     salt_cols: list[str], rank_col: str = "rn",
-                    buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                    buckets: int = DEFAULT_BUCKETS, size_col: str | None = None) -> DataFrame:
     """Rows of ``df`` ranked ``1..k`` within ``group_cols`` by ``order_cols``.
 
     ``order_cols`` must be a total order (end with a unique key) so that the
     two stages agree with a single global ranking. ``salt_cols`` spread a
-    group over buckets (use the unique key).
+    group over buckets (use the unique key). With ``size_col`` every kept row
+    also carries the group's full row count, counted per bucket in the first
+    stage and summed in the second: no separate aggregation pass over ``df``.
     """
     salt = F.pmod(F.xxhash64(*salt_cols), F.lit(buckets))
-    w1 = Window.partitionBy(*group_cols, "_salt").orderBy(*order_cols)
+    bucket = Window.partitionBy(*group_cols, "_salt")
     stage1 = (df.withColumn("_salt", salt)
-                .withColumn("_r1", F.row_number().over(w1))
-                .where(F.col("_r1") <= k))
+                .withColumn("_r1", F.row_number().over(bucket.orderBy(*order_cols))))
+    if size_col:
+        stage1 = stage1.withColumn("_n1", F.count(F.lit(1)).over(bucket))
+    stage1 = stage1.where(F.col("_r1") <= k)
     w2 = Window.partitionBy(*group_cols).orderBy(*order_cols)
-    return (stage1.withColumn(rank_col, F.row_number().over(w2))
-                  .where(F.col(rank_col) <= k)
-                  .drop("_salt", "_r1"))
+    out = stage1.withColumn(rank_col, F.row_number().over(w2))
+    if size_col:
+        first_of_bucket = F.when(F.col("_r1") == 1, F.col("_n1"))
+        out = out.withColumn(size_col, F.sum(first_of_bucket).over(Window.partitionBy(*group_cols)))
+    return out.where(F.col(rank_col) <= k).drop("_salt", "_r1", "_n1")
