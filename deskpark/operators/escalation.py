@@ -25,6 +25,7 @@ from deskpark.functions import text as X
 from deskpark.functions import vocab as V
 from deskpark.operators.inbox import analyst_of_person
 from deskpark.plans.ids import dense_ids
+from deskpark.plans.materialize import materialize
 
 SEED = 7
 ROUNDS = 2  # moves per ticket and batch; see module docstring
@@ -81,7 +82,8 @@ def escalation_validate(cmds: DataFrame, analista: DataFrame, ticket: DataFrame,
               .when(F.col("issuer").isNull(), 403)
               .when(F.col("issuer_level") >= V.ESCALATION_MAX_LEVEL, 403)
               .when(F.col("_t").isNull(), 404))
-    j = j.withColumn("static_code", static)
+    # Read by every round below: written once (commands x analysts x tickets).
+    j = materialize(j.withColumn("static_code", static))
     ok = with_candidates(j.where(F.col("static_code").isNull())
                           .select("cmd_id", "ts", "id_ticket", "issuer", "issuer_level", "a0"), analista)
     ok = ok.select("cmd_id", "ts", "id_ticket", "issuer", "a0", "cand")

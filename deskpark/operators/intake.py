@@ -16,6 +16,7 @@ from deskpark.functions import vocab as V
 from deskpark.operators.identity import default_assignee
 from deskpark.operators.services import service_resolve
 from deskpark.plans.ids import dense_ids
+from deskpark.plans.materialize import materialize
 
 
 def ticket_intake(intake_req: DataFrame, ticket: DataFrame, cliente_servicio: DataFrame, servicio: DataFrame,
@@ -27,10 +28,10 @@ def ticket_intake(intake_req: DataFrame, ticket: DataFrame, cliente_servicio: Da
     resolved = intake_req.join(service_resolve(intake_req, cliente_servicio, servicio), "req_id", "left")
     outcome = (F.when(~valid | F.col("tipo").isNull() | F.col("nivel").isNull(), "invalid")
                .when(F.col("id_cliente_servicio").isNull(), "rejected").otherwise("created"))
-    r = resolved.withColumn("outcome", outcome)
+    r = materialize(resolved.withColumn("outcome", outcome))
     start = ticket.agg(F.coalesce(F.max("id_ticket"), F.lit(0))).scalar()
     new_ids = dense_ids(r.where(F.col("outcome") == "created").select("ts", "req_id"), ["ts", "req_id"],
-                        start, "id_ticket")
+                        start, "id_ticket", materialized=True)
     assignee = default_assignee(external, analista, assignee_name).select("id_analista").scalar()
     created = F.col("outcome") == "created"
     return r.join(new_ids.select("req_id", "id_ticket"), "req_id", "left").select(

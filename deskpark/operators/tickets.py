@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from deskpark.functions import text as X
 from deskpark.functions import vocab as V
+from deskpark.plans.materialize import materialize
 
 # A reply is stored as ordered text parts; one part holds the cards of at most
 # PART_SIZE consecutive ticket ids, so no group grows with a user's ticket count.
@@ -96,17 +97,17 @@ def lookup_owned(lookup_req: DataFrame, ticket: DataFrame, cards_of) -> DataFram
                      .otherwise(miss).alias("reply")))
 
 
-def reply_parts(requests: DataFrame, keys: list[str], cards: DataFrame, found_header: Column,
+def reply_parts(requests: DataFrame, keys: list[str], cards: DataFrame, first: DataFrame, found_header: Column,
                 empty_text: Column) -> DataFrame:
     """A tool reply listing many cards, as ordered text parts.
 
-    The reply is ``header + '\\n' + '\\n\\n'.join(cards ordered by id)``, or the
+    The reply is ``header + '\n' + '\n\n'.join(cards ordered by id)``, or the
     empty sentence. It is returned as rows ``keys..., part, text`` whose texts,
     concatenated in ``part`` order, give the reply: part -1 is the header,
     part p holds the cards with ``id_ticket div PART_SIZE = p``. Each group is
-    bounded by PART_SIZE cards however many tickets a user has.
+    bounded by PART_SIZE cards however many tickets a user has. ``first``
+    holds ``keys..., _first`` (the smallest listed ticket id per reply).
     """
-    first = cards.groupBy(*keys).agg(F.min("id_ticket").alias("_first"))
     piece = F.concat(F.when(F.col("id_ticket") == F.col("_first"), F.lit("\n")).otherwise(F.lit("\n\n")),
                      F.col("card"))
     part = F.floor(F.col("id_ticket") / PART_SIZE).cast("bigint")
@@ -114,34 +115,49 @@ def reply_parts(requests: DataFrame, keys: list[str], cards: DataFrame, found_he
                  .groupBy(*keys, part.alias("part"))
                  .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id_ticket", piece.alias("p")))),
                                                lambda x: x["p"]), "").alias("text")))
-    head = (requests.select(*keys).join(first, keys, "left")
+    head = (requests.join(first, keys, "left")
             .select(*keys, F.lit(-1).cast("bigint").alias("part"),
                     F.when(F.col("_first").isNull(), empty_text).otherwise(found_header).alias("text")))
     return head.unionByName(body)
 
 
 def ticket_digest(owner_req: DataFrame, ticket: DataFrame, cards_of) -> DataFrame:
-    """Replies of the two listing tools, ``kind`` = ``open`` / ``all``."""
-    outs = []
-    for kind, tickets, found, empty in (
-            ("open", open_tickets(ticket, owner_req), V.REPLY_OPEN_FOUND, V.REPLY_OPEN_EMPTY),
-            ("all", all_tickets(ticket, owner_req), V.REPLY_ALL_FOUND, V.REPLY_ALL_EMPTY)):
-        cards = cards_of(ticket.join(tickets.select("id_ticket"), "id_ticket", "left_semi"))
-        parts = reply_parts(owner_req, ["id_colaborador"], cards.select("id_colaborador", "id_ticket", "card"),
-                            F.lit(found), F.lit(empty))
-        outs.append(parts.select(F.lit(kind).alias("kind"), "id_colaborador", "part", "text"))
-    return outs[0].unionByName(outs[1])
+    """Replies of the two listing tools, ``kind`` = ``open`` / ``all``.
+
+    Cards are rendered once for all owned tickets; an open ticket's card is
+    listed under both kinds. The first id of each reply comes from a ``min``
+    over the ticket columns alone.
+    """
+    mine = owned(ticket, owner_req)
+    is_open = F.col("estado") != V.STATUS_CLOSED
+    firsts = mine.groupBy("id_colaborador").agg(F.min("id_ticket").alias("all"),
+                                                F.min(F.when(is_open, F.col("id_ticket"))).alias("open"))
+    first = (firsts.select("id_colaborador", F.explode(F.array(
+                F.struct(F.lit("all").alias("kind"), F.col("all").alias("_first")),
+                F.struct(F.lit("open").alias("kind"), F.col("open").alias("_first")))).alias("k"))
+             .select("k.kind", "id_colaborador", "k._first").where(F.col("_first").isNotNull()))
+    kinds = F.when(is_open, F.array(F.lit("open"), F.lit("all"))).otherwise(F.array(F.lit("all")))
+    cards = cards_of(mine).select(F.explode(kinds).alias("kind"), "id_colaborador", "id_ticket", "card")
+    requests = owner_req.select(F.explode(F.array(F.lit("open"), F.lit("all"))).alias("kind"), "id_colaborador")
+    is_open_kind = F.col("kind") == "open"
+    found = F.when(is_open_kind, F.lit(V.REPLY_OPEN_FOUND)).otherwise(F.lit(V.REPLY_ALL_FOUND))
+    empty = F.when(is_open_kind, F.lit(V.REPLY_OPEN_EMPTY)).otherwise(F.lit(V.REPLY_ALL_EMPTY))
+    return reply_parts(requests, ["kind", "id_colaborador"], cards, first, found, empty) \
+        .select("kind", "id_colaborador", "part", "text")
 
 
 def subject_digest(search_req: DataFrame, ticket: DataFrame, cards_of) -> DataFrame:
-    """Reply of the subject-search tool per (collaborator, text)."""
-    hits = tickets_by_subject(ticket, search_req).select("id_colaborador", "q", "id_ticket")
-    cards = cards_of(ticket.join(hits.select("id_ticket"), "id_ticket", "left_semi")) \
-        .select("id_ticket", "card")
+    """Reply of the subject-search tool per (collaborator, text).
+
+    The hits are written once (they feed the first ids and the cards).
+    """
+    hits = materialize(tickets_by_subject(ticket, search_req).select("id_colaborador", "q", "id_ticket"))
+    cards = cards_of(ticket.join(hits.select("id_ticket"), "id_ticket", "left_semi")).select("id_ticket", "card")
     keyed = hits.join(cards, "id_ticket")
+    first = hits.groupBy("id_colaborador", "q").agg(F.min("id_ticket").alias("_first"))
     found = F.concat(F.lit(V.REPLY_SUBJECT_FOUND.split("{q}")[0]), F.col("q"),
                      F.lit(V.REPLY_SUBJECT_FOUND.split("{q}")[1]))
     empty = F.concat(F.lit(V.REPLY_SUBJECT_EMPTY.split("{q}")[0]), F.col("q"),
                      F.lit(V.REPLY_SUBJECT_EMPTY.split("{q}")[1]))
-    return reply_parts(search_req, ["id_colaborador", "q"], keyed, found, empty) \
-        .select("id_colaborador", "q", "part", "text")
+    return reply_parts(search_req.select("id_colaborador", "q"), ["id_colaborador", "q"], keyed, first, found,
+                       empty).select("id_colaborador", "q", "part", "text")

@@ -18,21 +18,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from deskpark.session import checkpoint_dir
+from deskpark.plans.materialize import materialize
 
 
 def dense_ids(df: DataFrame, order_cols: list[str], start: Column, id_col: str,
-              partitions: int | None = None) -> DataFrame:
+              partitions: int | None = None, materialized: bool = False) -> DataFrame:
     """Append ``id_col = start + global 1-based position by order_cols``.
 
     ``start`` is a scalar column (for example a scalar subquery of the
-    current maximum id). ``order_cols`` must be unique together.
+    current maximum id). ``order_cols`` must be unique together. Pass
+    ``materialized=True`` when ``df`` is already a checkpoint.
     """
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if spark.sparkContext.getCheckpointDir() is None:
-        checkpoint_dir(spark)
-    df = df.checkpoint(eager=True)
+    if not materialized:
+        df = materialize(df)
     ranged = df.repartitionByRange(n, *order_cols).withColumn("_pid", F.spark_partition_id())
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select(
