@@ -28,8 +28,10 @@ def resolve_requests(requests: DataFrame, analista: DataFrame) -> DataFrame:
     * ``status`` absent or empty, or equal to ``todos`` before stripping: no filter (T6).
     * unknown status word: code 400, no page.
     * a person who is not an analyst: code 200, total 0, no rows (T18).
-    * page bounds outside 1..100 / >= 0: code 422.
+    * page bounds outside 1..100 / >= 0: code 422; absent bounds default to 20 / 0 (F19).
     """
+    requests = (requests.withColumn("page_limit", F.coalesce("page_limit", F.lit(V.PAGE_LIMIT_DEFAULT)))
+                        .withColumn("page_offset", F.coalesce("page_offset", F.lit(0))))
     st = F.col("status")
     no_filter = st.isNull() | (st == "") | (F.lower(st) == V.FILTER_ALL)
     wanted = F.when(no_filter, F.lit(None)).otherwise(X.status_from_ui(st))

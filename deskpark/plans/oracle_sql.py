@@ -21,7 +21,8 @@ def q(name: str, *views: str):
 def _inbox() -> str:
     return f"""
     WITH req AS (
-      SELECT r.req_id, a.id_analista, r.page_limit, r.page_offset,
+      SELECT r.req_id, a.id_analista, CAST(coalesce(r.page_limit, {V.PAGE_LIMIT_DEFAULT}) AS INTEGER) AS page_limit,
+             CAST(coalesce(r.page_offset, 0) AS INTEGER) AS page_offset,
              (r.status IS NULL OR r.status = '' OR lower(r.status) = '{V.FILTER_ALL}') AS no_filter,
              {status_from_ui('r.status')} AS mapped
       FROM inbox_req r LEFT JOIN analyst_of_person a ON a.id_persona = r.id_persona),

@@ -82,6 +82,20 @@ def test_inbox_status_filter_words(spark, dims):
     assert [r.id_ticket for r in by_req[5]] == [1]
 
 
+def test_inbox_page_defaults_and_bounds(spark, dims):
+    tickets = df(spark, S.TICKET, [ticket_row(i, analyst=10, updated=D(2024, 1, i)) for i in range(1, 26)])
+    reqs = df(spark, S.INBOX_REQ, [(1, 1010, None, None, None), (2, 1010, None, 0, 0), (3, 1010, None, 101, 0),
+                                   (4, 1010, None, 5, -1), (5, 1010, None, 5, 30)])
+    out = I.analyst_inbox(reqs, tickets, dims["analista"], dims["colaborador"], dims["external"],
+                          dims["cliente"], dims["cliente_servicio"], dims["servicio"]).collect()
+    by = {}
+    for r in out:
+        by.setdefault(r.req_id, []).append(r)
+    assert len(by[1]) == 20 and by[1][0].page_limit == 20 and by[1][0].total == 25
+    assert [by[k][0].code for k in (2, 3, 4)] == [422, 422, 422]
+    assert len(by[5]) == 1 and by[5][0].id_ticket is None and by[5][0].total == 25  # offset past the end
+
+
 # ---------------------------------------------------------------- T3
 def test_open_keeps_cancelled_drops_null(spark):
     tickets = df(spark, S.TICKET, [ticket_row(1, estado=None), ticket_row(2, estado="cancelado"),
