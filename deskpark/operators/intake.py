@@ -40,7 +40,7 @@ def ticket_intake(intake_req: DataFrame, ticket: DataFrame, cliente_servicio: Da
         F.when(created, assignee).alias("id_analista"),
         "asunto", "tipo", "nivel",
         F.when(created, F.lit(V.STATUS_NEW)).alias("estado"),
-        F.when(created, F.col("ts")).alias("created_at"))
+        F.when(created, F.col("ts")).alias("created_at"), "thread_id")
 
 
 def ticket_receipts(intake: DataFrame) -> DataFrame:

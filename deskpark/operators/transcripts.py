@@ -30,16 +30,29 @@ def conversation_aggs() -> list[Column]:
     return [F.transform(kept, _message).alias("contenido")]
 
 
-def conversations(mensaje: DataFrame) -> DataFrame:
-    """``id_ticket, contenido array<struct<role, content>>`` per ticket."""
-    return mensaje.groupBy("id_ticket").agg(*conversation_aggs())
+def conversations(mensaje: DataFrame, key: str = "id_ticket") -> DataFrame:
+    """``key, contenido array<struct<role, content>>`` per ticket (or thread)."""
+    return mensaje.groupBy(key).agg(*conversation_aggs())
 
 
-def as_json(conv: DataFrame) -> DataFrame:
+def as_json(conv: DataFrame, key: str = "id_ticket") -> DataFrame:
     """Conversation as the JSON text the database column holds."""
-    return conv.select("id_ticket", F.size("contenido").alias("n_messages"),
+    return conv.select(key, F.size("contenido").alias("n_messages"),
                        F.to_json("contenido").alias("contenido"))
 
 
-def transcripts(mensaje: DataFrame) -> DataFrame:
-    return as_json(conversations(mensaje))
+def transcripts(mensaje: DataFrame, key: str = "id_ticket") -> DataFrame:
+    return as_json(conversations(mensaje, key), key)
+
+
+def intake_conversations(intake: DataFrame, thread_turns: DataFrame) -> DataFrame:
+    """Conversation stored with every created ticket.
+
+    ``thread_turns`` holds the chat memory keyed by ``thread_id``. A created
+    ticket whose thread has no memory still gets a conversation: ``[]``.
+    """
+    created = intake.where(F.col("outcome") == "created").select("id_ticket", "thread_id")
+    conv = transcripts(thread_turns, "thread_id")
+    return created.join(conv, "thread_id", "left").select(
+        "id_ticket", "thread_id", F.coalesce("n_messages", F.lit(0)).alias("n_messages"),
+        F.coalesce("contenido", F.lit("[]")).alias("contenido"))

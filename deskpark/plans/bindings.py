@@ -193,6 +193,11 @@ def ticket_intake(d: TestData) -> DataFrame:
     return _intake(d)
 
 
+@register("intake_conversations")
+def intake_conversations(d: TestData) -> DataFrame:
+    return TR.intake_conversations(_intake(d), d.mensaje.withColumnRenamed("id_ticket", "thread_id"))
+
+
 @register("ticket_receipts")
 def ticket_receipts(d: TestData) -> DataFrame:
     return IN.ticket_receipts(_intake(d))

@@ -389,7 +389,7 @@ def _intake_sql() -> str:
            CASE WHEN r.outcome = 'created' THEN r.id_cliente_servicio END AS id_cliente_servicio,
            CASE WHEN r.outcome = 'created' THEN (SELECT id_analista FROM da) END AS id_analista,
            r.asunto, r.tipo, r.nivel, CASE WHEN r.outcome = 'created' THEN {sql_lit(V.STATUS_NEW)} END AS estado,
-           CASE WHEN r.outcome = 'created' THEN r.ts END AS created_at
+           CASE WHEN r.outcome = 'created' THEN r.ts END AS created_at, r.thread_id
     FROM r LEFT JOIN ids i ON i.req_id = r.req_id"""
 
 
@@ -487,3 +487,13 @@ def _triage_type() -> str:
 def _triage_urgency() -> str:
     from deskpark.operators.triage import LEVEL_DEFAULT, LEVEL_KEYWORDS
     return _triage_sql(LEVEL_KEYWORDS, "nivel", "rank", LEVEL_DEFAULT)
+
+
+@q("intake_conversations", "intake_req", "service_hits", "ticket", "external", "analista", "conv_json")
+def _intake_conversations() -> str:
+    return f"""
+    WITH intake AS ({_intake_sql()})
+    SELECT i.id_ticket, i.thread_id, CAST(coalesce(c.n_messages, 0) AS INTEGER) AS n_messages,
+           coalesce(c.contenido, '[]') AS contenido
+    FROM intake i LEFT JOIN conv_json c ON c.id_ticket = i.thread_id
+    WHERE i.outcome = 'created'"""

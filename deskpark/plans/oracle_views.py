@@ -125,7 +125,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                  AS nombre_servicio,
                CASE WHEN c_custkey % 20 = 0 THEN 'incidencia' ELSE 'solicitud' END AS tipo,
                'alto' AS nivel, 'Solicitud de ' || c_name AS asunto,
-               TIMESTAMP '2024-01-01 00:00:00' + to_minutes(c_custkey) AS ts
+               TIMESTAMP '2024-01-01 00:00:00' + to_minutes(c_custkey) AS ts, c_custkey AS thread_id
         FROM customer"""),
     "login": ((), """
         SELECT event_id AS login_id, ts, CAST(user_id AS VARCHAR) AS id_provider,

@@ -204,7 +204,8 @@ class TestData:
             F.lit("alto").alias("nivel"),
             F.concat(F.lit("Solicitud de "), F.col("c_name")).alias("asunto"),
             (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
-             + F.make_dt_interval(F.lit(0), F.lit(0), k)).alias("ts")), S.INTAKE_REQ)
+             + F.make_dt_interval(F.lit(0), F.lit(0), k)).alias("ts"),
+            k.alias("thread_id")), S.INTAKE_REQ)
 
     @cached_property
     def login(self) -> DataFrame:

@@ -39,7 +39,7 @@ INBOX_REQ = _struct(("req_id", L), ("id_persona", L), ("status", S), ("page_limi
 LOOKUP_REQ = _struct(("req_id", L), ("id_colaborador", L), ("id_ticket", L))
 SEARCH_REQ = _struct(("id_colaborador", L), ("q", S))
 INTAKE_REQ = _struct(("req_id", L), ("id_colaborador", L), ("id_cliente", L), ("nombre_servicio", S),
-                     ("tipo", S), ("nivel", S), ("asunto", S), ("ts", TS))
+                     ("tipo", S), ("nivel", S), ("asunto", S), ("ts", TS), ("thread_id", L))
 LOGIN = _struct(("login_id", L), ("ts", TS), ("id_provider", S), ("correo", S), ("nombre", S), ("hd", S))
 STATUS_CMD = _struct(("cmd_id", L), ("ts", TS), ("id_ticket", L), ("id_persona", L), ("status", S),
                      ("level", S), ("description", S))

@@ -269,9 +269,9 @@ def test_detail_conversation_and_empty_values(spark, dims):
 
 # ---------------------------------------------------------------- T16, X6, C6
 def test_intake_without_default_assignee(spark, dims):
-    reqs = df(spark, S.INTAKE_REQ, [(1, 1, 1, "portal", "incidencia", "alto", "No entra", D(2024, 3, 1, 8, 5, 9)),
-                                    (2, 1, 1, "nada", "solicitud", "bajo", "Otro", D(2024, 3, 1)),
-                                    (3, 1, 1, "portal", "queja", "bajo", "Tipo malo", D(2024, 3, 2))])
+    reqs = df(spark, S.INTAKE_REQ, [(1, 1, 1, "portal", "incidencia", "alto", "No entra", D(2024, 3, 1, 8, 5, 9), 7),
+                                    (2, 1, 1, "nada", "solicitud", "bajo", "Otro", D(2024, 3, 1), 8),
+                                    (3, 1, 1, "portal", "queja", "bajo", "Tipo malo", D(2024, 3, 2), 9)])
     tickets = df(spark, S.TICKET, [ticket_row(41)])
     out = IN.ticket_intake(reqs, tickets, dims["cliente_servicio"], dims["servicio"], dims["external"],
                            dims["analista"], "Nadie Con Ese Nombre")
@@ -283,6 +283,9 @@ def test_intake_without_default_assignee(spark, dims):
     assert rec[1] == ("He generado el ticket **#42** con su solicitud. "
                       "Fecha de creación del ticket: 01/03/2024 08:05:09.")
     assert rec[2] == "Lo siento, ocurrió un error inesperado al intentar crear su ticket."
+    turns = df(spark, S.MENSAJE, [(7, 0, "system", "ctx"), (7, 1, "user", "no entra"), (8, 0, "user", "x")])
+    conv = TR.intake_conversations(out, turns.withColumnRenamed("id_ticket", "thread_id")).collect()
+    assert [(c.id_ticket, c.contenido) for c in conv] == [(42, '[{"role":"user","content":"no entra"}]')]
 
 
 def test_default_assignee_case_insensitive(spark, dims):
