@@ -10,10 +10,11 @@ analysts is ever formed.
 
 **Sequential commands in parallel.** An accepted escalation moves the
 ticket to a strictly more senior analyst, and analysts at level >= 3 may not
-escalate, so with levels starting at 1 a ticket moves at most twice per
-batch. Each round finds, per ticket, the first command (by ts, cmd_id) after
-the previous move whose issuer is the current assignee and who has a
-candidate. Then every command is judged against the assignee at its time.
+escalate, so a ticket moves at most once per distinct level below 3 in a
+batch (twice with levels 1, 2, 3). Each round finds, per ticket, the first
+command (by ts, cmd_id) after the previous move whose issuer is the current
+assignee and who has a candidate. Then every command is judged against the
+assignee at its time.
 """
 
 from __future__ import annotations
@@ -28,7 +29,6 @@ from deskpark.plans.ids import dense_ids
 from deskpark.plans.materialize import materialize
 
 SEED = 7
-ROUNDS = 2  # moves per ticket and batch; see module docstring
 
 
 def level_table(analista: DataFrame) -> DataFrame:
@@ -69,11 +69,21 @@ def escalation_candidates(cmds: DataFrame, analista: DataFrame) -> DataFrame:
         "cmd_id", "issuer", "issuer_level", "n_candidates", F.col("cand").alias("id_candidate"))
 
 
+def move_rounds(analista: DataFrame) -> int:
+    """Most moves a ticket can make in one batch: distinct levels allowed to escalate."""
+    return max(1, analista.where(F.col("nivel") < V.ESCALATION_MAX_LEVEL).select("nivel").distinct().count())
+
+
 def escalation_validate(cmds: DataFrame, analista: DataFrame, ticket: DataFrame,
-                        rounds: int = ROUNDS) -> DataFrame:
+                        rounds: int | None = None) -> DataFrame:
     """Outcome code per command (C4): 422 short reason, 403 not an analyst,
     403 level >= 3, 404 no ticket, 403 not the assignee at that time,
-    409 no senior analyst, else 200 with the new assignee."""
+    409 no senior analyst, else 200 with the new assignee.
+
+    ``rounds`` defaults to ``move_rounds(analista)`` (one small query on the
+    analyst table), which makes the fold exact for any level values."""
+    if rounds is None:
+        rounds = move_rounds(analista)
     an = analyst_of_person(analista)
     t = ticket.select("id_ticket", F.col("id_analista").alias("a0"), F.lit(True).alias("_t"))
     j = cmds.join(an, "id_persona", "left").join(t, "id_ticket", "left") \

@@ -20,7 +20,7 @@ DEFAULT_BUCKETS = 64
 
 def top_k_per_group(df: DataFrame, group_cols: list[str], order_cols: list[Column], k: Column,
                     salt_cols: list[str], rank_col: str = "rn",
-                    buckets: int = DEFAULT_BUCKETS, size_col: str | None = None) -> DataFrame:
+                    buckets: int | None = None, size_col: str | None = None) -> DataFrame:
     """Rows of ``df`` ranked ``1..k`` within ``group_cols`` by ``order_cols``.
 
     ``order_cols`` must be a total order (end with a unique key) so that the
@@ -28,7 +28,11 @@ def top_k_per_group(df: DataFrame, group_cols: list[str], order_cols: list[Colum
     group over buckets (use the unique key). With ``size_col`` every kept row
     also carries the group's full row count, counted per bucket in the first
     stage and summed in the second: no separate aggregation pass over ``df``.
+    ``buckets`` defaults to the session's shuffle partitions (at least 64), so
+    a hot group is spread over the whole cluster.
     """
+    if buckets is None:
+        buckets = max(DEFAULT_BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     salt = F.pmod(F.xxhash64(*salt_cols), F.lit(buckets))
     bucket = Window.partitionBy(*group_cols, "_salt")
     stage1 = (df.withColumn("_salt", salt)

@@ -60,9 +60,9 @@ def test_status_fold_equals_sequential_model(mid):
     assert got == tickets
 
 
-def test_escalation_fold_equals_sequential_model(mid):
-    tickets = {t.id_ticket: t.id_analista for t in mid.ticket.collect()}
-    analyst_rows = mid.analista.collect()
+def escalation_model(ticket_rows, analyst_rows, cmd_rows):
+    """One command after the other, as the reference's endpoint runs them."""
+    tickets = {t.id_ticket: t.id_analista for t in ticket_rows}
     analysts = _analyst_of_person(analyst_rows)
     ordered = sorted(analyst_rows, key=lambda a: (-a.nivel, a.id_analista))
 
@@ -74,7 +74,7 @@ def test_escalation_fold_equals_sequential_model(mid):
         return pool[h % len(pool)].id_analista
 
     codes, moved = {}, {}
-    for c in sorted(mid.escalation_cmd.collect(), key=lambda c: (c.ts, c.cmd_id)):
+    for c in sorted(cmd_rows, key=lambda c: (c.ts, c.cmd_id)):
         a = analysts.get(c.id_persona)
         if c.motivo is None or len(c.motivo) < 10:
             codes[c.cmd_id] = 422
@@ -94,6 +94,12 @@ def test_escalation_fold_equals_sequential_model(mid):
                 codes[c.cmd_id] = 200
                 tickets[c.id_ticket] = cand
                 moved[c.id_ticket] = moved.get(c.id_ticket, 0) + 1
+    return codes, tickets, moved
+
+
+def test_escalation_fold_equals_sequential_model(mid):
+    codes, tickets, moved = escalation_model(mid.ticket.collect(), mid.analista.collect(),
+                                             mid.escalation_cmd.collect())
     validated = ES.escalation_validate(mid.escalation_cmd, mid.analista, mid.ticket)
     assert {r.cmd_id: r.code for r in validated.collect()} == codes
     assert max(moved.values()) == 2  # the data exercises the second round
@@ -109,3 +115,25 @@ def test_fold_is_independent_of_partitioning(spark, mid):
     b = CM.status_apply(mid.ticket.repartition(11), CM.status_validate(mid.status_cmd.coalesce(1), mid.analista,
                                                                        mid.ticket))
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_escalation_fold_with_more_levels(spark):
+    import datetime as dt
+
+    from deskpark.sources import schemas as S
+    analysts = spark.createDataFrame([(10, 110, 0), (11, 111, 0), (20, 120, 1), (30, 130, 2), (31, 131, 2),
+                                      (40, 140, 3)], S.ANALISTA)
+    tickets = spark.createDataFrame([(t, 1, None, 10 + (t % 2), "s", "solicitud", "alto", "aceptado", None,
+                                      dt.datetime(2024, 1, 1), None, None) for t in range(1, 7)], S.TICKET)
+    cmds, cid = [], 0
+    for step in range(5):
+        for t in range(1, 7):
+            for person in (110, 111, 120, 130, 131, 140):
+                cid += 1
+                cmds.append((cid, dt.datetime(2024, 2, 1, step), t, person, "necesito ayuda, por favor"))
+    cmd_df = spark.createDataFrame(cmds, S.ESCALATION_CMD)
+    codes, final, moved = escalation_model(tickets.collect(), analysts.collect(), cmd_df.collect())
+    assert max(moved.values()) == 3
+    validated = ES.escalation_validate(cmd_df, analysts, tickets)
+    assert {r.cmd_id: r.code for r in validated.collect()} == codes
+    assert {r.id_ticket: r.id_analista for r in ES.escalation_apply(tickets, validated).collect()} == final
