@@ -94,6 +94,8 @@ def escalation_validate(cmds: DataFrame, analista: DataFrame, ticket: DataFrame,
               .when(F.col("_t").isNull(), 404))
     # Read by every round below: written once (commands x analysts x tickets).
     j = materialize(j.withColumn("static_code", static))
+    # Commands that passed the static checks, with their candidate. Re-planned per round: the extra
+    # work is on the analyst dimension only (the command input above is already written once).
     ok = with_candidates(j.where(F.col("static_code").isNull())
                           .select("cmd_id", "ts", "id_ticket", "issuer", "issuer_level", "a0"), analista)
     ok = ok.select("cmd_id", "ts", "id_ticket", "issuer", "a0", "cand")

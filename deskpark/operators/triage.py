@@ -32,8 +32,10 @@ TYPE_DEFAULT, LEVEL_DEFAULT = "solicitud", "bajo"
 
 
 def _rules(spark: SparkSession, table: dict[str, tuple[str, ...]]) -> DataFrame:
-    rows = [(label, rank, kw) for rank, (label, kws) in enumerate(table.items()) for kw in kws]
-    return spark.createDataFrame(rows, "label string, rank int, term string")
+    """The keyword table as an inline literal (constant size, planned as a local table)."""
+    rows = [F.struct(F.lit(label).alias("label"), F.lit(rank).alias("rank"), F.lit(kw).alias("term"))
+            for rank, (label, kws) in enumerate(table.items()) for kw in kws]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def _hits(mensaje: DataFrame, table: dict[str, tuple[str, ...]]) -> DataFrame:
