@@ -92,13 +92,9 @@ def escalation_validate(cmds: DataFrame, analista: DataFrame, ticket: DataFrame,
               .when(F.col("issuer").isNull(), 403)
               .when(F.col("issuer_level") >= V.ESCALATION_MAX_LEVEL, 403)
               .when(F.col("_t").isNull(), 404))
-    # Read by every round below: written once (commands x analysts x tickets).
-    j = materialize(j.withColumn("static_code", static))
-    # Commands that passed the static checks, with their candidate. Re-planned per round: the extra
-    # work is on the analyst dimension only (the command input above is already written once).
-    ok = with_candidates(j.where(F.col("static_code").isNull())
-                          .select("cmd_id", "ts", "id_ticket", "issuer", "issuer_level", "a0"), analista)
-    ok = ok.select("cmd_id", "ts", "id_ticket", "issuer", "a0", "cand")
+    # Read by every round below: written once (commands x analysts x tickets, with the candidate).
+    j = materialize(with_candidates(j.withColumn("static_code", static), analista))
+    ok = j.where(F.col("static_code").isNull()).select("cmd_id", "ts", "id_ticket", "issuer", "a0", "cand")
 
     # Rounds of moves: (id_ticket, after_ts, after_id, assignee).
     state = ok.groupBy("id_ticket").agg(F.min("a0").alias("assignee")) \
@@ -127,7 +123,7 @@ def escalation_validate(cmds: DataFrame, analista: DataFrame, ticket: DataFrame,
         "assignee_then", F.when(F.col("moved_to").isNotNull(), F.col("moved_to")).otherwise(F.col("a0")))
     dyn = (F.when(~F.col("issuer").eqNullSafe(F.col("assignee_then")), 403)
            .when(F.col("cand").isNull(), 409).otherwise(200))
-    dyn_df = judged.select("cmd_id", dyn.alias("dyn_code"), "cand")
+    dyn_df = judged.select("cmd_id", dyn.alias("dyn_code"))
     out = j.join(dyn_df, "cmd_id", "left")
     code = F.coalesce(F.col("static_code"), F.col("dyn_code"))
     return out.select("cmd_id", "ts", "id_ticket", code.alias("code"),
