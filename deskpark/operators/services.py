@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from deskpark.functions import text as X
 from deskpark.functions import vocab as V
 from deskpark.operators.hydrate import first_external
+from deskpark.operators.tickets import PART_SIZE
 
 
 def client_services(cliente_servicio: DataFrame, servicio: DataFrame) -> DataFrame:
@@ -21,12 +22,24 @@ def client_services(cliente_servicio: DataFrame, servicio: DataFrame) -> DataFra
         "id_cliente", F.col("id_servicio").cast("string").alias("id_servicio"), "nombre")
 
 
-def services_text(cliente_servicio: DataFrame, servicio: DataFrame) -> DataFrame:
-    """``', '.join(names)`` per client, ordered by service id, or ``Ninguno`` later (A5)."""
-    pairs = cliente_servicio.select("id_cliente", "id_servicio").distinct().join(servicio, "id_servicio")
-    names = F.array_sort(F.collect_list(F.struct("id_servicio", "nombre")))
-    return pairs.groupBy("id_cliente").agg(
-        F.array_join(F.transform(names, lambda x: x["nombre"]), ", ").alias("services_text"))
+def service_list_parts(cliente_servicio: DataFrame, servicio: DataFrame) -> DataFrame:
+    """``', '.join(service names)`` per client, ordered by service id, as bounded parts (A5).
+
+    Rows ``id_cliente, part, text``: part p holds the names of the services
+    with ``id_servicio div PART_SIZE = p``; concatenating ``text`` in part
+    order gives the joined list. The first name of a client carries no
+    leading separator (its id comes from a ``min`` aggregate), so no group
+    ever holds a client's whole list.
+    """
+    named = (cliente_servicio.select("id_cliente", "id_servicio").distinct()
+             .join(servicio.where(F.col("nombre").isNotNull()), "id_servicio"))
+    first = named.groupBy("id_cliente").agg(F.min("id_servicio").alias("_first"))
+    piece = F.concat(F.when(F.col("id_servicio") == F.col("_first"), F.lit("")).otherwise(F.lit(", ")),
+                     F.col("nombre"))
+    part = F.floor(F.col("id_servicio") / PART_SIZE).cast("bigint")
+    items = F.array_sort(F.collect_list(F.struct("id_servicio", piece.alias("p"))))
+    return (named.join(first, "id_cliente").groupBy("id_cliente", part.alias("part"))
+            .agg(F.array_join(F.transform(items, lambda x: x["p"]), "").alias("text")))
 
 
 def service_resolve(intake_req: DataFrame, cliente_servicio: DataFrame, servicio: DataFrame) -> DataFrame:
@@ -45,37 +58,49 @@ def service_resolve(intake_req: DataFrame, cliente_servicio: DataFrame, servicio
     return req.join(hits, "req_id", "left").select("req_id", "id_cliente_servicio")
 
 
-def _context_text(nombre, cliente_nombre, services):
-    # FIXED VALUES: the context block handed to the agent, whitespace included.
-    return F.concat(
-        F.lit("\n    CONTEXTO DEL USUARIO ACTUAL:\n    - Nombre del usuario: "), X.py_str(nombre),
-        F.lit("\n    - Empresa del usuario: "), X.py_str(cliente_nombre),
-        F.lit("\n    - Servicios contratados por la empresa: "), services,
-        F.lit("\n    "))
+# FIXED VALUES: the context block handed to the agent, whitespace included.
+CONTEXT_HEAD = ("\n    CONTEXTO DEL USUARIO ACTUAL:\n    - Nombre del usuario: {nombre}"
+                "\n    - Empresa del usuario: {cliente}\n    - Servicios contratados por la empresa: ")
+CONTEXT_TAIL = "\n    "
+
+
+def _context_head(nombre, cliente_nombre):
+    a, rest = CONTEXT_HEAD.split("{nombre}")
+    b, c = rest.split("{cliente}")
+    return F.concat(F.lit(a), X.py_str(nombre), F.lit(b), X.py_str(cliente_nombre), F.lit(c))
 
 
 def user_context(colaborador: DataFrame, analista: DataFrame, external: DataFrame, cliente: DataFrame,
                  cliente_servicio: DataFrame, servicio: DataFrame) -> DataFrame:
-    """Token claims and context block of every collaborator and analyst."""
+    """Token claims and context block of every collaborator and analyst.
+
+    The context block is ``context_head + services + context_tail`` where
+    ``services`` is the client's ``service_list_parts`` concatenated in part
+    order, or ``Ninguno`` when ``has_services`` is false. The list itself is
+    kept per client (not copied into every user row).
+    """
     ext = first_external(external)
     cli = cliente.groupBy("id_cliente").agg(F.min("nombre").alias("cli_nombre"), F.lit(True).alias("has_cli"))
-    texts = services_text(cliente_servicio, servicio)
+    with_services = (cliente_servicio.select("id_cliente", "id_servicio").distinct()
+                     .join(servicio.where(F.col("nombre").isNotNull()).select("id_servicio"), "id_servicio")
+                     .groupBy("id_cliente").agg(F.lit(True).alias("has_services")))
     col = (colaborador.join(ext, "id_persona", "left").join(cli, "id_cliente", "left")
-           .join(texts, "id_cliente", "left"))
+           .join(with_services, "id_cliente", "left"))
     cli_name = F.when(F.col("has_cli"), F.col("cli_nombre")).otherwise(F.lit(V.UNKNOWN_CLIENT))
-    svc = F.coalesce(F.nullif(F.col("services_text"), F.lit("")), F.lit(V.NO_SERVICES))
     collab = col.select(
         F.lit("colaborador").alias("kind"), F.col("id_persona").cast("string").alias("persona_id"),
         F.col("id_colaborador").cast("string").alias("colaborador_id"),
         F.col("id_cliente").cast("string").alias("cliente_id"),
         F.col("ext_nombre").alias("nombre"), F.col("ext_correo").alias("correo"),
-        cli_name.alias("cliente_nombre"), svc.alias("services_text"),
-        _context_text(F.col("ext_nombre"), cli_name, svc).alias("context"))
+        cli_name.alias("cliente_nombre"), F.coalesce(F.col("has_services"), F.lit(False)).alias("has_services"),
+        _context_head(F.col("ext_nombre"), cli_name).alias("context_head"),
+        F.lit(CONTEXT_TAIL).alias("context_tail"))
     an = analista.join(ext, "id_persona", "left")
     analysts = an.select(
         F.lit("analista").alias("kind"), F.col("id_persona").cast("string").alias("persona_id"),
         F.lit(V.ZERO_UUID).alias("colaborador_id"), F.lit(V.ZERO_UUID).alias("cliente_id"),
         F.col("ext_nombre").alias("nombre"), F.col("ext_correo").alias("correo"),
-        F.lit(V.ANALYST_CLIENT_NAME).alias("cliente_nombre"), F.lit(V.NO_SERVICES).alias("services_text"),
-        _context_text(F.col("ext_nombre"), F.lit(V.ANALYST_CLIENT_NAME), F.lit(V.NO_SERVICES)).alias("context"))
+        F.lit(V.ANALYST_CLIENT_NAME).alias("cliente_nombre"), F.lit(False).alias("has_services"),
+        _context_head(F.col("ext_nombre"), F.lit(V.ANALYST_CLIENT_NAME)).alias("context_head"),
+        F.lit(CONTEXT_TAIL).alias("context_tail"))
     return collab.unionByName(analysts)

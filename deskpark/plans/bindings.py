@@ -113,6 +113,11 @@ def service_resolve(d: TestData) -> DataFrame:
     return SV.service_resolve(d.intake_req, d.cliente_servicio, d.servicio)
 
 
+@register("service_list_parts")
+def service_list_parts(d: TestData) -> DataFrame:
+    return SV.service_list_parts(d.cliente_servicio, d.servicio)
+
+
 @register("user_context")
 def user_context(d: TestData) -> DataFrame:
     return SV.user_context(d.colaborador, d.analista, d.external, d.cliente, d.cliente_servicio, d.servicio)

@@ -224,33 +224,48 @@ def _service_resolve() -> str:
     SELECT r.req_id, h.id_cliente_servicio FROM intake_req r LEFT JOIN hits h ON h.req_id = r.req_id"""
 
 
-def _context(nombre: str, cliente: str, services: str) -> str:
-    parts = ("\n    CONTEXTO DEL USUARIO ACTUAL:\n    - Nombre del usuario: ", "\n    - Empresa del usuario: ",
-             "\n    - Servicios contratados por la empresa: ", "\n    ")
-    return (f"{sql_lit(parts[0])} || coalesce({nombre}, 'None') || {sql_lit(parts[1])} || "
-            f"coalesce({cliente}, 'None') || {sql_lit(parts[2])} || {services} || {sql_lit(parts[3])}")
+def _context_head(nombre: str, cliente: str) -> str:
+    from deskpark.operators.services import CONTEXT_HEAD
+    a, rest = CONTEXT_HEAD.split("{nombre}")
+    b, c = rest.split("{cliente}")
+    return (f"{sql_lit(a)} || coalesce({nombre}, 'None') || {sql_lit(b)} || coalesce({cliente}, 'None') || "
+            f"{sql_lit(c)}")
+
+
+@q("service_list_parts", "cliente_servicio", "servicio")
+def _service_list_parts() -> str:
+    return """
+    WITH named AS (SELECT p.id_cliente, s.id_servicio, s.nombre
+                   FROM (SELECT DISTINCT id_cliente, id_servicio FROM cliente_servicio) p
+                   JOIN servicio s ON s.id_servicio = p.id_servicio WHERE s.nombre IS NOT NULL),
+    firsts AS (SELECT id_cliente, min(id_servicio) AS f FROM named GROUP BY 1)
+    SELECT n.id_cliente, CAST(n.id_servicio // 1000 AS BIGINT) AS part,
+           string_agg(CASE WHEN n.id_servicio = f.f THEN '' ELSE ', ' END || n.nombre, '' ORDER BY n.id_servicio)
+             AS text
+    FROM named n JOIN firsts f ON f.id_cliente = n.id_cliente
+    GROUP BY n.id_cliente, n.id_servicio // 1000"""
 
 
 @q("user_context", "colaborador", "analista", "first_ext", "cliente", "cliente_servicio", "servicio")
 def _user_context() -> str:
+    from deskpark.operators.services import CONTEXT_TAIL
     cli_name = f"CASE WHEN cl.has_cli THEN cl.cli_nombre ELSE {sql_lit(V.UNKNOWN_CLIENT)} END"
-    svc = f"coalesce(nullif(t.services_text, ''), {sql_lit(V.NO_SERVICES)})"
     return f"""
     WITH cli AS (SELECT id_cliente, min(nombre) AS cli_nombre, true AS has_cli FROM cliente GROUP BY 1),
-    texts AS (
-      SELECT p.id_cliente, string_agg(s.nombre, ', ' ORDER BY s.id_servicio, s.nombre) AS services_text
-      FROM (SELECT DISTINCT id_cliente, id_servicio FROM cliente_servicio) p
-      JOIN servicio s ON s.id_servicio = p.id_servicio GROUP BY 1)
+    svc AS (SELECT DISTINCT p.id_cliente, true AS has_services
+            FROM (SELECT DISTINCT id_cliente, id_servicio FROM cliente_servicio) p
+            JOIN servicio s ON s.id_servicio = p.id_servicio WHERE s.nombre IS NOT NULL)
     SELECT 'colaborador' AS kind, CAST(c.id_persona AS VARCHAR) AS persona_id,
            CAST(c.id_colaborador AS VARCHAR) AS colaborador_id, CAST(c.id_cliente AS VARCHAR) AS cliente_id,
-           e.ext_nombre AS nombre, e.ext_correo AS correo, {cli_name} AS cliente_nombre, {svc} AS services_text,
-           {_context('e.ext_nombre', cli_name, svc)} AS context
+           e.ext_nombre AS nombre, e.ext_correo AS correo, {cli_name} AS cliente_nombre,
+           coalesce(t.has_services, false) AS has_services,
+           {_context_head('e.ext_nombre', cli_name)} AS context_head, {sql_lit(CONTEXT_TAIL)} AS context_tail
     FROM colaborador c LEFT JOIN first_ext e ON e.id_persona = c.id_persona
-    LEFT JOIN cli cl ON cl.id_cliente = c.id_cliente LEFT JOIN texts t ON t.id_cliente = c.id_cliente
+    LEFT JOIN cli cl ON cl.id_cliente = c.id_cliente LEFT JOIN svc t ON t.id_cliente = c.id_cliente
     UNION ALL
     SELECT 'analista', CAST(a.id_persona AS VARCHAR), {sql_lit(V.ZERO_UUID)}, {sql_lit(V.ZERO_UUID)},
-           e.ext_nombre, e.ext_correo, {sql_lit(V.ANALYST_CLIENT_NAME)}, {sql_lit(V.NO_SERVICES)},
-           {_context('e.ext_nombre', sql_lit(V.ANALYST_CLIENT_NAME), sql_lit(V.NO_SERVICES))}
+           e.ext_nombre, e.ext_correo, {sql_lit(V.ANALYST_CLIENT_NAME)}, false,
+           {_context_head('e.ext_nombre', sql_lit(V.ANALYST_CLIENT_NAME))}, {sql_lit(CONTEXT_TAIL)}
     FROM analista a LEFT JOIN first_ext e ON e.id_persona = a.id_persona"""
 
 

@@ -353,3 +353,17 @@ def test_login_issuer_filter(spark):
         "login_id bigint, ts timestamp_ntz, id_provider string, correo string, nombre string, hd string, iss string")
     r = ID.identity_upsert(ext, login).collect()[0]
     assert (r.action, r.correo) == ("update", "ok@x")
+
+
+def test_context_block_reassembles(spark, dims):
+    from deskpark.operators import services as SV
+    ctx = {r.colaborador_id: r for r in SV.user_context(dims["colaborador"], dims["analista"], dims["external"],
+                                                         dims["cliente"], dims["cliente_servicio"],
+                                                         dims["servicio"]).collect()}
+    parts = sorted((p.part, p.text) for p in SV.service_list_parts(dims["cliente_servicio"], dims["servicio"])
+                   .collect())
+    c = ctx["1"]
+    services = "".join(t for _, t in parts) if c.has_services else "Ninguno"
+    assert c.context_head + services + c.context_tail == (
+        "\n    CONTEXTO DEL USUARIO ACTUAL:\n    - Nombre del usuario: Ay\n    - Empresa del usuario: ACME"
+        "\n    - Servicios contratados por la empresa: Portal, \n    ")
