@@ -81,14 +81,25 @@ def guard_ids(df: DataFrame, *cols: str) -> DataFrame:
     return df
 
 
+def _pad(c: Column, n: int) -> Column:
+    return F.lpad(c.cast("string"), n, "0")
+
+
 def ddmmyyyy(ts: Column | str) -> Column:
-    """``strftime('%d/%m/%Y')``; NULL stays NULL."""
-    return F.date_format(col_(ts), "dd/MM/yyyy")
+    """``strftime('%d/%m/%Y')``; NULL stays NULL.
+
+    Built from the wall-clock fields, so no session time zone is involved.
+    """
+    t = col_(ts).cast("timestamp_ntz")
+    return F.when(t.isNotNull(),
+                  F.concat_ws("/", _pad(F.dayofmonth(t), 2), _pad(F.month(t), 2), _pad(F.year(t), 4)))
 
 
 def ddmmyyyy_hms(ts: Column | str) -> Column:
-    """``strftime('%d/%m/%Y %H:%M:%S')`` of a timestamp or date."""
-    return F.date_format(col_(ts).cast("timestamp_ntz"), "dd/MM/yyyy HH:mm:ss")
+    """``strftime('%d/%m/%Y %H:%M:%S')`` of a timestamp or date (a date gets 00:00:00)."""
+    t = col_(ts).cast("timestamp_ntz")
+    hms = F.concat_ws(":", _pad(F.hour(t), 2), _pad(F.minute(t), 2), _pad(F.floor(F.second(t)), 2))
+    return F.when(t.isNotNull(), F.concat(ddmmyyyy(t), F.lit(" "), hms))
 
 
 def py_str(c: Column | str) -> Column:

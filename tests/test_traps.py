@@ -367,3 +367,15 @@ def test_context_block_reassembles(spark, dims):
     assert c.context_head + services + c.context_tail == (
         "\n    CONTEXTO DEL USUARIO ACTUAL:\n    - Nombre del usuario: Ay\n    - Empresa del usuario: ACME"
         "\n    - Servicios contratados por la empresa: Portal, \n    ")
+
+
+def test_date_text_ignores_session_time_zone(spark):
+    rows = [(D(2024, 3, 10, 2, 30, 5),), (D(2023, 12, 31, 23, 59, 59),), (None,)]
+    df_ = spark.createDataFrame(rows, "t timestamp_ntz")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")  # 2024-03-10 02:30 is in a DST gap
+        got = [(r.d, r.h) for r in df_.select(X.ddmmyyyy("t").alias("d"), X.ddmmyyyy_hms("t").alias("h")).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert got == [("10/03/2024", "10/03/2024 02:30:05"), ("31/12/2023", "31/12/2023 23:59:59"), (None, None)]
