@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     want = min_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if df.rdd.getNumPartitions() >= want:
+    try:
+        have = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - sessions without RDD access (e.g. a remote client)
         return df
-    return df.repartition(want)
+    return df if have >= want else df.repartition(want)
