@@ -49,7 +49,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         spark.sparkContext.setCheckpointDir(configured)
         return configured
+    current = spark.sparkContext.getCheckpointDir()
+    if current:
+        return current
     local = tempfile.mkdtemp(prefix="deskpark-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)
+    try:
+        spark.conf.set("spark.checkpoint.dir", local)
+    except Exception:  # noqa: BLE001 - some deployments refuse core confs at runtime
+        pass
     return local
