@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from deskpark.functions import vocab as V
 from deskpark.plans.oracle_views import (
-    ilike_contains, level_from_ui, md5_bigint, py_strip, sql_lit, status_from_ui, with_views,
+    ilike_contains, level_from_ui, md5_bigint, sql_lit, status_from_ui, with_views,
 )
 
 ORACLE: dict[str, str] = {}
