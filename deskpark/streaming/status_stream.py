@@ -10,6 +10,7 @@ written and skips it, so every epoch is applied exactly once.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from deskpark.operators.commands import status_apply, status_validate
@@ -17,11 +18,20 @@ from deskpark.sources import schemas as S
 from deskpark.sources.snapshots import SnapshotStore
 
 
-def read_commands(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
+def read_commands(spark: SparkSession, path: str, max_files_per_trigger: int | None = None,
+                  dedupe_within: str | None = None) -> DataFrame:
+    """Command stream; with ``dedupe_within`` (e.g. ``"1 hour"``) a command id seen
+    again within that much event time is dropped, for at-least-once sources."""
     reader = spark.readStream.schema(S.STATUS_CMD)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.parquet(path)
+    cmds = reader.parquet(path)
+    if dedupe_within:
+        # Watermarks need an instant; the command time is wall-clock (timestamp_ntz).
+        cmds = (cmds.withColumn("_event_time", F.col("ts").cast("timestamp"))
+                .withWatermark("_event_time", dedupe_within)
+                .dropDuplicatesWithinWatermark(["cmd_id"]).drop("_event_time"))
+    return cmds
 
 
 def apply_batch(store: SnapshotStore, analista: DataFrame):
@@ -36,8 +46,9 @@ def apply_batch(store: SnapshotStore, analista: DataFrame):
 
 
 def start(spark: SparkSession, commands_path: str, store: SnapshotStore, analista: DataFrame,
-          checkpoint: str, max_files_per_trigger: int | None = None) -> StreamingQuery:
-    return (read_commands(spark, commands_path, max_files_per_trigger)
+          checkpoint: str, max_files_per_trigger: int | None = None,
+          dedupe_within: str | None = None) -> StreamingQuery:
+    return (read_commands(spark, commands_path, max_files_per_trigger, dedupe_within)
             .writeStream.option("checkpointLocation", checkpoint)
             .foreachBatch(apply_batch(store, analista))
             .trigger(availableNow=True).start())

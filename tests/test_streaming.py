@@ -47,3 +47,17 @@ def test_status_stream_equals_batch(spark, mid):
     got = store.read_latest()
     want = CM.status_apply(mid.ticket, CM.status_validate(cmds, mid.analista, mid.ticket))
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_status_stream_drops_replayed_commands(spark, small):
+    scratch = tempfile.mkdtemp(prefix="st2d-")
+    cmds = small.status_cmd
+    cmds.unionByName(cmds).coalesce(1).write.parquet(f"{scratch}/cmds/part001")  # every command twice
+    store = SnapshotStore(spark, f"{scratch}/tickets")
+    store.write(small.ticket, 0)
+    q = status_stream.start(spark, f"{scratch}/cmds/*", store, small.analista, f"{scratch}/ckpt",
+                            dedupe_within="365 days")
+    q.awaitTermination(600)
+    got = store.read_latest()
+    want = CM.status_apply(small.ticket, CM.status_validate(cmds, small.analista, small.ticket))
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
