@@ -46,16 +46,18 @@ def service_resolve(intake_req: DataFrame, cliente_servicio: DataFrame, servicio
     """First contracted service of the client whose name contains the asked text.
 
     Service lines are first reduced to one row per (client, service name)
-    with the smallest line id, so a request is tested against each distinct
-    name of its client once, however many lines carry that name.
+    with the smallest line id, and requests to one row per (client, asked
+    text): each distinct text is tested against each distinct name of its
+    client once, however many lines carry the name or requests ask the text.
     """
     named = (cliente_servicio.join(servicio, "id_servicio")
              .groupBy("id_cliente", "nombre").agg(F.min("id_cliente_servicio").alias("first_cs")))
     req = intake_req.select("req_id", "id_cliente", "nombre_servicio")
-    hits = (req.join(named, "id_cliente")
-               .where(X.ilike_contains(F.col("nombre"), F.col("nombre_servicio")))
-               .groupBy("req_id").agg(F.min("first_cs").alias("id_cliente_servicio")))
-    return req.join(hits, "req_id", "left").select("req_id", "id_cliente_servicio")
+    texts = req.select("id_cliente", "nombre_servicio").distinct()
+    hits = (texts.join(named, "id_cliente")
+                 .where(X.ilike_contains(F.col("nombre"), F.col("nombre_servicio")))
+                 .groupBy("id_cliente", "nombre_servicio").agg(F.min("first_cs").alias("id_cliente_servicio")))
+    return req.join(hits, ["id_cliente", "nombre_servicio"], "left").select("req_id", "id_cliente_servicio")
 
 
 # FIXED VALUES: the context block handed to the agent, whitespace included.

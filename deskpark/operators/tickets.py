@@ -40,12 +40,15 @@ def all_tickets(ticket: DataFrame, owner_req: DataFrame) -> DataFrame:
 def tickets_by_subject(ticket: DataFrame, search_req: DataFrame) -> DataFrame:
     """Case-insensitive *contains* on the subject, per owner.
 
-    Equi-join on the owner, ``ILIKE`` as a residual: never tickets x patterns.
+    Equi-join on the owner with ``ILIKE`` as a residual: never tickets x
+    patterns. Each distinct (owner, text) is matched once, so an owner who
+    repeats a search does not multiply the scan of their tickets.
     """
     t = ticket.select("id_colaborador", "id_ticket", "asunto")
-    return (X.guard_ids(search_req, "id_colaborador").join(t, "id_colaborador")
-                      .where(X.ilike_contains(F.col("asunto"), F.col("q")))
-                      .select("id_colaborador", "q", "id_ticket", "asunto"))
+    req = X.guard_ids(search_req, "id_colaborador")
+    texts = req.select("id_colaborador", "q").distinct()
+    hits = (texts.join(t, "id_colaborador").where(X.ilike_contains(F.col("asunto"), F.col("q"))))
+    return req.join(hits, ["id_colaborador", "q"]).select("id_colaborador", "q", "id_ticket", "asunto")
 
 
 def recent_tickets(ticket: DataFrame, owner_req: DataFrame, k: int = V.RECENT_TICKETS) -> DataFrame:
@@ -149,8 +152,10 @@ def ticket_digest(owner_req: DataFrame, ticket: DataFrame, cards_of) -> DataFram
 def subject_digest(search_req: DataFrame, ticket: DataFrame, cards_of) -> DataFrame:
     """Reply of the subject-search tool per (collaborator, text).
 
-    The hits are written once (they feed the first ids and the cards).
+    One reply per distinct (collaborator, text). The hits are written once
+    (they feed the first ids and the cards).
     """
+    search_req = search_req.select("id_colaborador", "q").distinct()
     hits = materialize(tickets_by_subject(ticket, search_req).select("id_colaborador", "q", "id_ticket"))
     cards = cards_of(ticket.join(hits.select("id_ticket"), "id_ticket", "left_semi")).select("id_ticket", "card")
     keyed = hits.join(cards, "id_ticket")

@@ -379,3 +379,14 @@ def test_date_text_ignores_session_time_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
     assert got == [("10/03/2024", "10/03/2024 02:30:05"), ("31/12/2023", "31/12/2023 23:59:59"), (None, None)]
+
+
+def test_repeated_search_lists_each_card_once(spark, dims):
+    tickets = df(spark, S.TICKET, [ticket_row(1, asunto="Portal caído"), ticket_row(2, asunto="otro")])
+    reqs = df(spark, S.SEARCH_REQ, [(1, "portal"), (1, "portal")])
+    cards = lambda t: H.ticket_cards(t, dims["analista"], dims["external"], dims["cliente_servicio"],
+                                     dims["servicio"])
+    parts = T.subject_digest(reqs, tickets, cards).collect()
+    assert len([p for p in parts if p.part == -1]) == 1
+    body = "".join(p.text for p in sorted(parts, key=lambda p: p.part) if p.part >= 0)
+    assert body.count("**ID:** #1") == 1 and "#2" not in body
