@@ -141,7 +141,8 @@ def ticket_digest(owner_req: DataFrame, ticket: DataFrame, cards_of) -> DataFram
              .select("k.kind", "id_colaborador", "k._first").where(F.col("_first").isNotNull()))
     kinds = F.when(is_open, F.array(F.lit("open"), F.lit("all"))).otherwise(F.array(F.lit("all")))
     cards = cards_of(mine).select(F.explode(kinds).alias("kind"), "id_colaborador", "id_ticket", "card")
-    requests = owner_req.select(F.explode(F.array(F.lit("open"), F.lit("all"))).alias("kind"), "id_colaborador")
+    requests = (owner_req.select("id_colaborador").distinct()
+                .select(F.explode(F.array(F.lit("open"), F.lit("all"))).alias("kind"), "id_colaborador"))
     is_open_kind = F.col("kind") == "open"
     found = F.when(is_open_kind, F.lit(V.REPLY_OPEN_FOUND)).otherwise(F.lit(V.REPLY_ALL_FOUND))
     empty = F.when(is_open_kind, F.lit(V.REPLY_OPEN_EMPTY)).otherwise(F.lit(V.REPLY_ALL_EMPTY))
