@@ -137,3 +137,33 @@ def test_escalation_fold_with_more_levels(spark):
     validated = ES.escalation_validate(cmd_df, analysts, tickets)
     assert {r.cmd_id: r.code for r in validated.collect()} == codes
     assert {r.id_ticket: r.id_analista for r in ES.escalation_apply(tickets, validated).collect()} == final
+
+
+def test_inbox_pages_are_disjoint_and_add_up(spark, mid):
+    from pyspark.sql import functions as F
+
+    from deskpark.operators import inbox as I
+    from deskpark.sources import schemas as S
+    analysts = [r.id_persona for r in mid.analista.orderBy("id_analista").limit(12).collect()]
+    reqs, rid = [], 0
+    for p in analysts:
+        for off in range(0, 400, 7):
+            rid += 1
+            reqs.append((rid, p, "abierto" if p % 2 else None, 7, off))
+    req = spark.createDataFrame(reqs, S.INBOX_REQ)
+    out = I.analyst_inbox(req, mid.ticket, mid.analista, mid.colaborador, mid.external, mid.cliente,
+                          mid.cliente_servicio, mid.servicio).collect()
+    person_of = {r[0]: r[1] for r in reqs}
+    seen, totals = {}, {}
+    for r in out:
+        totals.setdefault(person_of[r.req_id], set()).add(r.total)
+        if r.id_ticket is not None:
+            seen.setdefault(person_of[r.req_id], []).append(r.id_ticket)
+    an = {a.id_persona: a.id_analista for a in mid.analista.collect()}
+    for p in analysts:
+        t = mid.ticket.where(F.col("id_analista") == an[p])
+        if p % 2:
+            t = t.where(F.col("estado") == "aceptado")
+        want = {r.id_ticket for r in t.select("id_ticket").collect()}
+        got = seen.get(p, [])
+        assert len(got) == len(set(got)) and set(got) == want and totals[p] == {len(want)}
