@@ -45,6 +45,27 @@ def transcripts(mensaje: DataFrame, key: str = "id_ticket") -> DataFrame:
     return as_json(conversations(mensaje, key), key)
 
 
+TURNS_PER_PART = 1000
+
+
+def transcript_parts(mensaje: DataFrame, key: str = "id_ticket") -> DataFrame:
+    """The stored conversation as bounded JSON fragments (A3 for very long threads).
+
+    Rows ``key, part, n_messages, fragment``: part p holds the kept messages
+    with ``turn div 1000 = p`` as JSON objects joined by commas. The JSON
+    text of the conversation is ``'[' + ','.join(fragments by part) + ']'``
+    (``[]`` when a ticket has no part), so no group holds a whole thread.
+    """
+    kept = mensaje.where(F.col("role").isin(*V.ROLE_RENAME))
+    msg = F.to_json(F.struct(F.element_at(X.literal_map(V.ROLE_RENAME), F.col("role")).alias("role"),
+                             F.col("content").alias("content")))
+    part = F.floor(F.col("turn") / TURNS_PER_PART).cast("bigint")
+    items = F.array_sort(F.collect_list(F.struct("turn", msg.alias("m"))))
+    return kept.groupBy(key, part.alias("part")).agg(
+        F.count(F.lit(1)).alias("n_messages"),
+        F.array_join(F.transform(items, lambda x: x["m"]), ",").alias("fragment"))
+
+
 def intake_conversations(intake: DataFrame, thread_turns: DataFrame) -> DataFrame:
     """Conversation stored with every created ticket.
 

@@ -40,6 +40,11 @@ def transcripts(d: TestData) -> DataFrame:
     return TR.transcripts(d.mensaje)
 
 
+@register("transcript_parts")
+def transcript_parts(d: TestData) -> DataFrame:
+    return TR.transcript_parts(d.mensaje)
+
+
 @register("ticket_detail")
 def ticket_detail(d: TestData) -> DataFrame:
     return H.ticket_detail(d.ticket, d.colaborador, d.external, d.cliente, d.cliente_servicio, d.servicio,

@@ -74,6 +74,15 @@ def _transcripts() -> str:
     return "SELECT id_ticket, CAST(n_messages AS INTEGER) AS n_messages, contenido FROM conv_json"
 
 
+@q("transcript_parts", "mensaje")
+def _transcript_parts() -> str:
+    return """
+    SELECT id_ticket, CAST(turn // 1000 AS BIGINT) AS part, count(*) AS n_messages,
+           string_agg(to_json({'role': CASE role WHEN 'user' THEN 'user' ELSE 'agent' END,
+                               'content': content})::VARCHAR, ',' ORDER BY turn) AS fragment
+    FROM mensaje WHERE role IN ('user', 'assistant') GROUP BY 1, 2"""
+
+
 @q("ticket_detail", "ticket", "prof", "svc", "latest_esc", "conv_json")
 def _detail() -> str:
     return """

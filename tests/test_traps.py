@@ -390,3 +390,12 @@ def test_repeated_search_lists_each_card_once(spark, dims):
     assert len([p for p in parts if p.part == -1]) == 1
     body = "".join(p.text for p in sorted(parts, key=lambda p: p.part) if p.part >= 0)
     assert body.count("**ID:** #1") == 1 and "#2" not in body
+
+
+def test_transcript_parts_reassemble(small):
+    whole = {r.id_ticket: r.contenido for r in TR.transcripts(small.mensaje).collect()}
+    parts = {}
+    for r in TR.transcript_parts(small.mensaje).collect():
+        parts.setdefault(r.id_ticket, []).append((r.part, r.fragment))
+    rebuilt = {t: "[" + ",".join(f for _, f in sorted(ps)) + "]" for t, ps in parts.items()}
+    assert all(rebuilt.get(t, "[]") == j for t, j in whole.items())
