@@ -39,8 +39,17 @@ class SnapshotStore:
     def has(self, version: int) -> bool:
         return version in self.versions()
 
+    def _exists(self, version: int) -> bool:
+        fs, jvm = self._fs()
+        return fs.exists(jvm.org.apache.hadoop.fs.Path(self.path(version)))
+
     def write(self, df: DataFrame, version: int) -> None:
-        df.write.mode("errorifexists").parquet(self.path(version))
+        """Write a version. A complete version is never replaced; a directory
+        left without ``_SUCCESS`` by a failed attempt is (readers ignore it)."""
+        if self.has(version):
+            raise FileExistsError(self.path(version))
+        mode = "overwrite" if self._exists(version) else "errorifexists"
+        df.write.mode(mode).parquet(self.path(version))
 
     def read(self, version: int) -> DataFrame:
         return self.spark.read.parquet(self.path(version))

@@ -35,3 +35,17 @@ def test_snapshot_versions(spark, small):
     store.write(small.cliente.limit(3), 2)
     assert store.versions() == [0, 2] and store.has(2) and not store.has(1)
     assert store.read_latest().count() == 3
+
+
+def test_snapshot_replaces_only_incomplete_versions(spark, small):
+    import os
+
+    root = tempfile.mkdtemp(prefix="snap2-")
+    store = SnapshotStore(spark, root)
+    os.makedirs(store.path(1))                      # a failed attempt left a partial directory
+    open(os.path.join(store.path(1), "part-0.parquet"), "w").write("junk")
+    assert store.versions() == []
+    store.write(small.cliente, 1)
+    assert store.versions() == [1] and store.read(1).count() == small.cliente.count()
+    with pytest.raises(FileExistsError):
+        store.write(small.cliente, 1)
