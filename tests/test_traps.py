@@ -399,3 +399,16 @@ def test_transcript_parts_reassemble(small):
         parts.setdefault(r.id_ticket, []).append((r.part, r.fragment))
     rebuilt = {t: "[" + ",".join(f for _, f in sorted(ps)) + "]" for t, ps in parts.items()}
     assert all(rebuilt.get(t, "[]") == j for t, j in whole.items())
+
+
+# ---------------------------------------------------------------- T19, T22
+def test_null_subject_keeps_its_row(spark, dims):
+    tickets = df(spark, S.TICKET, [ticket_row(1, analyst=10, asunto=None), ticket_row(2, analyst=11)])
+    reqs = df(spark, S.INBOX_REQ, [(1, 1010, None, 20, 0)])
+    page = I.analyst_inbox(reqs, tickets, dims["analista"], dims["colaborador"], dims["external"],
+                           dims["cliente"], dims["cliente_servicio"], dims["servicio"]).collect()
+    assert [(r.id_ticket, r.subject) for r in page] == [(1, None)]
+    det = H.ticket_detail(tickets, dims["colaborador"], dims["external"], dims["cliente"],
+                          dims["cliente_servicio"], dims["servicio"], df(spark, S.ESCALADO, []),
+                          TR.transcripts(df(spark, S.MENSAJE, []))).collect()
+    assert sorted((r.id_ticket, r.subject) for r in det) == [(1, None), (2, "s")]  # unrestricted (T22)
