@@ -8,6 +8,7 @@ documents. A stage works on all that its predecessor kept.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from deskpark.llm.common import ship, table, work_dir
 from deskpark.llm.queries import RADIUS, SHINGLE
@@ -29,9 +30,31 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return simhash.one_of_each_group(docs, SHINGLE, RADIUS)
 
 
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that leak no item of the benchmark."""
+    from deskpark.llm import decontaminate
+
+    ship(spark)
+    return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, personal data in their texts masked; n_chars is that of the new text where it was known."""
+    from deskpark.llm import pii
+
+    ship(spark)
+    masked = docs.withColumn("text", pii.masked_column(F.col("text"), pii.train(docs)))
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        masked = masked.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast(kind)))
+    return masked.select(docs.columns)
+
+
 STAGES = [
     ("quality_classifier", quality),
     ("simhash_near_dedup", near_duplicates),
+    ("template_decontamination", decontamination),
+    ("pii", personal_data),
 ]
 
 #: Trained models, bit counts and token merges are beyond SQL; the tests hold each stage against brute force.

@@ -33,6 +33,14 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.trim(plain), " ", -1), "")
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once for a row, however often body uses it.
+
+    The optimizer puts an alias back into each place that uses it; a lambda's variable stays bound.
+    """
+    return F.get(F.transform(F.array(value), lambda bound: body(bound)), 0)
+
+
 def sample_rows(df: DataFrame, limit: int, *columns: str) -> DataFrame:
     """At most ``limit`` rows, those of the smallest hashed ids: the same ones at any partitioning.
 

@@ -28,6 +28,25 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op10_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every (doc_id, item_id) of a benchmark item that a document leaks; see ``decontaminate.leaks``."""
+    from deskpark.llm import decontaminate
+
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts -> counts and digest of the base spans, and all spans; see ``pii.find``."""
+    from deskpark.llm import pii
+
+    docs = table(spark, sf_dir, "documents")
+    found = pii.find(docs, pii.train(docs)).withColumn("own", F.filter("spans", lambda s: s.base))
+    listed = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
+    count = lambda kind: F.size(F.filter("own", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+    counts = [count(kind) for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(listed("own"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
 def _shipped(query):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
