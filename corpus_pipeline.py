@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deskpark.llm.common import ship, table, work_dir
-from deskpark.llm.queries import RADIUS, SHINGLE
+from deskpark.llm.queries import PIECES, RADIUS, SHINGLE
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,11 +50,22 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return masked.select(docs.columns)
 
 
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids and decoded_equal of every row."""
+    import public_tokenizers
+
+    from deskpark.llm import sentencepiece_hf
+
+    ship(spark)
+    return sentencepiece_hf.encode(docs, public_tokenizers.path(PIECES))
+
+
 STAGES = [
     ("quality_classifier", quality),
     ("simhash_near_dedup", near_duplicates),
     ("template_decontamination", decontamination),
     ("pii", personal_data),
+    ("sentencepiece", tokens),
 ]
 
 #: Trained models, bit counts and token merges are beyond SQL; the tests hold each stage against brute force.

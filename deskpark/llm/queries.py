@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deskpark.llm.common import held_out, ship, table
+from deskpark.llm.common import held_out, ship, table, work_dir
 
 #: SimHash contract: words of a shingle, greatest number of differing bits of a link.
 SHINGLE, RADIUS = 4, 4
+#: The SentencePiece model, a file of the public tokenizers.
+PIECES = "piece_bpe_32k.model"
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +49,26 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(listed("own"), 256).alias("base_sha256"), listed("spans").alias("spans"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts -> n_tokens, ids, decoded_equal of the 32k piece model; see ``sentencepiece_hf``."""
+    import public_tokenizers
+
+    from deskpark.llm import sentencepiece_hf
+
+    return sentencepiece_hf.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+
+
+def op8_bit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts -> packed files in ascending doc_id, read back: start, n_tokens, ids_crc32; see ``bitpack``."""
+    import public_tokenizers
+
+    from deskpark.llm import bitpack
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    files = bitpack.write(table(spark, sf_dir, "documents"), path, 50257, work_dir(spark, "op8"))
+    return bitpack.read(files)
+
+
 def _shipped(query):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
