@@ -13,6 +13,15 @@ SHINGLE, RADIUS = 4, 4
 PIECES = "piece_bpe_32k.model"
 
 
+def op1_ppm_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts -> held_out, lang_pred, score; see ``langid``."""
+    from deskpark.llm import langid
+
+    docs = table(spark, sf_dir, "documents")
+    out = langid.predict(docs, langid.train(docs))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts -> fingerprint (hex) and component_id; see ``simhash.near_duplicates``."""
     from deskpark.llm import simhash
