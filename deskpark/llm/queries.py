@@ -58,6 +58,13 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(listed("own"), 256).alias("base_sha256"), listed("spans").alias("spans"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's base counts, base_failed, kept and distances; see ``quality_rules.judge``."""
+    from deskpark.llm import quality_rules
+
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts -> n_tokens, ids, decoded_equal of the 32k piece model; see ``sentencepiece_hf``."""
     import public_tokenizers
