@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from deskpark.llm.common import learnable, sample_rows
 
 #: Labelled rows to learn from at most: the bound of the sample that meets on the driver.
-TRAIN_ROWS = 6000
+TRAIN_ROWS = 3000
 #: Tokens of one text that are counted at a time.
 _SLICE = 1 << 18
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -96,7 +96,7 @@ def fit_features(seen: list[tuple[np.ndarray, np.ndarray, int]], bits: int, alph
 
     for _ in range(epochs):
         for at, value, y in seen:
-            at, value = np.append(at, size), np.append(value, 1.0)
+            at, value = np.append(at, size).astype(np.int64), np.append(value, 1.0).astype(float)
             w = weights(at)
             p = 1 / (1 + np.exp(-np.clip(w @ value, -30, 30)))
             g = (p - y) * value
@@ -130,8 +130,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
     got = known.toPandas()
     got["order"] = [zlib.crc32(str(i).encode()) for i in got.doc_id]
     got = got.sort_values(["order", "doc_id"], kind="stable")
-    seen = [(np.asarray(a, np.int64), np.asarray(v, float), int(y)) for a, v, y in zip(got["at"], got["value"], got["y"])]
-    return fit_features(seen, bits)
+    return fit_features(list(zip(got["at"], got["value"], got["y"])), bits)
 
 
 def score_column(text: Column, model: Model) -> Column:
