@@ -137,7 +137,8 @@ def distance(p: str, q: str) -> Column:
     share = lambda c, n: F.transform(c, lambda x: x / n)
     both = F.get(F.transform(F.array(F.struct(total(p).alias("p"), total(q).alias("q"))), lambda n: F.when(
         (n["p"] > 0) & (n["q"] > 0), F.zip_with(share(p, n["p"]), share(q, n["q"]), _part))), 0)
-    return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(both, F.lit(0.0), lambda a, b: a + b)))
+    divergence = F.aggregate(both, F.lit(0.0), lambda a, b: a + b)
+    return F.when(divergence.isNotNull(), F.sqrt(F.greatest(F.lit(0.0), divergence)))
 
 
 def _part(x: Column, y: Column) -> Column:

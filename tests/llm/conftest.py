@@ -1,12 +1,7 @@
-import os
-import sys
-
 import pytest
 from pyspark.sql import functions as F
 
-sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
-
-from llm_cases import EDGE  # noqa: E402
+from llm.cases import EDGE
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, fp long, spans string, slot string"
 

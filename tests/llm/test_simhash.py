@@ -6,11 +6,10 @@ import re
 import numpy as np
 import pytest
 import xxhash
-from conftest import SF_SMALL
-from llm_cases import EDGE
 
 from deskpark.llm import components, simhash
 from deskpark.llm.queries import queries
+from llm.cases import EDGE, SF_SMALL
 
 
 def brute_fingerprint(text, k=4):
