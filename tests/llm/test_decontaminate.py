@@ -1,0 +1,75 @@
+"""Template decontamination against brute force, re-parameterised items, slot agreement, edge rows."""
+
+from deskpark.llm import decontaminate as d
+from deskpark.llm.queries import queries
+from llm.cases import EDGE, LONG, SF_SMALL
+
+ITEM = "item_id long, text string, h long, window string"
+QUESTION = ("A train leaves the station at 9 and travels 120 km to the north before it turns round and goes back at 40 miles "
+            "an hour, so how long will the driver Alice need in all to return")
+
+
+def found(docs, items):
+    return {(r.doc_id, r.item_id): r for r in d.leaks(docs, items).collect()}
+
+
+def bench(spark, rows):
+    return spark.createDataFrame([(*r, 1, "w") for r in rows], ITEM)
+
+
+def test_query_finds_every_verbatim_item_and_no_other(spark):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()
+    items = spark.read.parquet(f"{SF_SMALL}/benchmark.parquet").collect()
+    got = {(r.doc_id, r.item_id) for r in queries()["op10_template_decontamination"](spark, SF_SMALL).collect()}
+
+    def words(text):
+        return "".join(c for c in text.lower() if c.isalnum() or c.isspace()).split()
+
+    def share(item, doc):
+        windows = lambda t: {tuple(w[i:i + 5]) for w in [words(t)] for i in range(len(w) - 4)}
+        return len(windows(item) & windows(doc)) / len(windows(item))
+
+    # These texts have no slot in a benchmark item: templates and plain words find the same.
+    assert got == {(x.doc_id, i.item_id) for x in docs for i in items if share(i.text, x.text) >= 0.8}
+    assert {(x.doc_id, i.item_id) for x in docs for i in items if i.text in x.text} <= got and got
+
+
+def test_template():
+    from pyspark.sql import functions as F
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.active()
+    row = spark.createDataFrame([("He paid 3.5 EUR, or 7%, to Bob. Then 12km on; x9 stays.",)], "t string")
+    got = row.select(d.template(F.col("t")).alias("a"), d.template(F.col("t"), True).alias("b")).first()
+    assert got.a == ["he", "paid", "\x01n", "\x01u", "or", "\x01n", "\x01u", "to", "\x01p", "then", "\x01n", "\x01u", "on", "x9", "stays"]
+    assert got.b[2:4] == ["\x01n\x0235", "\x01u\x02eur"] and got.b[8] == "\x01p\x02bob" and [w.split("\x02")[0] for w in got.b] == got.a
+
+
+def test_copies_and_new_parameters_are_caught(spark, make):
+    changed = QUESTION.replace("120 km", "75 yards").replace("40 miles", "33 meters").replace(" 9 ", " 11 ").replace("Alice", "Bruno")
+    shouted = QUESTION.upper().replace(" ", "  \n")
+    half = " ".join(QUESTION.split()[:17])
+    other = "The rest of the house was old and the dog did not like it at all, so the man went on to the town alone"
+    docs = make([(1, f"so it was, {QUESTION} and then"), (2, f"{other}. {changed}"), (3, f"{half} {other}"), (4, other), (5, shouted), (6, f"{QUESTION} {other} {changed}")])
+    got = found(docs, bench(spark, [(70, QUESTION), (71, "an item that is not in any of these documents here")]))
+    assert {k for k in got} == {(1, 70), (2, 70), (5, 70), (6, 70)}
+    assert got[1, 70].n_found == got[1, 70].n_windows and got[2, 70].slot_agreement == 1.0
+
+
+def test_slots_must_agree(spark, make):
+    """The same template with values that contradict each other is another text."""
+    item = " ".join(f"take 5 of them and add 5 to it then give 5 back part{k}" for k in "abcdef")
+    steady = item.replace(" 5 ", " 8 ")
+    mixed = " ".join(str(17 + k) if w == "5" else w for k, w in enumerate(item.split()))
+    got = found(make([(1, item), (2, steady), (3, mixed)]), bench(spark, [(1, item)]))
+    assert set(got) == {(1, 1), (2, 1)}
+
+
+def test_edge_rows_and_empty_tables(spark, make, edge, empty):
+    items = bench(spark, [(1, None), (2, ""), (None, "twice the same row and id"), (4, "one"), (5, "twice the same row and id"), (5, "twice the same row and id"),
+                          (6, " ".join(LONG.split()[:60])), (7, "?!")])
+    assert set(found(edge, items)) == {(4, 4), (5, 6), (6, 6), (7, 5)}
+    assert found(empty, items) == {} and found(edge, bench(spark, [])) == {}
+    kept = d.without_leaks(edge, items)
+    assert kept.columns == edge.columns and sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 1, 2, 3, 8, 9]
+    assert len(EDGE) == edge.count()
