@@ -43,10 +43,11 @@ def identity_upsert(external: DataFrame, login: DataFrame) -> DataFrame:
     * key known once: ``update`` correo, nombre, hd from the latest login;
     * key unknown: ``insert`` with a new person id (md5 of the key);
     * key known several times: ``duplicate``, rows unchanged (the login fails);
-    * no login: ``keep``.
+    * no login: ``keep``. A row with a NULL key matches no login and is kept.
     """
-    dup = external.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n"))
-    ext = external.join(dup, KEY).withColumn("_ext", F.lit(True))
+    # Only the few repeated keys are joined back, from the left: no row of the table can get lost.
+    ext = external.join(identity_duplicates(external).withColumnRenamed("n", "_n"), KEY, "left")
+    ext = ext.withColumn("_ext", F.lit(True))
     new = latest_login(login).select(*KEY, "login_id", F.col("correo").alias("l_correo"),
                                      F.col("nombre").alias("l_nombre"), F.col("hd").alias("l_hd"))
     j = ext.join(new, KEY, "full_outer")

@@ -26,9 +26,9 @@ def resolve_requests(requests: DataFrame, analista: DataFrame) -> DataFrame:
     """Attach analyst, wanted status and outcome code to each request.
 
     * ``status`` absent or empty, or equal to ``todos`` before stripping: no filter (T6).
-    * unknown status word: code 400, no page.
-    * a person who is not an analyst: code 200, total 0, no rows (T18).
     * page bounds outside 1..100 / >= 0: code 422; absent bounds default to 20 / 0 (F19).
+    * a person who is not an analyst: code 200, total 0, no rows (T18), whatever the status word.
+    * unknown status word: code 400, no page.
     """
     requests = (requests.withColumn("page_limit", F.coalesce("page_limit", F.lit(V.PAGE_LIMIT_DEFAULT)))
                         .withColumn("page_offset", F.coalesce("page_offset", F.lit(0))))
@@ -37,7 +37,8 @@ def resolve_requests(requests: DataFrame, analista: DataFrame) -> DataFrame:
     wanted = F.when(no_filter, F.lit(None)).otherwise(X.status_from_ui(st))
     bad_page = ((F.col("page_limit") < 1) | (F.col("page_limit") > V.PAGE_LIMIT_MAX)
                 | (F.col("page_offset") < 0))
-    code = (F.when(bad_page, 422).when(~no_filter & wanted.isNull(), 400).otherwise(200))
+    code = (F.when(bad_page, 422).when(F.col("id_analista").isNull(), 200)
+            .when(~no_filter & wanted.isNull(), 400).otherwise(200))
     return (X.guard_ids(requests, "id_persona").join(analyst_of_person(analista), "id_persona", "left")
                     .select("req_id", "id_analista", "page_limit", "page_offset",
                             no_filter.alias("no_filter"), wanted.alias("wanted"), code.alias("code")))

@@ -31,7 +31,7 @@ def ticket_intake(intake_req: DataFrame, ticket: DataFrame, cliente_servicio: Da
     r = materialize(resolved.withColumn("outcome", outcome))
     start = ticket.agg(F.coalesce(F.max("id_ticket"), F.lit(0))).scalar()
     new_ids = dense_ids(r.where(F.col("outcome") == "created").select("ts", "req_id"), ["ts", "req_id"],
-                        start, "id_ticket", materialized=True)
+                        start, "id_ticket")
     assignee = default_assignee(external, analista, assignee_name).select("id_analista").scalar()
     created = F.col("outcome") == "created"
     return r.join(new_ids.select("req_id", "id_ticket"), "req_id", "left").select(

@@ -22,14 +22,15 @@ def client_services(cliente_servicio: DataFrame, servicio: DataFrame) -> DataFra
         "id_cliente", F.col("id_servicio").cast("string").alias("id_servicio"), "nombre")
 
 
-def service_list_parts(cliente_servicio: DataFrame, servicio: DataFrame) -> DataFrame:
+def service_list_parts(cliente: DataFrame, cliente_servicio: DataFrame, servicio: DataFrame) -> DataFrame:
     """``', '.join(service names)`` per client, ordered by service id, as bounded parts (A5).
 
     Rows ``id_cliente, part, text``: part p holds the names of the services
     with ``id_servicio div PART_SIZE = p``; concatenating ``text`` in part
     order gives the joined list. The first name of a client carries no
     leading separator (its id comes from a ``min`` aggregate), so no group
-    ever holds a client's whole list.
+    ever holds a client's whole list. A client without a named service has
+    one row: part 0, ``Ninguno``.
     """
     named = (cliente_servicio.select("id_cliente", "id_servicio").distinct()
              .join(servicio.where(F.col("nombre").isNotNull()), "id_servicio"))
@@ -38,8 +39,11 @@ def service_list_parts(cliente_servicio: DataFrame, servicio: DataFrame) -> Data
                      F.col("nombre"))
     part = F.floor(F.col("id_servicio") / PART_SIZE).cast("bigint")
     items = F.array_sort(F.collect_list(F.struct("id_servicio", piece.alias("p"))))
-    return (named.join(first, "id_cliente").groupBy("id_cliente", part.alias("part"))
-            .agg(F.array_join(F.transform(items, lambda x: x["p"]), "").alias("text")))
+    listed = (named.join(first, "id_cliente").groupBy("id_cliente", part.alias("part"))
+              .agg(F.array_join(F.transform(items, lambda x: x["p"]), "").alias("text")))
+    without = cliente.select("id_cliente").distinct().join(first, "id_cliente", "left_anti").select(
+        "id_cliente", F.lit(0).cast("bigint").alias("part"), F.lit(V.NO_SERVICES).alias("text"))
+    return listed.unionByName(without)
 
 
 def service_resolve(intake_req: DataFrame, cliente_servicio: DataFrame, servicio: DataFrame) -> DataFrame:
@@ -78,7 +82,7 @@ def user_context(colaborador: DataFrame, analista: DataFrame, external: DataFram
 
     The context block is ``context_head + services + context_tail`` where
     ``services`` is the client's ``service_list_parts`` concatenated in part
-    order, or ``Ninguno`` when ``has_services`` is false. The list itself is
+    order (``Ninguno`` for a client without any). The list itself is
     kept per client (not copied into every user row).
     """
     ext = first_external(external)

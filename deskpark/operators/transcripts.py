@@ -53,17 +53,23 @@ def transcript_parts(mensaje: DataFrame, key: str = "id_ticket") -> DataFrame:
 
     Rows ``key, part, n_messages, fragment``: part p holds the kept messages
     with ``turn div 1000 = p`` as JSON objects joined by commas. The JSON
-    text of the conversation is ``'[' + ','.join(fragments by part) + ']'``
-    (``[]`` when a ticket has no part), so no group holds a whole thread.
+    text of the conversation is ``'[' + ','.join(fragments by part) + ']'``, so
+    no group holds a whole thread. A thread without a kept message has one
+    row, part 0 with an empty fragment.
     """
     kept = mensaje.where(F.col("role").isin(*V.ROLE_RENAME))
     msg = F.to_json(F.struct(F.element_at(X.literal_map(V.ROLE_RENAME), F.col("role")).alias("role"),
                              F.col("content").alias("content")))
     part = F.floor(F.col("turn") / TURNS_PER_PART).cast("bigint")
     items = F.array_sort(F.collect_list(F.struct("turn", msg.alias("m"))))
-    return kept.groupBy(key, part.alias("part")).agg(
+    parts = kept.groupBy(key, part.alias("part")).agg(
         F.count(F.lit(1)).alias("n_messages"),
         F.array_join(F.transform(items, lambda x: x["m"]), ",").alias("fragment"))
+    has_kept = F.max(F.coalesce(F.col("role").isin(*V.ROLE_RENAME), F.lit(False)))
+    silent = mensaje.groupBy(key).agg(has_kept.alias("_kept")).where(~F.col("_kept")).select(
+        key, F.lit(0).cast("bigint").alias("part"), F.lit(0).cast("bigint").alias("n_messages"),
+        F.lit("").alias("fragment"))
+    return parts.unionByName(silent)
 
 
 def intake_conversations(intake: DataFrame, thread_turns: DataFrame) -> DataFrame:

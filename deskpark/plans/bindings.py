@@ -120,7 +120,7 @@ def service_resolve(d: TestData) -> DataFrame:
 
 @register("service_list_parts")
 def service_list_parts(d: TestData) -> DataFrame:
-    return SV.service_list_parts(d.cliente_servicio, d.servicio)
+    return SV.service_list_parts(d.cliente, d.cliente_servicio, d.servicio)
 
 
 @register("user_context")

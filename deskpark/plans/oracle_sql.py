@@ -28,7 +28,7 @@ def _inbox() -> str:
       FROM inbox_req r LEFT JOIN analyst_of_person a ON a.id_persona = r.id_persona),
     req2 AS (
       SELECT *, CASE WHEN page_limit < 1 OR page_limit > {V.PAGE_LIMIT_MAX} OR page_offset < 0 THEN 422
-                     WHEN NOT no_filter AND mapped IS NULL THEN 400 ELSE 200 END AS code
+                     WHEN id_analista IS NULL THEN 200 WHEN NOT no_filter AND mapped IS NULL THEN 400 ELSE 200 END AS code
       FROM req),
     matched AS (
       SELECT r.req_id, r.page_offset, r.page_limit, t.*
@@ -80,7 +80,10 @@ def _transcript_parts() -> str:
     SELECT id_ticket, CAST(turn // 1000 AS BIGINT) AS part, count(*) AS n_messages,
            string_agg(to_json({'role': CASE role WHEN 'user' THEN 'user' ELSE 'agent' END,
                                'content': content})::VARCHAR, ',' ORDER BY turn) AS fragment
-    FROM mensaje WHERE role IN ('user', 'assistant') GROUP BY 1, 2"""
+    FROM mensaje WHERE role IN ('user', 'assistant') GROUP BY 1, 2
+    UNION ALL
+    SELECT id_ticket, 0, 0, '' FROM mensaje GROUP BY id_ticket
+    HAVING count(*) FILTER (WHERE role IN ('user', 'assistant')) = 0"""
 
 
 @q("ticket_detail", "ticket", "prof", "svc", "latest_esc", "conv_json")
@@ -241,7 +244,7 @@ def _context_head(nombre: str, cliente: str) -> str:
             f"{sql_lit(c)}")
 
 
-@q("service_list_parts", "cliente_servicio", "servicio")
+@q("service_list_parts", "cliente", "cliente_servicio", "servicio")
 def _service_list_parts() -> str:
     return """
     WITH named AS (SELECT p.id_cliente, s.id_servicio, s.nombre
@@ -252,7 +255,9 @@ def _service_list_parts() -> str:
            string_agg(CASE WHEN n.id_servicio = f.f THEN '' ELSE ', ' END || n.nombre, '' ORDER BY n.id_servicio)
              AS text
     FROM named n JOIN firsts f ON f.id_cliente = n.id_cliente
-    GROUP BY n.id_cliente, n.id_servicio // 1000"""
+    GROUP BY n.id_cliente, n.id_servicio // 1000
+    UNION ALL
+    SELECT DISTINCT id_cliente, 0, 'Ninguno' FROM cliente WHERE id_cliente NOT IN (SELECT id_cliente FROM named)"""
 
 
 @q("user_context", "colaborador", "analista", "first_ext", "cliente", "cliente_servicio", "servicio")

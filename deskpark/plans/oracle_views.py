@@ -46,6 +46,11 @@ def ilike_contains(text: str, q: str) -> str:
     return f"({text} ILIKE '%' || {q} || '%' ESCAPE '\\')"
 
 
+def target(run: int) -> str:
+    """Ticket that an event's command names."""
+    return f"(event_id // {run} * 7919 % ((SELECT max(o_orderkey) FROM orders) + 1))"
+
+
 # name -> (dependencies, body)
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "line1": ((), """
@@ -135,7 +140,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         FROM events WHERE event_type = 'purchase'"""),
     "status_cmd": (("line1",), f"""
         SELECT event_id AS cmd_id, ts,
-               event_id % 400 + CASE WHEN event_id % 97 = 0 THEN {OFF} ELSE 0 END AS id_ticket,
+               {target(4)} + CASE WHEN event_id % 97 = 0 THEN {OFF} ELSE 0 END AS id_ticket,
                CASE WHEN event_id % 23 = 0 THEN user_id WHEN event_id % 4 = 0 THEN {OFF} + user_id % 10
                     ELSE coalesce({OFF} + l_suppkey, {OFF}) END AS id_persona,
                CASE event_id % 9 WHEN 0 THEN 'Abierto' WHEN 1 THEN ' En Atención ' WHEN 2 THEN 'en atencion'
@@ -144,16 +149,16 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                CASE event_id % 7 WHEN 0 THEN 'Alto' WHEN 1 THEN 'critico' WHEN 2 THEN 'urgente'
                     WHEN 3 THEN ' Medio ' WHEN 4 THEN '' END AS level,
                CASE WHEN event_id % 5 = 0 THEN '' WHEN event_id % 5 < 3 THEN props END AS description
-        FROM events LEFT JOIN line1 ON l_orderkey = event_id % 400
+        FROM events LEFT JOIN line1 ON l_orderkey = {target(4)}
         WHERE event_type IN ('click', 'view')"""),
     "escalation_cmd": (("line1",), f"""
         SELECT event_id AS cmd_id, ts,
-               event_id % 100 + CASE WHEN event_id % 97 = 0 THEN {OFF} ELSE 0 END AS id_ticket,
+               {target(32)} + CASE WHEN event_id % 97 = 0 THEN {OFF} ELSE 0 END AS id_ticket,
                CASE WHEN event_id % 23 = 0 THEN user_id WHEN event_id % 3 = 0 THEN {OFF} + 1
                     WHEN event_id % 3 = 1 THEN {OFF} + 51
                     ELSE coalesce({OFF} + l_suppkey, {OFF}) END AS id_persona,
                CASE WHEN event_id % 19 = 0 THEN 'corto' ELSE 'motivo de derivacion ' || props END AS motivo
-        FROM events LEFT JOIN line1 ON l_orderkey = event_id % 100
+        FROM events LEFT JOIN line1 ON l_orderkey = {target(32)}
         WHERE event_type = 'signup'"""),
     # ---- shared lookups (hydration)
     "first_ext": (("external",), """

@@ -43,7 +43,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Directory for checkpoints and intermediate tables.
 
     A cluster names a shared folder in ``spark.checkpoint.dir``; we use it as
-    is. Only when it is unset (local tests) do we make a scratch folder.
+    is. Only when it is unset on a ``local`` master (tests) do we make a scratch
+    folder; elsewhere that would be a folder of the driver alone: an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -52,6 +53,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    master = spark.conf.get("spark.master", "")
+    if master != "local" and not master.startswith("local["):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share (master {master})")
     local = tempfile.mkdtemp(prefix="deskpark-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.sparkContext.setCheckpointDir(local)
     try:

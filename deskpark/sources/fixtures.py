@@ -150,7 +150,13 @@ class TestData:
 
     @cached_property
     def kb_document(self) -> DataFrame:
-        return S.conform(self.raw("documents").select("doc_id", "text"), S.KB_DOCUMENT)
+        """The generated table is one file with one row group, which one task would read and tokenize: dealt out here.
+
+        A production corpus has many files and needs no such step.
+        """
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        docs = self.raw("documents").select("doc_id", "text").repartition(parts)
+        return S.conform(docs, S.KB_DOCUMENT)
 
     # ------------------------------------------------------ requests / commands
     @cached_property
@@ -217,12 +223,18 @@ class TestData:
             F.concat(F.lit("Login "), eid.cast("string")).alias("nombre"),
             F.when(eid % 2 == 0, "example.test").alias("hd")), S.LOGIN)
 
+    def _target(self, run: int) -> Column:
+        """Ticket that an event's command names: runs of ``run`` events share one, and runs step over all order keys."""
+        highest = self.raw("orders").agg(F.max("o_orderkey")).scalar()
+        return F.floor(F.col("event_id") / run).cast("bigint") * 7919 % (highest + 1)
+
     @cached_property
     def status_cmd(self) -> DataFrame:
         e = self.raw("events").where(F.col("event_type").isin("click", "view"))
         l1 = self.line1.select("l_orderkey", "l_suppkey")
         eid, uid = F.col("event_id"), F.col("user_id")
-        j = e.join(l1, F.col("l_orderkey") == eid % 400, "left")
+        e = e.withColumn("target", self._target(4))
+        j = e.join(l1, F.col("l_orderkey") == F.col("target"), "left")
         persona = (F.when(eid % 23 == 0, uid).when(eid % 4 == 0, PERSON_OFFSET + uid % 10)
                    .otherwise(F.coalesce(PERSON_OFFSET + F.col("l_suppkey"), F.lit(PERSON_OFFSET))))
         status = _case(eid % 9, [(0, "Abierto"), (1, " En Atención "), (2, "en atencion"), (3, "CERRADO"),
@@ -232,7 +244,7 @@ class TestData:
         description = F.when(eid % 5 == 0, "").when(eid % 5 < 3, F.col("props"))
         return S.conform(j.select(
             eid.alias("cmd_id"), "ts",
-            (eid % 400 + F.when(eid % 97 == 0, PERSON_OFFSET).otherwise(0)).alias("id_ticket"),
+            (F.col("target") + F.when(eid % 97 == 0, PERSON_OFFSET).otherwise(0)).alias("id_ticket"),
             persona.alias("id_persona"), status.alias("status"), level.alias("level"),
             description.alias("description")), S.STATUS_CMD)
 
@@ -241,12 +253,13 @@ class TestData:
         e = self.raw("events").where(F.col("event_type") == "signup")
         l1 = self.line1.select("l_orderkey", "l_suppkey")
         eid, uid = F.col("event_id"), F.col("user_id")
-        j = e.join(l1, F.col("l_orderkey") == eid % 100, "left")
+        e = e.withColumn("target", self._target(32))
+        j = e.join(l1, F.col("l_orderkey") == F.col("target"), "left")
         persona = (F.when(eid % 23 == 0, uid).when(eid % 3 == 0, PERSON_OFFSET + 1)
                    .when(eid % 3 == 1, PERSON_OFFSET + 51)
                    .otherwise(F.coalesce(PERSON_OFFSET + F.col("l_suppkey"), F.lit(PERSON_OFFSET))))
         motivo = F.when(eid % 19 == 0, "corto").otherwise(F.concat(F.lit("motivo de derivacion "), F.col("props")))
         return S.conform(j.select(
             eid.alias("cmd_id"), "ts",
-            (eid % 100 + F.when(eid % 97 == 0, PERSON_OFFSET).otherwise(0)).alias("id_ticket"),
+            (F.col("target") + F.when(eid % 97 == 0, PERSON_OFFSET).otherwise(0)).alias("id_ticket"),
             persona.alias("id_persona"), motivo.alias("motivo")), S.ESCALATION_CMD)

@@ -1,6 +1,8 @@
 """Versioned table snapshots (the sink for updates: parquet has no MERGE).
 
-``<root>/v=000000000007/`` holds version 7 of the table. Writers only add new
+``<root>/v=000000000007/`` holds version 7 of the table; a version that a
+stream wrote also names what it came from, ``v=000000000007.s=<stream>.e=5``,
+so that version and origin become visible in one step. Writers only add new
 version directories; readers take the highest complete one (with a
 ``_SUCCESS`` marker). Directory listing goes through Hadoop's FileSystem, so
 the root may be any shared file system the cluster names.
@@ -8,51 +10,65 @@ the root may be any shared file system the cluster names.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+
+_NAME = re.compile(r"v=(\d+)(?:\.s=([^.]+)\.e=(\d+))?$")
 
 
 class SnapshotStore:
-    def __init__(self, spark: SparkSession, root: str):
+    """With ``schema`` a version is read by it: a missing column reads as null, never as another type."""
+
+    def __init__(self, spark: SparkSession, root: str, schema: T.StructType | None = None):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.schema = schema
 
     def _fs(self):
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.root)
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm
 
-    def path(self, version: int) -> str:
-        return f"{self.root}/v={version:012d}"
-
-    def versions(self) -> list[int]:
+    def _complete(self) -> dict[int, tuple[str, tuple[str, int] | None]]:
+        """Version -> its directory's name and, for a stream's version, (stream, epoch)."""
         fs, jvm = self._fs()
         root = jvm.org.apache.hadoop.fs.Path(self.root)
         if not fs.exists(root):
-            return []
-        out = []
+            return {}
+        out = {}
         for st in fs.listStatus(root):
             name = st.getPath().getName()
-            if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-                out.append(int(name[2:]))
-        return sorted(out)
+            m = _NAME.match(name)
+            if m and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
+                out[int(m[1])] = (name, (m[2], int(m[3])) if m[2] else None)
+        return out
 
-    def has(self, version: int) -> bool:
-        return version in self.versions()
+    def path(self, version: int, origin: tuple[str, int] | None = None) -> str:
+        tag = f".s={origin[0]}.e={origin[1]}" if origin else ""
+        return f"{self.root}/v={version:012d}{tag}"
 
-    def _exists(self, version: int) -> bool:
-        fs, jvm = self._fs()
-        return fs.exists(jvm.org.apache.hadoop.fs.Path(self.path(version)))
+    def versions(self) -> list[int]:
+        return sorted(self._complete())
+
+    def origins(self) -> set[tuple[str, int]]:
+        """The (stream, epoch) pairs that have become versions."""
+        return {origin for _, origin in self._complete().values() if origin}
 
-    def write(self, df: DataFrame, version: int) -> None:
-        """Write a version. A complete version is never replaced; a directory
+    def write(self, df: DataFrame, version: int | None = None, origin: tuple[str, int] | None = None) -> int:
+        """Write a version, the latest plus one by default. A complete version is never replaced; a directory
         left without ``_SUCCESS`` by a failed attempt is (readers ignore it)."""
-        if self.has(version):
+        known = self._complete()
+        version = max(known, default=-1) + 1 if version is None else version
+        if version in known:
             raise FileExistsError(self.path(version))
-        mode = "overwrite" if self._exists(version) else "errorifexists"
-        df.write.mode(mode).parquet(self.path(version))
+        df.write.mode("overwrite").parquet(self.path(version, origin))
+        return version
 
     def read(self, version: int) -> DataFrame:
-        return self.spark.read.parquet(self.path(version))
+        reader = self.spark.read.schema(self.schema) if self.schema else self.spark.read
+        return reader.parquet(f"{self.root}/{self._complete()[version][0]}")
 
     def read_latest(self) -> DataFrame:
         vs = self.versions()

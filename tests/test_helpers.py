@@ -4,6 +4,7 @@ import math
 import random
 import re
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -39,6 +40,17 @@ def test_dense_ids_follow_the_order(spark):
     assert {(r.ts, r.k): r.id for r in got} == want
 
 
+@pytest.mark.parametrize("n,partitions", [(200_000, 8), (1_000_000, 200)])
+def test_dense_ids_of_many_rows(spark, n, partitions):
+    rows = spark.range(n).select((F.xxhash64("id") % 1000).alias("ts"), F.col("id").alias("k"), F.md5(F.col("id").cast("string")).alias("payload"))
+    got = dense_ids(rows, ["ts", "k"], F.lit(50), "new", partitions=partitions)
+    out = got.agg(F.count("*"), F.count_distinct("new"), F.min("new"), F.max("new")).first()
+    assert tuple(out) == (n, n, 51, 50 + n)
+    w = Window.partitionBy(F.floor((F.col("new") - 51) / 1000)).orderBy("new")  # neighbours, block by block
+    before = F.lag(F.struct("ts", "k")).over(w)
+    assert got.withColumn("before", before).where("before is not null and not before < struct(ts, k)").count() == 0
+
+
 def _bm25_python(docs, questions, k=5, k1=1.2, b=0.75):
     tok = lambda s: [t for t in re.split(r"[^\w]+|_", s.lower()) if t]
     dt = {d: tok(t) for d, t in docs}

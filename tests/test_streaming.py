@@ -1,5 +1,6 @@
 """Streaming forms equal the batch operators (ST1, ST2)."""
 
+import datetime as dt
 import tempfile
 
 from pyspark.sql import Window
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from deskpark.operators import commands as CM
 from deskpark.operators import transcripts as TR
+from deskpark.sources import schemas as S
 from deskpark.sources.snapshots import SnapshotStore
 from deskpark.streaming import status_stream, transcripts_stream
 
@@ -56,8 +58,56 @@ def test_status_stream_drops_replayed_commands(spark, small):
     store = SnapshotStore(spark, f"{scratch}/tickets")
     store.write(small.ticket, 0)
     q = status_stream.start(spark, f"{scratch}/cmds/*", store, small.analista, f"{scratch}/ckpt",
-                            dedupe_within="365 days")
+                            applied_log=f"{scratch}/applied")
     q.awaitTermination(600)
     got = store.read_latest()
     want = CM.status_apply(small.ticket, CM.status_validate(cmds, small.analista, small.ticket))
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def _commands(spark, rows, path):
+    spark.createDataFrame([(c, dt.datetime(2024, 1, day), t, 1010, "Cerrado", None, text) for c, day, t, text in rows],
+                          S.STATUS_CMD).coalesce(1).write.mode("append").parquet(path)
+
+
+def _small_store(spark, scratch):
+    store = SnapshotStore(spark, f"{scratch}/tickets", S.TICKET)
+    row = lambda i: (i, 1, None, 10, "s", "solicitud", "alto", "aceptado", None, dt.datetime(2024, 1, 1), None, None)
+    store.write(spark.createDataFrame([row(i) for i in range(1, 6)], S.TICKET))
+    return store, spark.createDataFrame([(10, 1010, 1)], S.ANALISTA)
+
+
+def _diagnoses(store):
+    return {r.id_ticket: r.diagnostico for r in store.read_latest().collect() if r.diagnostico}
+
+
+def test_new_checkpoint_on_an_old_store_applies_its_commands_and_late_ones(spark):
+    scratch = tempfile.mkdtemp(prefix="st2r-")
+    store, analista = _small_store(spark, scratch)
+    log = f"{scratch}/applied"
+    _commands(spark, [(1, 20, 1, "a"), (2, 21, 2, "b")], f"{scratch}/one")
+    status_stream.start(spark, f"{scratch}/one", store, analista, f"{scratch}/c1", applied_log=log).awaitTermination(300)
+    assert _diagnoses(store) == {1: "a", 2: "b"} and store.versions() == [0, 1]
+    # A second stream, epochs from 0 again: an older command, a repeated one and a new one.
+    _commands(spark, [(3, 2, 3, "late"), (2, 25, 2, "again"), (4, 26, 4, "new")], f"{scratch}/two")
+    status_stream.start(spark, f"{scratch}/two", store, analista, f"{scratch}/c2", applied_log=log).awaitTermination(300)
+    assert _diagnoses(store) == {1: "a", 2: "b", 3: "late", 4: "new"} and store.versions() == [0, 1, 2]
+    # The first stream goes on where it was.
+    _commands(spark, [(5, 3, 5, "very late")], f"{scratch}/one")
+    status_stream.start(spark, f"{scratch}/one", store, analista, f"{scratch}/c1", applied_log=log).awaitTermination(300)
+    assert _diagnoses(store) == {1: "a", 2: "b", 3: "late", 4: "new", 5: "very late"}
+
+
+def test_replayed_epoch_applies_once(spark):
+    scratch = tempfile.mkdtemp(prefix="st2e-")
+    store, analista = _small_store(spark, scratch)
+    _commands(spark, [(1, 20, 1, "a")], f"{scratch}/one")
+    batch = spark.read.schema(S.STATUS_CMD).parquet(f"{scratch}/one")
+    log = SnapshotStore(spark, f"{scratch}/applied")
+    run = status_stream.apply_batch(store, analista, "abc", log)
+    log.write(batch.select("cmd_id"), origin=("abc", 0))  # the first attempt died between log and snapshot
+    run(batch, 0)
+    run(batch, 0)
+    assert store.versions() == [0, 1] and _diagnoses(store) == {1: "a"}
+    run(batch, 1)  # the same commands delivered again, as a new epoch
+    assert store.versions() == [0, 1, 2] and _diagnoses(store) == {1: "a"}
