@@ -49,8 +49,13 @@ def contains_pattern(q: Column | str) -> Column:
     return F.regexp_replace(pattern, r"(\\[%_\\])|\\(.)", "$1$2")
 
 
+def ilike(text: Column | str, pattern: Column | str) -> Column:
+    """Match against a pattern that ``contains_pattern`` made."""
+    return F.ilike(col_(text), col_(pattern), F.lit("\\"))
+
+
 def ilike_contains(text: Column | str, q: Column | str) -> Column:
-    return F.ilike(col_(text), contains_pattern(q), F.lit("\\"))
+    return ilike(text, contains_pattern(q))
 
 
 def uuid_or_null(c: Column | str) -> Column:

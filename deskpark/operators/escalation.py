@@ -43,11 +43,12 @@ def level_table(analista: DataFrame) -> DataFrame:
 
 
 def analyst_positions(analista: DataFrame) -> DataFrame:
-    """Analysts numbered 0..n-1 in (nivel desc, id_analista) order."""
-    r = F.row_number().over(Window.partitionBy("nivel").orderBy("id_analista"))
-    ranked = analista.select("id_analista", "nivel", r.alias("r"))
-    return ranked.join(level_table(analista), "nivel").select(
-        "id_analista", (F.col("n_above") + F.col("r") - 1).alias("pos"))
+    """Analysts with a level, numbered 0..n-1 in (nivel desc, id_analista) order by a distributed sort.
+
+    Nearly all analysts may be of one level, so no window is laid over a level.
+    """
+    known = analista.where(F.col("nivel").isNotNull()).select("id_analista", (-F.col("nivel")).alias("_down"))
+    return dense_ids(known, ["_down", "id_analista"], F.lit(-1), "pos").select("id_analista", "pos")
 
 
 def with_candidates(issued: DataFrame, analista: DataFrame) -> DataFrame:

@@ -2,7 +2,8 @@
 
 The reference looks these up per page (two bulk queries) or per ticket (one
 query per hop). Here every lookup is a join of the whole ticket set, planned by
-Catalyst and AQE. Dimension lookups are reduced to one row per key *before*
+Catalyst and AQE. Dimensions are joined by their primary keys; a person's
+external identities, of which there may be several, are reduced to one *before*
 joining, so a ticket never fans out (trap T4).
 """
 
@@ -28,11 +29,8 @@ def first_external(external: DataFrame) -> DataFrame:
 
 def collaborator_profile(colaborador: DataFrame, external: DataFrame, cliente: DataFrame) -> DataFrame:
     """id_colaborador -> user, email, company (colaborador ⟕ external ⟕ cliente)."""
-    col1 = colaborador.groupBy("id_colaborador").agg(
-        F.min(F.struct("id_persona", "id_cliente")).alias("c")).select(
-        "id_colaborador", F.col("c.id_persona").alias("id_persona"), F.col("c.id_cliente").alias("id_cliente"))
-    cli = cliente.groupBy("id_cliente").agg(F.min("nombre").alias("company"))
-    return (col1.join(first_external(external), "id_persona", "left")
+    cli = cliente.select("id_cliente", F.col("nombre").alias("company"))
+    return (colaborador.select("id_colaborador", "id_persona", "id_cliente").join(first_external(external), "id_persona", "left")
                 .join(cli, "id_cliente", "left")
                 .select("id_colaborador", F.col("ext_nombre").alias("user"),
                         F.col("ext_correo").alias("email"), "company"))
@@ -40,10 +38,8 @@ def collaborator_profile(colaborador: DataFrame, external: DataFrame, cliente: D
 
 def service_names(cliente_servicio: DataFrame, servicio: DataFrame) -> DataFrame:
     """id_cliente_servicio -> service name; ``has_service`` tells a missing hop."""
-    cs = cliente_servicio.groupBy("id_cliente_servicio").agg(F.min("id_servicio").alias("id_servicio"))
-    srv = servicio.groupBy("id_servicio").agg(F.min("nombre").alias("service"),
-                                             F.lit(True).alias("has_service"))
-    return cs.join(srv, "id_servicio", "left").select("id_cliente_servicio", "service", "has_service")
+    srv = servicio.select("id_servicio", F.col("nombre").alias("service"), F.lit(True).alias("has_service"))
+    return cliente_servicio.select("id_cliente_servicio", "id_servicio").join(srv, "id_servicio", "left").select("id_cliente_servicio", "service", "has_service")
 
 
 def analyst_names(analista: DataFrame, external: DataFrame) -> DataFrame:
@@ -52,9 +48,8 @@ def analyst_names(analista: DataFrame, external: DataFrame) -> DataFrame:
     ``has_name`` is false when the analyst has no external identity: the card
     then prints the fallback, while a NULL name prints ``None`` (T11).
     """
-    an = analista.groupBy("id_analista").agg(F.min("id_persona").alias("id_persona"))
     ext = first_external(external).withColumn("has_name", F.lit(True))
-    return an.join(ext, "id_persona", "left").select(
+    return analista.select("id_analista", "id_persona").join(ext, "id_persona", "left").select(
         "id_analista", F.col("ext_nombre").alias("analyst_name"), "has_name")
 
 

@@ -2,7 +2,7 @@
 
 One request row = one call of the inbox endpoint: who asks, an optional
 status word, ``limit`` and ``offset``. The plan: resolve the analyst, filter,
-count, rank the page (skew-safe top-k), hydrate only the page rows, project.
+rank each list once, pick and hydrate only the page rows, project.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from deskpark.functions import text as X
 from deskpark.functions import vocab as V
 from deskpark.operators import hydrate as H
-from deskpark.plans.topk import top_k_per_group
+from deskpark.plans.ranks import rank_in_groups
 
 
 def analyst_of_person(analista: DataFrame) -> DataFrame:
@@ -47,32 +47,35 @@ def resolve_requests(requests: DataFrame, analista: DataFrame) -> DataFrame:
 def analyst_inbox(requests: DataFrame, ticket: DataFrame, analista: DataFrame, colaborador: DataFrame,
                   external: DataFrame, cliente: DataFrame, cliente_servicio: DataFrame,
                   servicio: DataFrame) -> DataFrame:
-    """One row per page item; a request with an empty page gives one row of NULL items."""
-    req = resolve_requests(requests, analista)
+    """One row per page item; a request with an empty page gives one row of NULL items.
+
+    Tickets are ranked once for each distinct list that is asked for (analyst, wanted status or all),
+    however many requests ask for it; a request then picks the at most 100 ranks of its page by an
+    equi-join. Ranks come from a distributed sort, so no task holds a hot analyst's list.
+    """
+    req = resolve_requests(requests, analista).withColumn(
+        "list", F.when(~F.col("no_filter"), F.col("wanted")).otherwise(F.lit(V.FILTER_ALL)))
     live = req.where((F.col("code") == 200) & F.col("id_analista").isNotNull())
     t = ticket.select("id_ticket", "id_analista", "id_colaborador", "id_cliente_servicio", "asunto",
                       "tipo", "estado", "created_at", "updated_at")
+    lists = live.select("id_analista", "list").distinct()
     # Equi-join on the analyst; the status filter is a residual on the joined row.
-    matched = t.join(live, "id_analista").where(F.col("no_filter") | (F.col("estado") == F.col("wanted")))
+    listed = t.join(lists, "id_analista").where((F.col("list") == V.FILTER_ALL) | (F.col("estado") == F.col("list")))
     # ORDER BY updated_at DESC (PostgreSQL: NULLs first, T1), id_ticket DESC as tie-break.
-    # The count before paging (A1) comes out of the same pass as the page.
     order = [F.col("updated_at").desc_nulls_first(), F.col("id_ticket").desc()]
-    ranked = top_k_per_group(matched, ["req_id"], order, F.col("page_offset") + F.col("page_limit"),
-                             salt_cols=["id_ticket"], size_col="total")
-    # Keep the page rows; a request whose page is empty keeps its first row as a
-    # carrier of the total, with the item columns blanked below.
-    shown = F.col("rn") > F.col("page_offset")
-    carrier = (F.col("rn") == 1) & (F.col("page_offset") >= F.col("total"))
-    page = (ranked.where(shown | carrier)
-                  .select("req_id", "total", shown.alias("_shown"),
-                          (F.col("rn") - F.col("page_offset")).alias("rn"), "id_ticket", "id_colaborador",
-                          "id_cliente_servicio", "asunto", "tipo", "estado", "created_at", "updated_at"))
+    ranked, totals = rank_in_groups(listed, ["id_analista", "list"], order, "_rank")
+    places = live.select("req_id", "id_analista", "list", "page_offset", F.explode(F.sequence(
+        F.lit(1), F.col("page_limit"))).alias("rn"))
+    places = places.withColumn("_rank", F.col("page_offset") + F.col("rn")).drop("page_offset")
+    page = places.join(ranked, ["id_analista", "list", "_rank"]).select(
+        "req_id", "rn", "id_ticket", "id_colaborador", "id_cliente_servicio", "asunto", "tipo", "estado",
+        "created_at", "updated_at")
+    req = req.join(totals.withColumnRenamed("n", "total"), ["id_analista", "list"], "left")
     items = H.hydrate_page(page, colaborador, external, cliente, cliente_servicio, servicio,
-                           keep=("req_id", "total", "_shown", "rn"))
-    item_cols = ["rn", "id_ticket", "subject", "user", "service", "status", "date", "updated_at"]
+                           keep=("req_id", "rn"))
     return (req.join(items, "req_id", "left")
                .select("req_id", "code",
                        F.when(F.col("code") != 200, F.lit(None))
                         .otherwise(F.coalesce(F.col("total"), F.lit(0))).cast("bigint").alias("total"),
-                       "page_limit", "page_offset",
-                       *[F.when(F.col("_shown"), F.col(c)).alias(c) for c in item_cols]))
+                       "page_limit", "page_offset", "rn", "id_ticket", "subject", "user", "service", "status",
+                       "date", "updated_at"))

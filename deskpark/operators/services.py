@@ -57,9 +57,10 @@ def service_resolve(intake_req: DataFrame, cliente_servicio: DataFrame, servicio
     named = (cliente_servicio.join(servicio, "id_servicio")
              .groupBy("id_cliente", "nombre").agg(F.min("id_cliente_servicio").alias("first_cs")))
     req = intake_req.select("req_id", "id_cliente", "nombre_servicio")
-    texts = req.select("id_cliente", "nombre_servicio").distinct()
+    texts = (req.select("id_cliente", "nombre_servicio").distinct()
+             .withColumn("_like", X.contains_pattern("nombre_servicio")))
     hits = (texts.join(named, "id_cliente")
-                 .where(X.ilike_contains(F.col("nombre"), F.col("nombre_servicio")))
+                 .where(X.ilike(F.col("nombre"), F.col("_like")))
                  .groupBy("id_cliente", "nombre_servicio").agg(F.min("first_cs").alias("id_cliente_servicio")))
     return req.join(hits, ["id_cliente", "nombre_servicio"], "left").select("req_id", "id_cliente_servicio")
 

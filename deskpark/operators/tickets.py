@@ -46,8 +46,9 @@ def tickets_by_subject(ticket: DataFrame, search_req: DataFrame) -> DataFrame:
     """
     t = ticket.select("id_colaborador", "id_ticket", "asunto")
     req = X.guard_ids(search_req, "id_colaborador")
-    texts = req.select("id_colaborador", "q").distinct()
-    hits = (texts.join(t, "id_colaborador").where(X.ilike_contains(F.col("asunto"), F.col("q"))))
+    # The pattern is built once for each distinct text, not for each joined row.
+    texts = req.select("id_colaborador", "q").distinct().withColumn("_like", X.contains_pattern("q"))
+    hits = texts.join(t, "id_colaborador").where(X.ilike(F.col("asunto"), F.col("_like")))
     return req.join(hits, ["id_colaborador", "q"]).select("id_colaborador", "q", "id_ticket", "asunto")
 
 

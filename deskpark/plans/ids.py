@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from deskpark.plans.materialize import materialize
 
 
-_PARTITION_BITS = 33  # monotonically_increasing_id: the partition above, the position in it below
+PARTITION_BITS = 33  # monotonically_increasing_id: the partition above, the position in it below
 
 
 def dense_ids(df: DataFrame, order_cols: list[str], start: Column, id_col: str,
@@ -36,8 +36,8 @@ def dense_ids(df: DataFrame, order_cols: list[str], start: Column, id_col: str,
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
     marked = materialize(ranged.withColumn("_mark", F.monotonically_increasing_id()))
-    marked = marked.withColumn("_pid", F.shiftright("_mark", _PARTITION_BITS))
-    position = F.col("_mark").bitwiseAND(F.lit((1 << _PARTITION_BITS) - 1))
+    marked = marked.withColumn("_pid", F.shiftright("_mark", PARTITION_BITS))
+    position = F.col("_mark").bitwiseAND(F.lit((1 << PARTITION_BITS) - 1))
     counts = marked.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))

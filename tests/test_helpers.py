@@ -10,25 +10,24 @@ from pyspark.sql import functions as F
 
 from deskpark.operators import retrieval as RT
 from deskpark.plans.ids import dense_ids
-from deskpark.plans.topk import top_k_per_group
+from deskpark.plans.ranks import rank_in_groups
 
 
-def test_salted_top_k_equals_global_ranking_on_a_hot_group(spark):
+def test_ranks_in_a_hot_group_equal_a_global_ranking(spark):
     rnd = random.Random(7)
     rows = []
     for i in range(6000):
-        g = 0 if i % 3 else rnd.randrange(1, 40)          # group 0 holds two thirds of the rows
-        rows.append((g, i, rnd.choice([None, rnd.randrange(50)]), rnd.randrange(1, 30)))
-    df = spark.createDataFrame(rows, "g int, id int, v int, k int")
-    # one k per group, as a request table would give
-    df = df.withColumn("k", F.min("k").over(Window.partitionBy("g")))
+        g = None if i % 50 == 0 else 0 if i % 3 else rnd.randrange(1, 40)  # group 0 holds two thirds of the rows
+        rows.append((g, "x" if i % 2 else None, i, rnd.choice([None, rnd.randrange(50)])))
+    df = spark.createDataFrame(rows, "g int, h string, id int, v int").repartition(5)
     order = [F.col("v").desc_nulls_first(), F.col("id").desc()]
-    got = top_k_per_group(df, ["g"], order, F.col("k"), salt_cols=["id"], buckets=16, size_col="n")
-    want = (df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy(*order)))
-              .withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("g")))
-              .where(F.col("rn") <= F.col("k")))
-    cols = ["g", "id", "rn", "n"]
-    assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))
+    got, sizes = rank_in_groups(df, ["g", "h"], order, partitions=16)
+    w = Window.partitionBy("g", "h")
+    want = df.withColumn("rn", F.row_number().over(w.orderBy(*order)))
+    cols, key = ["g", "h", "id", "rn"], repr
+    assert sorted(map(tuple, got.select(cols).collect()), key=key) == sorted(map(tuple, want.select(cols).collect()), key=key)
+    counts = df.groupBy("g", "h").count()
+    assert sorted(map(tuple, sizes.collect()), key=key) == sorted(map(tuple, counts.collect()), key=key)
 
 
 def test_dense_ids_follow_the_order(spark):
