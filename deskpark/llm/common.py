@@ -61,15 +61,54 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
+class Generations(dict):
+    """Values of words in two generations: when the young one is full, it becomes the old one.
+
+    A word that is met again is taken over from the old generation, so that common words stay and the
+    many that occur once go; both hold ``size`` words and those of one more call at most.
+    """
+
+    def __init__(self, size: int):
+        super().__init__()
+        self.size, self.old = size, {}
+
+    def unknown(self, words: set[str]) -> list[str]:
+        """The words that are in neither generation; all others are in the young one afterwards."""
+        if len(self) > self.size:
+            self.old = dict(self)
+            self.clear()
+        missing = words.difference(self)
+        kept = missing.intersection(self.old)
+        self.update((w, self.old[w]) for w in kept)
+        return list(missing.difference(kept))
+
+
+def few_threads() -> None:
+    """Sets the tokenizers library, before its first use, to as many threads as an executor's task has cores to hand."""
+    import os
+
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
+    os.environ.setdefault("RAYON_NUM_THREADS", "2")
+
+
+#: Rows of a batch sent to Python, where the session leaves it at Spark's 10,000: texts are long.
+BATCH_ROWS = 1000
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends this package's code to the executors, once for a context; they need no copy of their own."""
+    """Sends this package's code to the executors, once for a context; they need no copy of their own.
+
+    Also sets the session's rows of a Python batch to ``BATCH_ROWS``, unless it has a value of its own.
+    """
     import os
     import tempfile
     import zipfile
 
     import deskpark
 
-    context = spark.sparkContext
+    context, rows = spark.sparkContext, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows, "10000") == "10000":
+        spark.conf.set(rows, str(BATCH_ROWS))
     if getattr(context, "_deskpark_shipped", False):
         return
     top = os.path.dirname(os.path.abspath(deskpark.__file__))

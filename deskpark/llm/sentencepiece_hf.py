@@ -3,15 +3,14 @@
 The model protobuf is parsed here, field by field; normaliser, meta-space marker, scores and byte
 fallback are rebuilt as a tokenizers pipeline (Unigram or BPE, as the model says). Texts are cut at
 runs of the marker, which no piece crosses, so that distinct words are encoded once, in multithreaded
-batches, and kept in a bounded cache. Parity is verified for every distinct word against the
-sentencepiece library as it enters the cache: where the two differ (ties between equal scores), the
-ids of the model's own library are taken and counted. A model with a piece that crosses a marker is
+batches, and kept in a bounded cache. Parity is verified for every word against the sentencepiece
+library as it enters the cache: where the two differ (ties between equal scores), the ids of the
+model's own library are taken and counted. A model with a piece that crosses a marker is
 encoded and verified by whole texts.
 """
 
 from __future__ import annotations
 
-import os
 import re
 import struct
 from collections.abc import Iterator
@@ -22,11 +21,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from deskpark.llm.common import Generations, few_threads
+
 SPACE = "▁"
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _BYTE = 1, 2, 3, 4, 6
 _CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-#: Distinct words kept by a worker at most, and texts whose new words are encoded together.
-CACHE, TOGETHER = 400_000, 256
+#: Distinct words in a generation of a worker's cache, texts whose new words are encoded together (and
+#: returned together, so that no long batch of ids builds up), and new words joined to one line.
+CACHE, TOGETHER, LINE = 60_000, 256, 64
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -83,12 +85,23 @@ def parse(data: bytes) -> Spec:
                 bool(normalizer.get(3, 1)), bool(normalizer.get(4, 1)))
 
 
+def cuts(spec: Spec) -> bool:
+    """Whether no piece crosses the start of a run of markers."""
+    return not any(SPACE in p[0].lstrip(SPACE) for p in spec.pieces if p[2] in (_NORMAL, _USER))
+
+
 def build(spec: Spec):
     """The model as a tokenizers pipeline for text whose spaces are markers already."""
-    from tokenizers import Tokenizer, models
+    from tokenizers import Regex, Tokenizer, models, pre_tokenizers
+
+    def cut(model):
+        made = Tokenizer(model)
+        if cuts(spec):
+            made.pre_tokenizer = pre_tokenizers.Split(Regex(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+"), "isolated")
+        return made
 
     if spec.unigram:
-        return Tokenizer(models.Unigram([p[:2] for p in spec.pieces], spec.unk_id, spec.byte_fallback))
+        return cut(models.Unigram([p[:2] for p in spec.pieces], spec.unk_id, spec.byte_fallback))
     ids = {p[0]: n for n, p in enumerate(spec.pieces)}
     usable = {p[0]: p[1] for p in spec.pieces if p[2] in (_NORMAL, _USER)}
     merges = []
@@ -97,7 +110,7 @@ def build(spec: Spec):
         merges += [(-score, ids[piece], a, b) for a, b in splits if a in usable and b in usable]
     merges = [(a, b) for _, _, a, b in sorted(merges, key=lambda m: m[:2])]
     unk = spec.pieces[spec.unk_id][0]
-    return Tokenizer(models.BPE(ids, merges, unk_token=unk, fuse_unk=True, byte_fallback=spec.byte_fallback))
+    return cut(models.BPE(ids, merges, unk_token=unk, fuse_unk=True, byte_fallback=spec.byte_fallback))
 
 
 class Codec:
@@ -107,15 +120,16 @@ class Codec:
         import sentencepiece
         from tokenizers import normalizers
 
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
+        few_threads()
         with open(path, "rb") as f:
             data = f.read()
         self.spec = spec = parse(data)
         self.backend = build(spec)
         self.own = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.charsmap = normalizers.Precompiled(spec.charsmap) if spec.charsmap else None
-        self.cuts = not any(SPACE in p[0].lstrip(SPACE) for p in spec.pieces if p[2] in (_NORMAL, _USER))
-        self.words: dict[str, bytes] = {}
+        self.cuts = cuts(spec)
+        self.opens = np.array([p[0].startswith(SPACE) for p in spec.pieces])
+        self.words = Generations(CACHE)
         self.repaired = 0
         self.bytes = [
             bytes([int(p[3:5], 16)]) if kind == _BYTE else b"" if kind == _CONTROL else " ⁇ ".encode() if kind == _UNKNOWN
@@ -132,26 +146,32 @@ class Codec:
         return (" " * self.spec.dummy_prefix + text).replace(" ", SPACE)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        out = []
-        for at in range(0, len(texts), TOGETHER):
-            cut = [self._cut(self.normalized(t or "")) for t in texts[at: at + TOGETHER]]
-            if len(self.words) > CACHE:
-                self.words.clear()
-            new = list({w for c in cut for w in c}.difference(self.words))
-            self._learn(new)
-            out += [np.frombuffer(b"".join(map(self.words.__getitem__, c)), "<i4") for c in cut]
-        return out
+        cut = [self._cut(self.normalized(t or "")) for t in texts]
+        self._learn(self.words.unknown({w for c in cut for w in c}))
+        return [np.frombuffer(b"".join(map(self.words.__getitem__, c)), "<i4") for c in cut]
 
     def _cut(self, text: str) -> list[str]:
         return _CHUNK.findall(text) if self.cuts else [text] * bool(text)
 
     def _learn(self, words: list[str]) -> None:
-        if not words:
-            return
-        mine = [e.ids for e in self.backend.encode_batch_fast(words, add_special_tokens=False)]
-        plain = [(w[1:] if self.spec.dummy_prefix and w[0] == SPACE else w).replace(SPACE, " ") for w in words]
-        theirs = self.own.encode(plain, num_threads=1)
-        for word, a, b in zip(words, mine, theirs):
+        """Encodes new words with both libraries: plain ones by lines of many, the others one by one."""
+        plain = [w for w in words if len(w) > 1 and w.rfind(SPACE) == 0] if self.cuts and self.spec.dummy_prefix else []
+        odd = list(set(words).difference(plain))
+        lines = [plain[at: at + LINE] for at in range(0, len(plain), LINE)]
+        texts = ["".join(line) for line in lines]
+        mine = [e.ids for e in self.backend.encode_batch_fast(texts, add_special_tokens=False)]
+        theirs = self.own.encode([t[1:].replace(SPACE, " ") for t in texts], num_threads=1)
+        for line, a, b in zip(lines, mine, theirs):
+            ids = np.array(a, "<i4")
+            starts = np.flatnonzero(self.opens[ids])
+            if a != b or len(starts) != len(line):
+                odd += line
+                continue
+            data, bounds = ids.tobytes(), (4 * np.append(starts, len(ids))).tolist()
+            self.words.update(zip(line, (data[x:y] for x, y in zip(bounds, bounds[1:]))))
+        mine = [e.ids for e in self.backend.encode_batch_fast(odd, add_special_tokens=False)]
+        alone = [(w[1:] if self.spec.dummy_prefix and w[0] == SPACE else w).replace(SPACE, " ") for w in odd]
+        for word, a, b in zip(odd, mine, self.own.encode(alone, num_threads=1)):
             if a != b and self._verifiable(word):
                 self.repaired += 1
                 a = b
@@ -188,13 +208,13 @@ def encode_column(text: Column, path: str) -> Column:
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = codec(path)
         for batch in batches:
-            texts = [t or "" for t in batch]
-            ids = own.encode(texts)
-            same = []
-            for text, i in zip(texts, ids):
-                seen = own.normalized(text).replace(SPACE, " ")
-                same.append(own.decode(i) == (seen[1:] if own.spec.dummy_prefix else seen))
-            yield pd.DataFrame({"ids": ids, "decoded_equal": same})
+            for at in range(0, len(batch), TOGETHER):
+                texts = [t or "" for t in batch.iloc[at: at + TOGETHER]]
+                ids, same = own.encode(texts), []
+                for text, i in zip(texts, ids):
+                    seen = own.normalized(text).replace(SPACE, " ")
+                    same.append(own.decode(i) == (seen[1:] if own.spec.dummy_prefix else seen))
+                yield pd.DataFrame({"ids": ids, "decoded_equal": same})
 
     return of(text)
 
