@@ -18,16 +18,18 @@ from deskpark.functions import vocab as V
 KEY = ["provider", "id_provider"]
 
 
-def latest_login(login: DataFrame) -> DataFrame:
-    """Latest login per (provider, id_provider) by (ts, login_id).
-
-    When the feed carries the token issuer (``iss``), logins from issuers
-    other than the accepted ones are dropped first (F25).
-    """
+def accepted_logins(login: DataFrame) -> DataFrame:
+    """Logins with their provider. When the feed carries the token issuer (``iss``), logins from issuers
+    other than the accepted ones are dropped (F25)."""
     if "iss" in login.columns:
         login = login.where(F.col("iss").isin(*V.ACCEPTED_ISSUERS))
+    return login.withColumn("provider", F.lit(V.PROVIDER))
+
+
+def latest_login(login: DataFrame) -> DataFrame:
+    """Latest accepted login per (provider, id_provider) by (ts, login_id)."""
     m = F.max_by(F.struct("login_id", "correo", "nombre", "hd"), F.struct("ts", "login_id")).alias("m")
-    return (login.withColumn("provider", F.lit(V.PROVIDER)).groupBy(*KEY).agg(m)
+    return (accepted_logins(login).groupBy(*KEY).agg(m)
             .select(*KEY, "m.login_id", "m.correo", "m.nombre", "m.hd"))
 
 
@@ -63,9 +65,17 @@ def identity_upsert(external: DataFrame, login: DataFrame) -> DataFrame:
 
 
 def login_personas(external: DataFrame, login: DataFrame) -> DataFrame:
-    """The person each successful login resolves to."""
-    return (identity_upsert(external, login).where(F.col("action").isin("insert", "update"))
-            .select("login_id", "id_persona"))
+    """``provider, id_provider, id_persona``: the person that each key's successful logins resolve to.
+
+    The reduced logins are joined to their own identities; the identity table is not rewritten for it.
+    A key held by several identities has no row (its logins fail).
+    """
+    keys = accepted_logins(login).select(*KEY).distinct()
+    known = external.select(*KEY, "id_persona", F.lit(1).alias("_one"))
+    held = keys.join(known, KEY, "left").groupBy(*KEY).agg(
+        F.count("_one").alias("_n"), F.min("id_persona").alias("_old"))
+    return held.where(F.col("_n") <= 1).select(
+        *KEY, F.coalesce(F.col("_old"), X.md5_bigint(*KEY)).alias("id_persona"))
 
 
 def role_collaborator(personas: DataFrame, colaborador: DataFrame, cliente: DataFrame,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from deskpark.functions import text as X
 from deskpark.functions import vocab as V
-from deskpark.operators.hydrate import first_external
+from deskpark.operators.identity import KEY, accepted_logins, login_personas, role_collaborator
 from deskpark.operators.tickets import PART_SIZE
 
 
@@ -77,37 +77,38 @@ def _context_head(nombre, cliente_nombre):
     return F.concat(F.lit(a), X.py_str(nombre), F.lit(b), X.py_str(cliente_nombre), F.lit(c))
 
 
-def user_context(colaborador: DataFrame, analista: DataFrame, external: DataFrame, cliente: DataFrame,
-                 cliente_servicio: DataFrame, servicio: DataFrame) -> DataFrame:
-    """Token claims and context block of every collaborator and analyst.
+def user_context(login: DataFrame, external: DataFrame, colaborador: DataFrame, cliente: DataFrame,
+                 cliente_servicio: DataFrame, servicio: DataFrame,
+                 client_name: str = V.DEFAULT_CLIENT_NAME) -> DataFrame:
+    """Token claims and context block of every login, as collaborator and as analyst.
 
-    The context block is ``context_head + services + context_tail`` where
-    ``services`` is the client's ``service_list_parts`` concatenated in part
-    order (``Ninguno`` for a client without any). The list itself is
-    kept per client (not copied into every user row).
+    Name and mail are those of the login itself; the collaborator role is the one under the fixed
+    client, created when absent. The context block is ``context_head + services + context_tail`` where
+    ``services`` is the client's ``service_list_parts`` concatenated in part order (``Ninguno`` for a
+    client without any, and for analysts, whose row has no client). The list itself is kept per client
+    (not copied into every login's row).
     """
-    ext = first_external(external)
-    cli = cliente.groupBy("id_cliente").agg(F.min("nombre").alias("cli_nombre"), F.lit(True).alias("has_cli"))
-    with_services = (cliente_servicio.select("id_cliente", "id_servicio").distinct()
-                     .join(servicio.where(F.col("nombre").isNotNull()).select("id_servicio"), "id_servicio")
+    personas = login_personas(external, login)
+    who = accepted_logins(login).join(personas, KEY).select("login_id", "id_persona", "nombre", "correo")
+    names = cliente.select("id_cliente", F.col("nombre").alias("cli_nombre"), F.lit(True).alias("has_cli"))
+    with_services = (cliente_servicio.join(servicio.where(F.col("nombre").isNotNull()).select("id_servicio"), "id_servicio")
                      .groupBy("id_cliente").agg(F.lit(True).alias("has_services")))
-    col = (colaborador.join(ext, "id_persona", "left").join(cli, "id_cliente", "left")
-           .join(with_services, "id_cliente", "left"))
+    roles = (role_collaborator(personas, colaborador, cliente, client_name)
+             .join(names, "id_cliente", "left").join(with_services, "id_cliente", "left"))
+    col = who.join(roles, "id_persona")
     cli_name = F.when(F.col("has_cli"), F.col("cli_nombre")).otherwise(F.lit(V.UNKNOWN_CLIENT))
+    persona = F.col("id_persona").cast("string").alias("persona_id")
     collab = col.select(
-        F.lit("colaborador").alias("kind"), F.col("id_persona").cast("string").alias("persona_id"),
+        "login_id", F.lit("colaborador").alias("kind"), persona,
         F.col("id_colaborador").cast("string").alias("colaborador_id"),
-        F.col("id_cliente").cast("string").alias("cliente_id"),
-        F.col("ext_nombre").alias("nombre"), F.col("ext_correo").alias("correo"),
+        F.col("id_cliente").cast("string").alias("cliente_id"), "nombre", "correo",
         cli_name.alias("cliente_nombre"), F.coalesce(F.col("has_services"), F.lit(False)).alias("has_services"),
-        _context_head(F.col("ext_nombre"), cli_name).alias("context_head"),
+        _context_head(F.col("nombre"), cli_name).alias("context_head"),
         F.lit(CONTEXT_TAIL).alias("context_tail"))
-    an = analista.join(ext, "id_persona", "left")
-    analysts = an.select(
-        F.lit("analista").alias("kind"), F.col("id_persona").cast("string").alias("persona_id"),
-        F.lit(V.ZERO_UUID).alias("colaborador_id"), F.lit(V.ZERO_UUID).alias("cliente_id"),
-        F.col("ext_nombre").alias("nombre"), F.col("ext_correo").alias("correo"),
+    analysts = who.select(
+        "login_id", F.lit("analista").alias("kind"), persona,
+        F.lit(V.ZERO_UUID).alias("colaborador_id"), F.lit(V.ZERO_UUID).alias("cliente_id"), "nombre", "correo",
         F.lit(V.ANALYST_CLIENT_NAME).alias("cliente_nombre"), F.lit(False).alias("has_services"),
-        _context_head(F.col("ext_nombre"), F.lit(V.ANALYST_CLIENT_NAME)).alias("context_head"),
+        _context_head(F.col("nombre"), F.lit(V.ANALYST_CLIENT_NAME)).alias("context_head"),
         F.lit(CONTEXT_TAIL).alias("context_tail"))
     return collab.unionByName(analysts)

@@ -125,7 +125,7 @@ def service_list_parts(d: TestData) -> DataFrame:
 
 @register("user_context")
 def user_context(d: TestData) -> DataFrame:
-    return SV.user_context(d.colaborador, d.analista, d.external, d.cliente, d.cliente_servicio, d.servicio)
+    return SV.user_context(d.login, d.external, d.colaborador, d.cliente, d.cliente_servicio, d.servicio, DEFAULT_CLIENT)
 
 
 @register("identity_upsert")

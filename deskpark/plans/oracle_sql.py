@@ -260,29 +260,6 @@ def _service_list_parts() -> str:
     SELECT DISTINCT id_cliente, 0, 'Ninguno' FROM cliente WHERE id_cliente NOT IN (SELECT id_cliente FROM named)"""
 
 
-@q("user_context", "colaborador", "analista", "first_ext", "cliente", "cliente_servicio", "servicio")
-def _user_context() -> str:
-    from deskpark.operators.services import CONTEXT_TAIL
-    cli_name = f"CASE WHEN cl.has_cli THEN cl.cli_nombre ELSE {sql_lit(V.UNKNOWN_CLIENT)} END"
-    return f"""
-    WITH cli AS (SELECT id_cliente, min(nombre) AS cli_nombre, true AS has_cli FROM cliente GROUP BY 1),
-    svc AS (SELECT DISTINCT p.id_cliente, true AS has_services
-            FROM (SELECT DISTINCT id_cliente, id_servicio FROM cliente_servicio) p
-            JOIN servicio s ON s.id_servicio = p.id_servicio WHERE s.nombre IS NOT NULL)
-    SELECT 'colaborador' AS kind, CAST(c.id_persona AS VARCHAR) AS persona_id,
-           CAST(c.id_colaborador AS VARCHAR) AS colaborador_id, CAST(c.id_cliente AS VARCHAR) AS cliente_id,
-           e.ext_nombre AS nombre, e.ext_correo AS correo, {cli_name} AS cliente_nombre,
-           coalesce(t.has_services, false) AS has_services,
-           {_context_head('e.ext_nombre', cli_name)} AS context_head, {sql_lit(CONTEXT_TAIL)} AS context_tail
-    FROM colaborador c LEFT JOIN first_ext e ON e.id_persona = c.id_persona
-    LEFT JOIN cli cl ON cl.id_cliente = c.id_cliente LEFT JOIN svc t ON t.id_cliente = c.id_cliente
-    UNION ALL
-    SELECT 'analista', CAST(a.id_persona AS VARCHAR), {sql_lit(V.ZERO_UUID)}, {sql_lit(V.ZERO_UUID)},
-           e.ext_nombre, e.ext_correo, {sql_lit(V.ANALYST_CLIENT_NAME)}, false,
-           {_context_head('e.ext_nombre', sql_lit(V.ANALYST_CLIENT_NAME))}, {sql_lit(CONTEXT_TAIL)}
-    FROM analista a LEFT JOIN first_ext e ON e.id_persona = a.id_persona"""
-
-
 @q("identity_upsert", "upsert")
 def _upsert() -> str:
     return "SELECT * FROM upsert"
@@ -309,6 +286,31 @@ def _role_collab() -> str:
     FROM {PERSONAS} p LEFT JOIN existing e ON e.id_persona = p.id_persona"""
 
 
+@q("user_context", "upsert", "login", "colaborador", "cliente", "cliente_servicio", "servicio")
+def _user_context() -> str:
+    from deskpark.operators.services import CONTEXT_TAIL
+    cli_name = f"coalesce(cl.cli_nombre, {sql_lit(V.UNKNOWN_CLIENT)})"
+    return f"""
+    WITH role AS ({_role_collab()}),
+    who AS (SELECT l.login_id, u.id_persona, l.nombre, l.correo
+            FROM login l JOIN upsert u ON u.provider = 'google' AND u.id_provider = l.id_provider
+            WHERE u.action IN ('insert', 'update')),
+    cli AS (SELECT id_cliente, nombre AS cli_nombre FROM cliente),
+    svc AS (SELECT DISTINCT cs.id_cliente FROM cliente_servicio cs JOIN servicio s ON s.id_servicio = cs.id_servicio
+            WHERE s.nombre IS NOT NULL)
+    SELECT w.login_id, 'colaborador' AS kind, CAST(w.id_persona AS VARCHAR) AS persona_id,
+           CAST(r.id_colaborador AS VARCHAR) AS colaborador_id, CAST(r.id_cliente AS VARCHAR) AS cliente_id,
+           w.nombre, w.correo, {cli_name} AS cliente_nombre,
+           r.id_cliente IN (SELECT id_cliente FROM svc) AS has_services,
+           {_context_head('w.nombre', cli_name)} AS context_head, {sql_lit(CONTEXT_TAIL)} AS context_tail
+    FROM who w JOIN role r ON r.id_persona = w.id_persona LEFT JOIN cli cl ON cl.id_cliente = r.id_cliente
+    UNION ALL
+    SELECT login_id, 'analista', CAST(id_persona AS VARCHAR), {sql_lit(V.ZERO_UUID)}, {sql_lit(V.ZERO_UUID)},
+           nombre, correo, {sql_lit(V.ANALYST_CLIENT_NAME)}, false,
+           {_context_head('nombre', sql_lit(V.ANALYST_CLIENT_NAME))}, {sql_lit(CONTEXT_TAIL)}
+    FROM who"""
+
+
 @q("role_analyst", "upsert", "analyst_of_person")
 def _role_analyst() -> str:
     return f"""

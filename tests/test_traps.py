@@ -381,18 +381,23 @@ def test_empty_results_are_rows(spark):
     assert sorted(map(tuple, parts.collect())) == [(1, 0, "Ninguno"), (2, 0, "Portal")]
 
 
-def test_context_block_reassembles(spark, dims):
+def test_context_comes_from_the_login(spark, dims):
     from deskpark.operators import services as SV
-    ctx = {r.colaborador_id: r for r in SV.user_context(dims["colaborador"], dims["analista"], dims["external"],
-                                                         dims["cliente"], dims["cliente_servicio"],
-                                                         dims["servicio"]).collect()}
+    login = df(spark, S.LOGIN, [(1, D(2024, 1, 1), "a", "now@x", "Name Now", None), (2, D(2024, 1, 2), "fresh", "f@x", None, None)])
+    rows = SV.user_context(login, dims["external"], dims["colaborador"], dims["cliente"], dims["cliente_servicio"],
+                           dims["servicio"], "ACME").collect()
+    ctx = {(r.login_id, r.kind): r for r in rows}
+    assert set(ctx) == {(1, "colaborador"), (1, "analista"), (2, "colaborador"), (2, "analista")}
     parts = sorted((p.part, p.text) for p in SV.service_list_parts(dims["cliente"], dims["cliente_servicio"],
                                                                     dims["servicio"]).where("id_cliente = 1").collect())
-    c = ctx["1"]
-    services = "".join(t for _, t in parts)
-    assert c.context_head + services + c.context_tail == (
-        "\n    CONTEXTO DEL USUARIO ACTUAL:\n    - Nombre del usuario: Ay\n    - Empresa del usuario: ACME"
+    c = ctx[1, "colaborador"]
+    assert (c.persona_id, c.colaborador_id, c.cliente_id, c.correo) == ("100", "1", "1", "now@x")
+    assert c.context_head + "".join(t for _, t in parts) + c.context_tail == (
+        "\n    CONTEXTO DEL USUARIO ACTUAL:\n    - Nombre del usuario: Name Now\n    - Empresa del usuario: ACME"
         "\n    - Servicios contratados por la empresa: Portal, \n    ")
+    assert ctx[2, "colaborador"].cliente_id == "1" and ctx[2, "colaborador"].nombre is None
+    a = ctx[1, "analista"]
+    assert (a.cliente_nombre, a.cliente_id, a.has_services) == ("ANALYTICS", "00000000-0000-0000-0000-000000000000", False)
 
 
 def test_date_text_ignores_session_time_zone(spark):
