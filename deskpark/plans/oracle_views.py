@@ -90,6 +90,10 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                CAST(NULL AS VARCHAR)
         FROM customer WHERE c_custkey % 17 = 1
         UNION ALL
+        SELECT 2 * {OFF} + c_custkey, 'google', CAST(c_custkey AS VARCHAR), 'dup@example.test', 'Dup ' || c_name,
+               CAST(NULL AS VARCHAR)
+        FROM customer WHERE c_custkey % 97 = 5
+        UNION ALL
         SELECT {OFF} + s_suppkey, 'google', 's' || CAST(s_suppkey AS VARCHAR),
                lower(s_name) || '@example.test', s_name, CAST(NULL AS VARCHAR)
         FROM supplier"""),
@@ -102,10 +106,13 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT event_id AS id_escalado, user_id AS id_ticket, user_id % 10 AS id_analista_solicitante,
                (user_id + 1) % 10 AS id_analista_derivado, props AS motivo
         FROM events WHERE event_type = 'error'"""),
-    "mensaje": ((), "SELECT conv_id AS id_ticket, turn, role, text AS content FROM conversations"),
+    "mensaje": ((), """
+        SELECT conv_id AS id_ticket, turn, CASE WHEN conv_id % 20 = 7 THEN 'system' ELSE role END AS role,
+               text AS content FROM conversations"""),
     "kb_document": ((), "SELECT doc_id, text FROM documents"),
     "kb_question": ((), """
-        SELECT conv_id, arg_min(text, turn) AS q FROM conversations WHERE role = 'user' GROUP BY conv_id"""),
+        SELECT conv_id, CASE WHEN conv_id % 25 = 3 THEN 'xqz' || conv_id ELSE arg_min(text, turn) END AS q
+        FROM conversations WHERE role = 'user' GROUP BY conv_id"""),
     "search_req": ((), """
         SELECT c_custkey AS id_colaborador,
                CASE c_custkey % 5 WHEN 0 THEN 'RED' WHEN 1 THEN 'bolt' WHEN 2 THEN '%e_r' WHEN 3 THEN ''
@@ -121,15 +128,18 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                CASE WHEN s_suppkey % 9 = 4 THEN s_suppkey ELSE s_suppkey + {OFF} END AS id_persona,
                CASE s_suppkey % 7 WHEN 1 THEN 'Todos' WHEN 2 THEN 'Abierto' WHEN 3 THEN ' Cerrado '
                     WHEN 4 THEN 'nada' WHEN 5 THEN '' WHEN 6 THEN ' todos ' END AS status,
-               CAST(CASE s_suppkey % 3 WHEN 0 THEN 20 WHEN 1 THEN 5 ELSE 100 END AS INTEGER) AS page_limit,
-               CAST(CASE s_suppkey % 4 WHEN 1 THEN 5 WHEN 2 THEN 40 ELSE 0 END AS INTEGER) AS page_offset
+               CAST(CASE WHEN s_suppkey % 31 = 8 THEN 0 WHEN s_suppkey % 31 = 9 THEN 101 WHEN s_suppkey % 31 = 10 THEN NULL
+                    ELSE CASE s_suppkey % 3 WHEN 0 THEN 20 WHEN 1 THEN 5 ELSE 100 END END AS INTEGER) AS page_limit,
+               CAST(CASE WHEN s_suppkey % 31 = 11 THEN -1 WHEN s_suppkey % 31 = 12 THEN NULL
+                    ELSE CASE s_suppkey % 4 WHEN 1 THEN 5 WHEN 2 THEN 40 ELSE 0 END END AS INTEGER) AS page_offset
         FROM supplier"""),
     "intake_req": ((), """
         SELECT c_custkey AS req_id, c_custkey AS id_colaborador, CAST(c_nationkey AS BIGINT) AS id_cliente,
                CASE c_custkey % 4 WHEN 0 THEN 'WIDGET' WHEN 1 THEN 'red' WHEN 2 THEN 'ring' ELSE 'nada' END
                  AS nombre_servicio,
-               CASE WHEN c_custkey % 20 = 0 THEN 'incidencia' ELSE 'solicitud' END AS tipo,
-               'alto' AS nivel, 'Solicitud de ' || c_name AS asunto,
+               CASE WHEN c_custkey % 33 = 4 THEN 'queja' WHEN c_custkey % 20 = 0 THEN 'incidencia'
+                    ELSE 'solicitud' END AS tipo,
+               CASE WHEN c_custkey % 35 = 6 THEN NULL WHEN c_custkey % 35 = 7 THEN 'urgente' ELSE 'alto' END AS nivel, 'Solicitud de ' || c_name AS asunto,
                TIMESTAMP '2024-01-01 00:00:00' + to_minutes(c_custkey) AS ts, c_custkey AS thread_id
         FROM customer"""),
     "login": ((), """

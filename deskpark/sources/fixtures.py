@@ -109,12 +109,16 @@ class TestData:
             ck.alias("id_persona"), google.alias("provider"), F.concat(F.lit("z"), ck.cast("string")).alias("id_provider"),
             F.lit("alt@example.test").alias("correo"), F.concat(F.lit("Alt "), F.col("c_name")).alias("nombre"),
             no_hd.alias("hd"))
+        dup = c.where(ck % 97 == 5).select(
+            (ck + 2 * PERSON_OFFSET).alias("id_persona"), google.alias("provider"), ck.cast("string").alias("id_provider"),
+            F.lit("dup@example.test").alias("correo"), F.concat(F.lit("Dup "), F.col("c_name")).alias("nombre"),
+            no_hd.alias("hd"))
         d = s.select(
             (sk + PERSON_OFFSET).alias("id_persona"), google.alias("provider"),
             F.concat(F.lit("s"), sk.cast("string")).alias("id_provider"),
             F.concat(F.lower("s_name"), F.lit("@example.test")).alias("correo"), F.col("s_name").alias("nombre"),
             no_hd.alias("hd"))
-        return S.conform(a.unionByName(b).unionByName(d), S.EXTERNAL)
+        return S.conform(a.unionByName(b).unionByName(dup).unionByName(d), S.EXTERNAL)
 
     @cached_property
     def servicio(self) -> DataFrame:
@@ -145,7 +149,8 @@ class TestData:
     def mensaje(self) -> DataFrame:
         """Raw chat memory: every turn, system turns included."""
         cv = self.raw("conversations")
-        return S.conform(cv.select(F.col("conv_id").alias("id_ticket"), "turn", "role",
+        role = F.when(F.col("conv_id") % 20 == 7, "system").otherwise(F.col("role"))  # threads without a kept turn
+        return S.conform(cv.select(F.col("conv_id").alias("id_ticket"), "turn", role.alias("role"),
                                    F.col("text").alias("content")), S.MENSAJE)
 
     @cached_property
@@ -161,10 +166,12 @@ class TestData:
     # ------------------------------------------------------ requests / commands
     @cached_property
     def kb_question(self) -> DataFrame:
-        """First user turn of every conversation is the question asked."""
+        """First user turn of every conversation is the question asked; some questions have no known word."""
         cv = self.raw("conversations").where(F.col("role") == "user")
         first = F.min(F.struct("turn", "text")).alias("first")
-        return S.conform(cv.groupBy("conv_id").agg(first).select("conv_id", F.col("first.text").alias("q")),
+        return S.conform(cv.groupBy("conv_id").agg(first).select(
+            "conv_id", F.when(F.col("conv_id") % 25 == 3, F.concat(F.lit("xqz"), F.col("conv_id").cast("string")))
+            .otherwise(F.col("first.text")).alias("q")),
                          S.KB_QUESTION)
 
     @cached_property
@@ -196,8 +203,10 @@ class TestData:
         status = _case(k % 7, [(1, "Todos"), (2, "Abierto"), (3, " Cerrado "), (4, "nada"), (5, ""),
                                (6, " todos ")])
         return S.conform(s.select(k.alias("req_id"), persona.alias("id_persona"), status.alias("status"),
-                                  _case(k % 3, [(0, 20), (1, 5)], 100).alias("page_limit"),
-                                  _case(k % 4, [(1, 5), (2, 40)], 0).alias("page_offset")), S.INBOX_REQ)
+                                  F.when(k % 31 == 8, 0).when(k % 31 == 9, 101).when(k % 31 == 10, None)
+                                   .otherwise(_case(k % 3, [(0, 20), (1, 5)], 100)).alias("page_limit"),
+                                  F.when(k % 31 == 11, -1).when(k % 31 == 12, None)
+                                   .otherwise(_case(k % 4, [(1, 5), (2, 40)], 0)).alias("page_offset")), S.INBOX_REQ)
 
     @cached_property
     def intake_req(self) -> DataFrame:
@@ -206,8 +215,8 @@ class TestData:
         return S.conform(c.select(
             k.alias("req_id"), k.alias("id_colaborador"), F.col("c_nationkey").alias("id_cliente"),
             _case(k % 4, [(0, "WIDGET"), (1, "red"), (2, "ring")], "nada").alias("nombre_servicio"),
-            F.when(k % 20 == 0, "incidencia").otherwise("solicitud").alias("tipo"),
-            F.lit("alto").alias("nivel"),
+            F.when(k % 33 == 4, "queja").when(k % 20 == 0, "incidencia").otherwise("solicitud").alias("tipo"),
+            F.when(k % 35 == 6, None).when(k % 35 == 7, "urgente").otherwise("alto").alias("nivel"),
             F.concat(F.lit("Solicitud de "), F.col("c_name")).alias("asunto"),
             (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
              + F.make_dt_interval(F.lit(0), F.lit(0), k)).alias("ts"),
