@@ -12,7 +12,8 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _NAME = re.compile(r"v=(\d+)(?:\.s=([^.]+)\.e=(\d+))?$")
@@ -75,3 +76,57 @@ class SnapshotStore:
         if not vs:
             raise FileNotFoundError(f"no snapshot under {self.root}")
         return self.read(vs[-1])
+
+
+class BucketStore(SnapshotStore):
+    """A table of which a version holds only the buckets that it changed.
+
+    A row's bucket is a hash of its key; the table is, for each bucket, its rows in the latest version
+    that has the bucket. A version that touches few keys reads and writes few buckets. ``compact`` writes
+    a version of all buckets, before which earlier ones are not looked at.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, schema: T.StructType, key: str, buckets: int = 256):
+        super().__init__(spark, root, schema)
+        self.key, self.buckets = key, buckets
+
+    def bucket(self) -> Column:
+        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
+
+    def touched(self, df: DataFrame) -> list[int]:
+        """The buckets that rows of ``df`` fall into (at most ``buckets`` numbers)."""
+        return sorted(r[0] for r in df.where(F.col(self.key).isNotNull()).select(self.bucket()).distinct().collect())
+
+    def write(self, df: DataFrame, version: int | None = None, origin: tuple[str, int] | None = None) -> int:
+        """Writes the rows of the buckets that ``df`` holds, all rows of each."""
+        known = self._complete()
+        version = max(known, default=-1) + 1 if version is None else version
+        if version in known:
+            raise FileExistsError(self.path(version))
+        placed = df.select(*self.schema.names).withColumn("_bucket", self.bucket())
+        placed.repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(self.path(version, origin))
+        return version
+
+    def locations(self) -> dict[int, str]:
+        """Bucket -> folder of its latest rows."""
+        fs, jvm = self._fs()
+        out: dict[int, str] = {}
+        for _, (name, _) in sorted(self._complete().items(), reverse=True):
+            for st in fs.listStatus(jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")):
+                part = st.getPath().getName()
+                if part.startswith("_bucket="):
+                    out.setdefault(int(part[8:]), f"{self.root}/{name}/{part}")
+            if len(out) == self.buckets:
+                break
+        return out
+
+    def read_latest(self, buckets: list[int] | None = None) -> DataFrame:
+        """The table, or those buckets of it."""
+        held = self.locations()
+        paths = [held[b] for b in (sorted(held) if buckets is None else buckets) if b in held]
+        if not paths:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*paths)
+
+    def compact(self) -> int:
+        return self.write(self.read_latest())

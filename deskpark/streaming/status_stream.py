@@ -1,9 +1,10 @@
 """ST2: status commands applied as they arrive, one snapshot version per micro-batch.
 
-Each micro-batch is validated against the latest ticket snapshot and folded
-with the batch operators (``commands.status_validate`` / ``status_apply``);
-the result is written as a new version, numbered latest + 1, whose directory
-names the stream and epoch it came from. A replayed epoch (after a failure)
+Each micro-batch is validated against the latest rows of the ticket buckets
+that its commands name and folded with the batch operators
+(``commands.status_validate`` / ``status_apply``); those buckets are written
+as a new version, numbered latest + 1, whose directory names the stream and
+epoch it came from: one command reads and rewrites one bucket. A replayed epoch (after a failure)
 finds exactly its own pair and is skipped; another stream, or the same
 commands folder read with a new checkpoint, has another stream id, so its
 batches are never taken for old ones. Streams share a store one at a time.
@@ -23,7 +24,7 @@ from pyspark.sql.streaming import StreamingQuery
 from deskpark.operators.commands import status_apply, status_validate
 from deskpark.plans.materialize import materialize
 from deskpark.sources import schemas as S
-from deskpark.sources.snapshots import SnapshotStore
+from deskpark.sources.snapshots import BucketStore, SnapshotStore
 
 
 def read_commands(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -43,7 +44,7 @@ def first_of_each(batch: DataFrame, log: SnapshotStore, origin: tuple[str, int])
     return once
 
 
-def apply_batch(store: SnapshotStore, analista: DataFrame, stream: str, log: SnapshotStore | None = None):
+def apply_batch(store: BucketStore, analista: DataFrame, stream: str, log: SnapshotStore | None = None):
     """The foreachBatch function of a stream; ``stream`` identifies its checkpoint."""
 
     def run(batch: DataFrame, epoch_id: int) -> None:
@@ -54,7 +55,7 @@ def apply_batch(store: SnapshotStore, analista: DataFrame, stream: str, log: Sna
             batch = materialize(first_of_each(batch, log, origin))
             if origin not in log.origins():
                 log.write(batch.select("cmd_id"), origin=origin)
-        current = store.read_latest()
+        current = store.read_latest(store.touched(batch))
         store.write(status_apply(current, status_validate(batch, analista, current)), origin=origin)
 
     return run
@@ -72,7 +73,7 @@ def stream_id(spark: SparkSession, checkpoint: str) -> str:
     return spark.read.text(str(path)).first()[0]
 
 
-def start(spark: SparkSession, commands_path: str, store: SnapshotStore, analista: DataFrame,
+def start(spark: SparkSession, commands_path: str, store: BucketStore, analista: DataFrame,
           checkpoint: str, max_files_per_trigger: int | None = None,
           applied_log: str | None = None) -> StreamingQuery:
     log = SnapshotStore(spark, applied_log) if applied_log else None

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from deskpark.operators import commands as CM
 from deskpark.operators import transcripts as TR
 from deskpark.sources import schemas as S
-from deskpark.sources.snapshots import SnapshotStore
+from deskpark.sources.snapshots import BucketStore, SnapshotStore
 from deskpark.streaming import status_stream, transcripts_stream
 
 
@@ -41,7 +41,7 @@ def test_status_stream_equals_batch(spark, mid):
     scratch = tempfile.mkdtemp(prefix="st2-")
     cmds = mid.status_cmd
     src = _split_files(cmds, ["ts", "cmd_id"], 3, f"{scratch}/cmds")
-    store = SnapshotStore(spark, f"{scratch}/tickets")
+    store = BucketStore(spark, f"{scratch}/tickets", S.TICKET, "id_ticket", 16)
     store.write(mid.ticket, 0)
     q = status_stream.start(spark, f"{src}/*", store, mid.analista, f"{scratch}/ckpt", max_files_per_trigger=1)
     q.awaitTermination(600)
@@ -55,7 +55,7 @@ def test_status_stream_drops_replayed_commands(spark, small):
     scratch = tempfile.mkdtemp(prefix="st2d-")
     cmds = small.status_cmd
     cmds.unionByName(cmds).coalesce(1).write.parquet(f"{scratch}/cmds/part001")  # every command twice
-    store = SnapshotStore(spark, f"{scratch}/tickets")
+    store = BucketStore(spark, f"{scratch}/tickets", S.TICKET, "id_ticket", 16)
     store.write(small.ticket, 0)
     q = status_stream.start(spark, f"{scratch}/cmds/*", store, small.analista, f"{scratch}/ckpt",
                             applied_log=f"{scratch}/applied")
@@ -71,7 +71,7 @@ def _commands(spark, rows, path):
 
 
 def _small_store(spark, scratch):
-    store = SnapshotStore(spark, f"{scratch}/tickets", S.TICKET)
+    store = BucketStore(spark, f"{scratch}/tickets", S.TICKET, "id_ticket", 16)
     row = lambda i: (i, 1, None, 10, "s", "solicitud", "alto", "aceptado", None, dt.datetime(2024, 1, 1), None, None)
     store.write(spark.createDataFrame([row(i) for i in range(1, 6)], S.TICKET))
     return store, spark.createDataFrame([(10, 1010, 1)], S.ANALISTA)
@@ -111,3 +111,21 @@ def test_replayed_epoch_applies_once(spark):
     assert store.versions() == [0, 1] and _diagnoses(store) == {1: "a"}
     run(batch, 1)  # the same commands delivered again, as a new epoch
     assert store.versions() == [0, 1, 2] and _diagnoses(store) == {1: "a"}
+
+
+def test_one_command_rewrites_one_bucket(spark, small):
+    scratch = tempfile.mkdtemp(prefix="st2b-")
+    store = BucketStore(spark, f"{scratch}/tickets", S.TICKET, "id_ticket", 16)
+    store.write(small.ticket)
+    first = store.locations()
+    ticket = small.ticket.where("id_analista is not null").first()
+    analista = spark.createDataFrame([(ticket.id_analista, 77, 1)], S.ANALISTA)
+    cmd = spark.createDataFrame([(1, dt.datetime(2024, 1, 1), ticket.id_ticket, 77, "Cerrado", None, "done")], S.STATUS_CMD)
+    status_stream.apply_batch(store, analista, "s", None)(cmd, 0)
+    moved = {b for b, path in store.locations().items() if path != first[b]}
+    assert len(moved) == 1 and store.versions() == [0, 1]
+    assert store.read_latest().count() == small.ticket.count()
+    assert store.read_latest().where(f"id_ticket = {ticket.id_ticket}").first().diagnostico == "done"
+    before = store.read_latest()
+    store.compact()
+    assert before.exceptAll(store.read_latest()).count() == 0 and len({p.split("/v=")[1][:12] for p in store.locations().values()}) == 1
