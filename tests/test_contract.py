@@ -17,3 +17,9 @@ def test_bench_prints_one_json_line():
     d = json.loads(out[0])
     assert d["unit"] == "sec" and d["sf"] == 0.001 and set(d["queries"]) == {"sla_due", "transcripts"}
     assert abs(d["value"] - sum(d["queries"].values())) < 1e-6 and isinstance(d["metric"], str)
+
+
+def test_entry_works_without_the_training_data_operators():
+    code = ("import sys; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; "
+            "assert e.llm is None and len(e.queries()) == len(e.oracle_sql()) == 41, len(e.queries())")
+    subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=120)

@@ -2,8 +2,8 @@
 
 import pytest
 
-import __spark_entry__ as E
 from conftest import SF_SMALL
+from deskpark.plans import registry
 
 
 def plan(df) -> str:
@@ -12,7 +12,7 @@ def plan(df) -> str:
 
 @pytest.fixture(scope="module")
 def plans(spark):
-    return {k: plan(q(spark, SF_SMALL)) for k, q in E.queries().items()}
+    return {k: plan(q(spark, SF_SMALL)) for k, q in registry.queries().items()}
 
 
 def test_no_cross_or_nested_loop_joins(plans):
