@@ -3,7 +3,7 @@
 import re
 
 from deskpark.llm import url_filters as u
-from deskpark.llm.queries import RULES, queries
+from deskpark.llm.queries import RULES, oracle_sql, queries
 from llm.cases import SF_SMALL
 
 RULE = "host string, path string, verdict string"
@@ -31,6 +31,15 @@ def test_query_equals_brute_force(spark):
     assert rows(queries()["op5_url_filters"](spark, SF_SMALL)) == sorted(((p.page_id, *brute(p.url, RULES)) for p in pages), key=repr)
 
 
+def test_query_equals_its_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{SF_SMALL}/pages.parquet')")
+    want = con.execute(oracle_sql()["op5_url_filters"]).fetchall()
+    assert rows(queries()["op5_url_filters"](spark, SF_SMALL)) == sorted(want, key=repr)
+
+
 def test_nested_rules_and_edge_urls(spark):
     rules = [("com", "/", "block"), ("a.com", "/", "allow"), ("a.com", "/x/", "block"), ("b.a.com", "/", "block"), ("a-b.com", "/", "allow"),
              ("c.b.a.com", "/x/y", "allow"), ("org", "", "block"), ("same.org", "/", "allow"), ("same.org", "/", "block"), ("", "/", "block"),
