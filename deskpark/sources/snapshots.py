@@ -53,6 +53,9 @@ class SnapshotStore:
     def versions(self) -> list[int]:
         return sorted(self._complete())
 
+    def has(self, version: int) -> bool:
+        return version in self._complete()
+
     def origins(self) -> set[tuple[str, int]]:
         """The (stream, epoch) pairs that have become versions."""
         return {origin for _, origin in self._complete().values() if origin}
