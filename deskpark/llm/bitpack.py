@@ -24,11 +24,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from deskpark.llm.common import Generations, few_threads
+
 MAGIC = b"BPK1"
 BLOCK = 1 << 16
 _TAIL = struct.Struct("<QQQQII")  # ids, documents, blocks, place of the footer, width, ids of a block
-#: Distinct words kept by a worker at most, and documents whose new words are encoded together.
-CACHE, TOGETHER = 400_000, 256
+#: Distinct words in a generation of a worker's cache, documents whose new words are encoded together,
+#: and new words joined to one line.
+CACHE, TOGETHER, LINE = 60_000, 256, 64
 _DOUBLE = re.compile(r"\s\s")
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 
@@ -162,18 +165,18 @@ class WordEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        few_threads()
         self.backend = Tokenizer.from_file(path)
         self.backend.encode_special_tokens = True  # their names in a text are ordinary text
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+        pieces = self.backend.get_vocab()
+        self.opens = np.zeros(1 + max(pieces.values()), bool)
+        self.opens[[n for p, n in pieces.items() if p.startswith("\u0120")]] = True  # how the file writes a space
+        self.first, self.later = Generations(CACHE), Generations(CACHE)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out = []
         for at in range(0, len(texts), TOGETHER):
             cut = [(_SAFE.split(t) if _DOUBLE.search(t) else t.split(" ")) if t else [] for t in texts[at: at + TOGETHER]]
-            if len(self.first) + len(self.later) > CACHE:
-                self.first.clear()
-                self.later.clear()
             self._learn(self.first, {c[0] for c in cut if c}, "")
             self._learn(self.later, {w for c in cut for w in c[1:]}, " ")
             for c in cut:
@@ -181,11 +184,25 @@ class WordEncoder:
                 out.append(np.frombuffer((self.first[c[0]] if c else b"") + rest, "<u4"))
         return out
 
-    def _learn(self, known: dict[str, bytes], words: set[str], before: str) -> None:
-        new = list(words.difference(known))
-        if new:
-            for word, e in zip(new, self.backend.encode_batch_fast([before + w for w in new], add_special_tokens=False)):
-                known[word] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+    def _learn(self, known: Generations, words: set[str], before: str) -> None:
+        """Encodes new words: those that follow a space by lines of many, the others one by one.
+
+        A line is cut where a piece begins with a space; a word with a space inside gives one too many.
+        """
+        new = known.unknown(words)
+        plain = [w for w in new if w and not w[0].isspace() and not w[-1].isspace()] if before else []
+        odd = list(set(new).difference(plain))
+        lines = [plain[at: at + LINE] for at in range(0, len(plain), LINE)]
+        for line, e in zip(lines, self.backend.encode_batch_fast(["".join([before + w for w in x]) for x in lines], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            starts = np.flatnonzero(self.opens[ids])
+            if len(starts) != len(line):
+                odd += line
+                continue
+            data, bounds = ids.tobytes(), (4 * np.append(starts, len(ids))).tolist()
+            known.update(zip(line, (data[x:y] for x, y in zip(bounds, bounds[1:]))))
+        for word, e in zip(odd, self.backend.encode_batch_fast([before + w for w in odd], add_special_tokens=False)):
+            known[word] = struct.pack(f"<{len(e.ids)}I", *e.ids)
 
 
 _ENCODERS: dict[str, WordEncoder] = {}

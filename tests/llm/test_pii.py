@@ -78,8 +78,8 @@ def test_windows_cover_all_near_an_anchor():
 
 def test_model_finds_what_it_was_shown_and_variants(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
-    model = pii.train(docs, 6000)
-    fresh = [r.text for r in docs.where(docs.text.rlike("[0-9@]")).where("doc_id >= 9000").collect()]
+    model = pii.train(docs.where("doc_id < 8000"), 6000)
+    fresh = [r.text for r in docs.where(docs.text.rlike("[0-9@]")).where("doc_id >= 8000").collect()]
     want = {(n, *x) for n, t in enumerate(fresh) for x in pii.base_spans(t)}
     got = {(n, *x) for n, a in enumerate(pii.added_spans(model, fresh)) for x in a}
     assert len(want) > 50 and len(want & got) >= 0.95 * len(want) and len(got - want) <= 0.02 * len(want) + 1
