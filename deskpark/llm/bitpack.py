@@ -31,7 +31,7 @@ BLOCK = 1 << 16
 _TAIL = struct.Struct("<QQQQII")  # ids, documents, blocks, place of the footer, width, ids of a block
 #: Distinct words in a generation of a worker's cache, documents whose new words are encoded together,
 #: and new words joined to one line.
-CACHE, TOGETHER, LINE = 60_000, 256, 64
+CACHE, TOGETHER, LINE = 120_000, 256, 64
 _DOUBLE = re.compile(r"\s\s")
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 
@@ -177,11 +177,11 @@ class WordEncoder:
         out = []
         for at in range(0, len(texts), TOGETHER):
             cut = [(_SAFE.split(t) if _DOUBLE.search(t) else t.split(" ")) if t else [] for t in texts[at: at + TOGETHER]]
-            self._learn(self.first, {c[0] for c in cut if c}, "")
-            self._learn(self.later, {w for c in cut for w in c[1:]}, " ")
-            for c in cut:
-                rest = b"".join(map(self.later.__getitem__, c[1:]))
-                out.append(np.frombuffer((self.first[c[0]] if c else b"") + rest, "<u4"))
+            first, later = [c[0] if c else "" for c in cut], [c[1:] for c in cut]
+            self._learn(self.first, set(first), "")
+            self._learn(self.later, set().union(*later), " ")
+            for word, rest in zip(first, later):
+                out.append(np.frombuffer(self.first[word] + b"".join(map(self.later.__getitem__, rest)), "<u4"))
         return out
 
     def _learn(self, known: Generations, words: set[str], before: str) -> None:
@@ -190,10 +190,11 @@ class WordEncoder:
         A line is cut where a piece begins with a space; a word with a space inside gives one too many.
         """
         new = known.unknown(words)
-        plain = [w for w in new if w and not w[0].isspace() and not w[-1].isspace()] if before else []
-        odd = list(set(new).difference(plain))
+        plain, odd = [], []
+        for w in new:
+            (plain if before and w and not w[0].isspace() and not w[-1].isspace() else odd).append(w)
         lines = [plain[at: at + LINE] for at in range(0, len(plain), LINE)]
-        for line, e in zip(lines, self.backend.encode_batch_fast(["".join([before + w for w in x]) for x in lines], add_special_tokens=False)):
+        for line, e in zip(lines, self.backend.encode_batch_fast([before + before.join(x) for x in lines], add_special_tokens=False)):
             ids = np.array(e.ids, "<u4")
             starts = np.flatnonzero(self.opens[ids])
             if len(starts) != len(line):
