@@ -1,14 +1,16 @@
 """Benchmark decontamination by template canonicalisation, with DataFrame functions only.
 
-A text becomes a template: lower-cased words without punctuation, where a number, the unit behind a
-number and a name (a capitalised word inside a sentence) are replaced by typed placeholders. Windows
-of five template words are hash-joined to those of the benchmark items. An item is leaked by a
-document that holds at least 0.8 of the item's distinct windows, if the slots agree: within one place
-of the document each number, unit or name of the item stands for one and the same value (at least 0.8
-of the slots, by the commonest value). So verbatim copies are caught as well as questions whose
-numbers or names were changed throughout, and a chance match of placeholders is not.
-
-Placeholders stand for one word each, so that word positions of item and document run in step and
+A text becomes a row of atoms: lower-cased words without punctuation, where a number, the unit behind a
+number and a name (a capitalised word) are typed. A number or unit is read as its placeholder; a name is
+read both as a placeholder and as its plain lower-cased words, so that a copy in other case is met as
+well. Windows of five read words are hash-joined to those of the benchmark items, each window in all its
+readings. An item is leaked by a document that holds at least 0.8 of the item's distinct windows, in any
+reading, unless the slots contradict: within one place of the document each number, unit or name of the
+item stands for one and the same value (at least 0.8 of the slots, by the commonest value; windows that
+agree without a slot have no say). So verbatim copies are caught as well as questions whose numbers or
+names were changed throughout, and a chance match of placeholders is not.
+
+An atom counts as one position, so that positions of item and document run in step and
 (document position - item position) tells the places of a document apart.
 """
 
@@ -33,18 +35,22 @@ UNITS = (
     "euro euros cent cents usd eur"
 ).split()
 _MARK, _VALUE = "\u0001", "\u0002"
-_NAME = r"(?<=[^\s.!?:;|>]\s)(\p{Lu}[\p{Ll}\p{M}]+)(?![\p{L}\p{N}])"
+_WORD = r"\p{Lu}[\p{Ll}\p{M}]+(?![\p{L}\p{N}])"
+_NAME = rf"(?<=[^\s.!?:;|>] )({_WORD})"
+_FIRST = rf"^( ?)({_WORD})"
 _NUMBER = r"(?<![\p{L}\p{N}_])([+-]?[0-9]+(?:[.,][0-9]+)*)"
 _UNIT = rf"(?i)({_MARK}n\S*\s+)({'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])"
 _PERCENT = rf"({_MARK}n\S*\s+)(%)"
 _PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
-def template(text: Column, values: bool = False) -> Column:
-    """Template words of a text; with ``values`` each placeholder carries its value. Null: no words."""
-    put = lambda kind, group: f"{_MARK}{kind}" + f"{_VALUE}${group}" * values
+def atoms(text: Column) -> Column:
+    """Lower-cased words of a text; a name (p), a text's first word (s), a number (n) or a unit (u) is marked and carries its value."""
+    put = lambda kind, group: f"{_MARK}{kind}{_VALUE}${group}"
     t = F.translate(F.coalesce(text, F.lit("")), _MARK + _VALUE, "")
+    t = F.regexp_replace(t, F.lit(r"\s+"), F.lit(" "))
     t = F.regexp_replace(t, F.lit(_NAME), F.lit(put("p", 1)))
+    t = F.regexp_replace(t, F.lit(_FIRST), F.lit("$1" + put("s", 2)))
     counted = F.regexp_replace(t, F.lit(_NUMBER), F.lit(put("n", 1) + " "))
     counted = F.regexp_replace(counted, F.lit(_UNIT), F.lit("$1" + put("u", 2)))
     counted = F.regexp_replace(counted, F.lit(_PERCENT), F.lit("$1" + put("u", 2)))
@@ -52,20 +58,82 @@ def template(text: Column, values: bool = False) -> Column:
     return words_of(F.translate(F.lower(t), _PUNCTUATION, ""))
 
 
+def template(text: Column, values: bool = False) -> Column:
+    """Template words of a text, names inside sentences typed; with ``values`` each placeholder carries its value."""
+    read = F.flatten(F.transform(atoms(text), lambda a: F.when(_is(a, "s"), _value_words(a)).otherwise(F.array(a))))
+    return read if values else F.transform(read, _bare)
+
+
+def _is(atom: Column, kind: str) -> Column:
+    return atom.startswith(_MARK + kind)
+
+
+def _is_name(atom: Column) -> Column:
+    return _is(atom, "p") | _is(atom, "s")
+
+
 def _bare(word: Column) -> Column:
     return F.substring_index(word, _VALUE, 1)
 
 
-def window_hashes(words: Column, size: int = WINDOW) -> Column:
-    """Hash of each window in its order; a shorter text is one window; no words, no windows."""
+def _value_words(atom: Column) -> Column:
+    return F.array(_bare(F.substr(atom, F.lit(4))))
+
+
+def readings(atom: Column, values: bool = False) -> Column:
+    """The word lists that an atom may be read as; the last of them is the plain one."""
+    kept = atom if values else _bare(atom)
+    typed = F.concat(F.lit(_MARK + "p" + _VALUE), F.substr(atom, F.lit(4))) if values else F.lit(_MARK + "p")
+    return F.when(_is_name(atom), F.array(F.array(typed), _value_words(atom))).otherwise(F.array(F.array(kept)))
+
+
+def _paths(read: Column, i: Column, begun: Column) -> Column:
+    """Windows that start with one of the word lists ``begun`` and go on behind atom ``i`` in any reading."""
+    one = lambda q, rs: F.when(F.size(q) >= WINDOW, F.array(q)).otherwise(
+        F.transform(rs, lambda r: F.slice(F.concat(q, r), 1, WINDOW)))
+    out = F.aggregate(F.slice(read, i + 2, WINDOW - 1), begun, lambda acc, rs: F.flatten(F.transform(acc, lambda q: one(q, rs))))
+    return F.filter(out, lambda q: F.size(q) >= WINDOW)
+
+
+def _tails(rs: Column) -> Column:
+    """Every place at which a window may start within the readings of an atom."""
+    return F.flatten(F.transform(rs, lambda r: F.transform(F.sequence(F.lit(1), F.size(r)), lambda j: F.slice(r, j, WINDOW))))
+
+
+def _hash(window: Column) -> Column:
+    return F.xxhash64(*[F.get(window, F.lit(k)) for k in range(WINDOW)])
 
-    def hashes(w: Column) -> Column:
-        at = F.sequence(F.lit(0), F.size(w) - size)
-        whole = F.transform(at, lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(size)]))
-        short = F.array(F.xxhash64(F.array_join(w, " "), F.lit(size)))
-        return F.when(F.size(w) >= size, whole).when(F.size(w) > 0, short).otherwise(F.array().cast("array<bigint>"))
 
-    return let(words, hashes)
+def _plain(found: Column) -> Column:
+    return F.flatten(F.transform(found, lambda a: F.element_at(readings(a), -1)))
+
+
+def _short_hashes(found: Column) -> Column:
+    """A text of fewer words than a window is one window, read plainly and as its template; no words, none."""
+    whole = lambda w: F.xxhash64(F.array_join(w, " "), F.lit(WINDOW))
+    typed = F.flatten(F.transform(found, lambda a: F.when(_is(a, "s"), _value_words(a)).otherwise(F.array(_bare(a)))))
+    return F.when(F.size(found) > 0, F.array(whole(_plain(found)), whole(typed))).otherwise(F.array().cast("array<bigint>"))
+
+
+def window_hashes(text: Column) -> Column:
+    """The distinct hashes of a text's windows in all readings."""
+
+    def windows(found: Column, plain: Column) -> Column:
+        def at(i: Column) -> Column:
+            few = F.slice(found, i + 1, WINDOW)
+            simple = F.when(F.size(few) >= WINDOW, F.array(F.xxhash64(*[F.get(plain, i + k) for k in range(WINDOW)])))
+            simple = simple.otherwise(F.array().cast("array<bigint>"))
+            return F.when(F.exists(few, _is_name), let(F.transform(few, lambda a: readings(a)), full)).otherwise(simple)
+
+        full = lambda rs: F.transform(_paths(rs, F.lit(0), _tails(F.get(rs, F.lit(0)))), _hash)
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(found) - 1), at))
+
+    def hashes(found: Column) -> Column:
+        long = F.size(found) >= WINDOW
+        long = long | (F.size(_plain(found)) >= WINDOW)
+        return F.when(long, let(F.transform(found, _bare), lambda bare: windows(found, bare))).otherwise(_short_hashes(found))
+
+    return F.array_distinct(let(atoms(text), hashes))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -74,34 +142,54 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     One row for each item that a document leaks. Null ids are not reported and items without a word or
     with a null id leak nowhere; a text of fewer words than a window matches only a document of the same
     few words; rows that share an id count as one text each and are reported once; slot_agreement is 1
-    for items without slots; empty tables give an empty result; other columns are not read.
+    where no matching window needs a slot to match; empty tables give an empty result; other columns are
+    not read.
     """
-    items = benchmark.where("item_id is not null").select("item_id", "text", template(F.col("text")).alias("w"))
-    slotted = items.where(F.exists("w", lambda w: w.startswith(_MARK))).select("item_id").distinct()
+    items = benchmark.where("item_id is not null").select("item_id", "text")
     wanted = materialize(_wanted(items))
     sizes = wanted.groupBy("item_id").agg(F.count_distinct("window").alias("n_windows"))
 
     rows = docs.where("doc_id is not null")
-    held = rows.select("doc_id", window_hashes(template(F.col("text"))).alias("hs"))
-    held = held.select("doc_id", F.explode(F.array_distinct("hs")).alias("h"))
+    held = rows.select("doc_id", F.explode(window_hashes(F.col("text"))).alias("h"))
     met = held.join(_small(wanted), "h").groupBy("doc_id", "item_id").agg(F.count_distinct("window").alias("n_found"))
-    met = met.join(_small(sizes), "item_id").where(F.col("n_found") >= SHARE * F.col("n_windows"))
-    met = materialize(met.join(_small(slotted.withColumn("slots", F.lit(True))), "item_id", "left"))
-    agreed = _agreement(rows, benchmark, met.where("slots").select("doc_id", "item_id"))
-    out = met.join(agreed, ["doc_id", "item_id"], "left")
-    out = out.withColumn("slot_agreement", F.when(F.col("slots"), F.coalesce("slot_agreement", F.lit(0.0))).otherwise(1.0))
+    met = materialize(met.join(_small(sizes), "item_id").where(F.col("n_found") >= SHARE * F.col("n_windows")))
+    agreed = _agreement(rows, items, met.select("doc_id", "item_id"))
+    out = met.join(agreed, ["doc_id", "item_id"], "left").withColumn("slot_agreement", F.coalesce("slot_agreement", F.lit(1.0)))
     return out.where(F.col("slot_agreement") >= SHARE).select("doc_id", "item_id", "n_windows", "n_found", "slot_agreement")
 
 
+def _starts(row: Column) -> Column:
+    """(j, few, window) of each place where a plain window starts: at word j of the first of the ``few`` atoms."""
+    words = lambda a, i: F.transform(
+        F.sequence(F.lit(1), F.size(F.element_at(readings(a), -1))), lambda j: F.struct(i.alias("i"), j.alias("j")))
+
+    def at(start: Column, n: Column) -> Column:
+        window = F.xxhash64(*[F.get(row.plain, n + k) for k in range(WINDOW)])
+        return F.struct(start.j.alias("j"), F.slice(row.w, start.i + 1, WINDOW).alias("few"), window.alias("window"))
+
+    starts = F.slice(F.flatten(F.transform(row.w, words)), F.lit(1), F.greatest(F.size(row.plain) - (WINDOW - 1), F.lit(0)))
+    return F.transform(starts, at)
+
+
 def _wanted(items: DataFrame) -> DataFrame:
-    """(item_id, window, h): the distinct windows of each item and the hashes that stand for each.
+    """(item_id, window, h): the distinct windows of each item, read plainly, and the hashes that stand for each.
 
-    An item's first word may be a name inside a sentence of a document, so its window has two readings.
+    A window that starts within a name stands for the one that starts with the name's placeholder, too.
     """
-    inside = F.slice(template(F.concat(F.lit("a "), F.coalesce("text", F.lit("")))), 2, 1 << 30)
-    read = items.select("item_id", window_hashes(F.col("w")).alias("window"), window_hashes(inside).alias("h"))
-    read = read.select("item_id", F.explode(F.arrays_zip("window", "h")).alias("r")).select("item_id", "r.window", "r.h")
-    return read.union(read.select("item_id", "window", F.col("window").alias("h"))).distinct()
+    read = items.select("item_id", atoms(F.col("text")).alias("w"))
+    read = read.select("item_id", "w", _plain(F.col("w")).alias("plain"))
+    short = read.where(F.size("plain") < WINDOW).select("item_id", _short_hashes(F.col("w")).alias("hs"))
+    short = short.where(F.size("hs") > 0).select("item_id", F.get("hs", F.lit(0)).alias("window"), F.explode("hs").alias("h"))
+
+    long = read.where(F.size("plain") >= WINDOW).select("item_id", let(F.struct("w", "plain"), _starts).alias("at"))
+    long = long.select("item_id", F.explode("at").alias("at"))
+    words = long.select("item_id", "at.j", "at.window", F.transform("at.few", lambda a: readings(a)).alias("read"))
+    own, j = F.get("read", F.lit(0)), F.col("j")
+    inner = F.transform(own, lambda r, k: F.when(k + 1 == F.size(own), F.slice(r, j, WINDOW)).otherwise(F.slice(r, F.size(r), 1)))
+    begun = F.when(j == 1, F.transform(own, lambda r: F.slice(r, 1, WINDOW))).otherwise(inner)
+    hashes = F.transform(_paths(F.col("read"), F.lit(0), begun), _hash)
+    long = words.select("item_id", "window", F.explode(hashes).alias("h"))
+    return long.union(short).distinct()
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -110,25 +198,38 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def _placed(df: DataFrame, key: str) -> DataFrame:
-    """(key, position, h, slots): each window with the placeholders and values in it."""
-    words = df.select(key, template(F.col("text"), values=True).alias("w"))
-    words = words.select(key, "w", F.posexplode(window_hashes(F.transform("w", _bare))).alias("position", "h"))
-    window = F.slice("w", F.col("position") + 1, WINDOW)
-    slots = F.transform(window, lambda w, k: F.struct(k.alias("k"), _bare(w).alias("kind"), F.substring_index(w, _VALUE, -1).alias("value")))
-    return words.select(key, "position", "h", F.filter(slots, lambda s: s.kind.startswith(_MARK)).alias("slots"))
+    """(key, position, h, slots): each window in each reading with the placeholders and values in it."""
+    def windows(found: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(0), F.size(found) - 1), lambda i: F.struct(i.alias("position"), at(found, i).alias("ws")))
+        return F.when(F.size(found) > 0, each)
+
+    def at(found: Column, i: Column) -> Column:
+        few = F.transform(F.slice(found, i + 1, WINDOW), lambda a: readings(a, True))
+        return let(few, lambda rs: _paths(rs, F.lit(0), _tails(F.get(rs, F.lit(0)))))
+
+    words = df.select(key, atoms(F.col("text")).alias("w"))
+    words = words.select(key, F.explode(let(F.col("w"), windows)).alias("own"))
+    words = words.select(key, "own.position", F.explode("own.ws").alias("w"))
+    slots = F.transform("w", lambda w, k: F.struct(k.alias("k"), _bare(w).alias("kind"), F.substring_index(w, _VALUE, -1).alias("value")))
+    h = _hash(F.transform("w", _bare))
+    return words.select(key, "position", h.alias("h"), F.filter(slots, lambda s: s.kind.startswith(_MARK)).alias("slots")).distinct()
 
 
 def _agreement(docs: DataFrame, benchmark: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(doc_id, item_id) -> slot_agreement: share of slots, over all windows in common, that take their item value's commonest value."""
-    ids = pairs.select("doc_id").distinct()
-    few = _small(ids)
+    """(doc_id, item_id) -> slot_agreement: share of slots, over all windows in common, that take their item value's commonest value.
+
+    Of the readings in which two windows match, the one of the fewest slots counts.
+    """
+    few = _small(pairs.select("doc_id").distinct())
     texts = docs.select("doc_id", "text").join(few, "doc_id", "left_semi")
-    own = _placed(texts, "doc_id").where(F.size("slots") > 0)
-    items = _placed(benchmark.where("item_id is not null").select("item_id", "text"), "item_id").where(F.size("slots") > 0)
+    own = _placed(texts, "doc_id")
+    items = _placed(benchmark, "item_id")
     items = items.select("item_id", "h", F.col("position").alias("item_position"), F.col("slots").alias("item_slots"))
     both = own.join(pairs, "doc_id").join(items, ["item_id", "h"])
+    least = F.min(F.struct(F.size("slots").alias("n"), "item_slots", "slots")).alias("least")
+    both = both.groupBy("doc_id", "item_id", "position", "item_position").agg(least)
     both = both.withColumn("place", F.col("position") - F.col("item_position"))
-    both = both.select("doc_id", "item_id", "place", F.explode(F.arrays_zip("item_slots", "slots")).alias("s"))
+    both = both.select("doc_id", "item_id", "place", F.explode(F.arrays_zip("least.item_slots", "least.slots")).alias("s"))
     key = ["doc_id", "item_id", "place", "kind", "meant"]
     both = both.select("doc_id", "item_id", "place", F.col("s.item_slots.kind").alias("kind"),
                        F.col("s.item_slots.value").alias("meant"), F.col("s.slots.value").alias("found"))

@@ -73,3 +73,18 @@ def test_edge_rows_and_empty_tables(spark, make, edge, empty):
     kept = d.without_leaks(edge, items)
     assert kept.columns == edge.columns and sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 1, 2, 3, 8, 9]
     assert len(EDGE) == edge.count()
+
+
+def test_case_and_spacing_hide_no_copy(spark, make):
+    """One name inside a sentence: a copy whose name is not typed shares no window that carries a slot."""
+    item = ("the small shop near the old bridge sells fresh bread and cheese every morning while the owner Alice counts what is left in "
+            "the store and then writes it down for all who come to buy later")
+    copies = [item.lower(), item.upper(), item.replace(" Alice", "  Alice"), item.replace(" Alice", "\n    Alice"), item.title()]
+    got = found(make([*enumerate(copies), (9, item.replace("Alice", "Bruno"))]), bench(spark, [(1, item)]))
+    assert set(got) == {(k, 1) for k in (0, 1, 2, 3, 4, 9)}
+    assert all(r.n_found == r.n_windows and r.slot_agreement == 1.0 for r in got.values())
+
+
+def test_copy_without_case_may_have_other_numbers(spark, make):
+    changed = QUESTION.replace("120 km", "75 yards").replace("40 miles", "33 meters").lower()
+    assert found(make([(1, changed)]), bench(spark, [(1, QUESTION)]))[1, 1].slot_agreement == 1.0
