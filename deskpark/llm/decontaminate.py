@@ -1,9 +1,9 @@
 """Benchmark decontamination by template canonicalisation, with DataFrame functions only.
 
 A text becomes a row of atoms: lower-cased words without punctuation, where a number, the unit behind a
-number and a name (a capitalised word) are typed. A number or unit is read as its placeholder; a name is
+number and a name (a row of up to four capitalised words) are typed. A number or unit is read as its placeholder; a name is
 read both as a placeholder and as its plain lower-cased words, so that a copy in other case is met as
-well. Windows of five read words are hash-joined to those of the benchmark items, each window in all its
+well, and likewise at the start of a sentence, where a capital need not mean a name. Windows of five read words are hash-joined to those of the benchmark items, each window in all its
 readings. An item is leaked by a document that holds at least 0.8 of the item's distinct windows, in any
 reading, unless the slots contradict: within one place of the document each number, unit or name of the
 item stands for one and the same value (at least 0.8 of the slots, by the commonest value; windows that
@@ -34,10 +34,15 @@ UNITS = (
     "gallons second seconds minute minutes hour hours day days week weeks month months year years dollar dollars "
     "euro euros cent cents usd eur"
 ).split()
-_MARK, _VALUE = "\u0001", "\u0002"
+#: Words of a name at most; a longer row of capitalised words counts as several names.
+NAME_WORDS = 4
+_MARK, _VALUE, _JOIN = "\u0001", "\u0002", "\u0003"
 _WORD = r"\p{Lu}[\p{Ll}\p{M}]+(?![\p{L}\p{N}])"
-_NAME = rf"(?<=[^\s.!?:;|>] )({_WORD})"
-_FIRST = rf"^( ?)({_WORD})"
+_ROW = rf"(?<![^ {_JOIN}])([^\p{{L}}\p{{N}}\s{_MARK}{_JOIN}]*{_WORD}) (?={_WORD})"
+_LONG = rf"({_WORD}(?:{_JOIN}{_WORD}){{{NAME_WORDS - 1}}}){_JOIN}"
+_RUN = rf"{_WORD}(?:{_JOIN}{_WORD})*"
+_NAME = rf"(?<=[^\s.!?:;|>] )({_RUN})"
+_FIRST = rf"(?<![^ ])([^\p{{L}}\p{{N}}\s{_MARK}]*{_RUN})"
 _NUMBER = r"(?<![\p{L}\p{N}_])([+-]?[0-9]+(?:[.,][0-9]+)*)"
 _UNIT = rf"(?i)({_MARK}n\S*\s+)({'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])"
 _PERCENT = rf"({_MARK}n\S*\s+)(%)"
@@ -45,23 +50,33 @@ _PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def atoms(text: Column) -> Column:
-    """Lower-cased words of a text; a name (p), a text's first word (s), a number (n) or a unit (u) is marked and carries its value."""
+    """Lower-cased words of a text; numbers (n), units (u) and names are marked and carry their value.
+
+    A row of capitalised words is one name: p inside a sentence, and s where its first word may be
+    capitalised for its place (behind the end of a sentence or a quotation mark, for example).
+    """
     put = lambda kind, group: f"{_MARK}{kind}{_VALUE}${group}"
-    t = F.translate(F.coalesce(text, F.lit("")), _MARK + _VALUE, "")
-    t = F.regexp_replace(t, F.lit(r"\s+"), F.lit(" "))
-    t = F.regexp_replace(t, F.lit(_NAME), F.lit(put("p", 1)))
-    t = F.regexp_replace(t, F.lit(_FIRST), F.lit("$1" + put("s", 2)))
+    t = F.translate(F.coalesce(text, F.lit("")), _MARK + _VALUE + _JOIN, "")
     counted = F.regexp_replace(t, F.lit(_NUMBER), F.lit(put("n", 1) + " "))
     counted = F.regexp_replace(counted, F.lit(_UNIT), F.lit("$1" + put("u", 2)))
     counted = F.regexp_replace(counted, F.lit(_PERCENT), F.lit("$1" + put("u", 2)))
     t = F.when(text.rlike("[0-9]"), counted).otherwise(t)
+    t = F.regexp_replace(t, F.lit(r"\s+"), F.lit(" "))
+    t = F.regexp_replace(t, F.lit(_ROW), F.lit("$1" + _JOIN))
+    t = F.regexp_replace(t, F.lit(_LONG), F.lit("$1 "))
+    t = F.regexp_replace(t, F.lit(_NAME), F.lit(put("p", 1)))
+    t = F.regexp_replace(t, F.lit(_FIRST), F.lit(put("s", 1)))
     return words_of(F.translate(F.lower(t), _PUNCTUATION, ""))
 
 
 def template(text: Column, values: bool = False) -> Column:
     """Template words of a text, names inside sentences typed; with ``values`` each placeholder carries its value."""
-    read = F.flatten(F.transform(atoms(text), lambda a: F.when(_is(a, "s"), _value_words(a)).otherwise(F.array(a))))
-    return read if values else F.transform(read, _bare)
+    return _template(atoms(text), values)
+
+
+def _template(found: Column, values: bool = False) -> Column:
+    one = lambda a: F.when(_is(a, "s"), F.element_at(readings(a, values), 2)).otherwise(F.get(readings(a, values), F.lit(0)))
+    return F.flatten(F.transform(found, one))
 
 
 def _is(atom: Column, kind: str) -> Column:
@@ -76,15 +91,18 @@ def _bare(word: Column) -> Column:
     return F.substring_index(word, _VALUE, 1)
 
 
-def _value_words(atom: Column) -> Column:
-    return F.array(_bare(F.substr(atom, F.lit(4))))
-
-
 def readings(atom: Column, values: bool = False) -> Column:
-    """The word lists that an atom may be read as; the last of them is the plain one."""
-    kept = atom if values else _bare(atom)
-    typed = F.concat(F.lit(_MARK + "p" + _VALUE), F.substr(atom, F.lit(4))) if values else F.lit(_MARK + "p")
-    return F.when(_is_name(atom), F.array(F.array(typed), _value_words(atom))).otherwise(F.array(F.array(kept)))
+    """The word lists that an atom may be read as; the last of them is the plain one.
+
+    A name is its placeholder or its words; behind a first word of a sentence the rest alone may be the name.
+    """
+    parts = F.split(F.substr(atom, F.lit(4)), _JOIN)
+    words = F.transform(parts, _bare)
+    typed = lambda ws: F.concat(F.lit(_MARK + "p"), F.lit(_VALUE), F.array_join(ws, " ")) if values else F.lit(_MARK + "p")
+    rest = F.array(F.get(words, F.lit(0)), typed(F.slice(parts, 2, NAME_WORDS)))
+    name = F.when(_is(atom, "s") & (F.size(parts) > 1), F.array(F.array(typed(parts)), rest, words))
+    plain = F.array(F.array(atom if values else _bare(atom)))
+    return F.when(_is_name(atom), name.otherwise(F.array(F.array(typed(parts)), words))).otherwise(plain)
 
 
 def _paths(read: Column, i: Column, begun: Column) -> Column:
@@ -111,8 +129,7 @@ def _plain(found: Column) -> Column:
 def _short_hashes(found: Column) -> Column:
     """A text of fewer words than a window is one window, read plainly and as its template; no words, none."""
     whole = lambda w: F.xxhash64(F.array_join(w, " "), F.lit(WINDOW))
-    typed = F.flatten(F.transform(found, lambda a: F.when(_is(a, "s"), _value_words(a)).otherwise(F.array(_bare(a)))))
-    return F.when(F.size(found) > 0, F.array(whole(_plain(found)), whole(typed))).otherwise(F.array().cast("array<bigint>"))
+    return F.when(F.size(found) > 0, F.array(whole(_plain(found)), whole(_template(found)))).otherwise(F.array().cast("array<bigint>"))
 
 
 def window_hashes(text: Column) -> Column:

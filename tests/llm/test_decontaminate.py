@@ -88,3 +88,30 @@ def test_case_and_spacing_hide_no_copy(spark, make):
 def test_copy_without_case_may_have_other_numbers(spark, make):
     changed = QUESTION.replace("120 km", "75 yards").replace("40 miles", "33 meters").lower()
     assert found(make([(1, changed)]), bench(spark, [(1, QUESTION)]))[1, 1].slot_agreement == 1.0
+
+
+WAGES = ("Weng earns 12 dollars an hour for all her work at the shop. Yesterday she did 50 minutes of it before noon. Weng wants to know "
+         "what she got. How much did Weng earn in Paris?")
+
+
+def test_names_that_begin_sentences_and_names_of_other_length(spark, make):
+    """The name begins sentences; other names may have more words or fewer, and be renamed on either side."""
+    other = WAGES.replace("12", "15").replace("50", "35")
+    short, long = other.replace("Weng", "Maria"), other.replace("Weng", "Maria Lopez").replace("Paris", "New York City")
+    docs = make([(1, short), (2, long), (3, f"so it was, {WAGES[0].lower()}{WAGES[1:]}"), (4, "Weng wants to know what she got. Yesterday Weng did it."),
+                 (5, QUESTION.title()), (6, QUESTION.replace("Alice", "Mary Ann Smith").replace("A train", "The Bus\tand a train"))])
+    got = found(docs, bench(spark, [(1, WAGES), (2, WAGES.replace("Weng", "Maria Lopez").replace("Paris", "New York City")), (3, QUESTION)]))
+    assert set(got) == {(d, i) for d in (1, 2, 3) for i in (1, 2)} | {(5, 3), (6, 3)}
+    assert got[1, 1].n_found == got[1, 1].n_windows and got[2, 1].slot_agreement >= 0.8
+
+
+def test_rows_of_capitalised_words():
+    from pyspark.sql import functions as F
+    from pyspark.sql import SparkSession
+
+    text = "Yesterday Ann Lee went to New York's park, said (Paris) One Two Three Four Five. L'Alice Bo ran 5 Miles on."
+    row = SparkSession.active().createDataFrame([(text,)], "t string")
+    got = row.select(d.atoms(F.col("t")).alias("a"), d.template(F.col("t")).alias("b"), F.transform(d.atoms(F.col("t")), lambda a: d.readings(a)).alias("r")).first()
+    assert got.r[0] == [["\x01p"], ["yesterday", "\x01p"], ["yesterday", "ann", "lee"]] and got.r[3] == [["\x01p"], ["new", "yorks"]]
+    assert got.b == ["yesterday", "\x01p", "went", "to", "\x01p", "park", "said", "paris", "\x01p", "\x01p", "lalice", "\x01p", "ran", "\x01n", "\x01u", "on"]
+    assert not any("\x03" in w for lists in got.r for words in lists for w in words)
