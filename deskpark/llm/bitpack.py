@@ -167,7 +167,6 @@ class WordEncoder:
 
         few_threads()
         self.backend = Tokenizer.from_file(path)
-        self.backend.encode_special_tokens = True  # their names in a text are ordinary text
         pieces = self.backend.get_vocab()
         self.opens = np.zeros(1 + max(pieces.values()), bool)
         self.opens[[n for p, n in pieces.items() if p.startswith("\u0120")]] = True  # how the file writes a space

@@ -82,3 +82,22 @@ def test_edge_rows_and_empty_table(spark, edge, empty):
     files = b.write(edge, PATH, 50257, work_dir(spark, "edge"))
     assert got(b.read(files)) == expected(EDGE)
     assert b.read(b.write(empty, PATH, 50257, work_dir(spark, "empty"))).count() == 0
+
+
+LIBRARY = Tokenizer.from_file(PATH)
+MARKED = ["a <|endoftext|> b", "a<|endoftext|>b", "<|endoftext|>", " <|endoftext|> ", "a  <|endoftext|>\n<|endoftext|> <|endoftext|> b c", "<|endoftext|"]
+
+
+def test_marker_in_a_text_is_encoded_as_the_library_does():
+    """The contract is the library and the file, without any switch of ours."""
+    want = [LIBRARY.encode(t, add_special_tokens=False).ids for t in MARKED]
+    assert want[0] == [64, 220, 50256, 275]
+    assert [x.tolist() for x in b.WordEncoder(PATH).encode(MARKED)] == want
+    one = b.WordEncoder(PATH)
+    assert [one.encode([t])[0].tolist() for t in MARKED] == want
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", " ", "\n", "a", "'s", "1", "\xa0", "<|", " b"]), max_size=12).map("".join))
+def test_encoding_with_markers_is_exact(text):
+    assert (b._ENCODERS.get(PATH) or b_encoder()).encode([text])[0].tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
