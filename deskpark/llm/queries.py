@@ -125,6 +125,14 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector projected on the four leading components of the distinct vectors; see ``whitening``."""
+    from deskpark.llm import whitening
+
+    out = whitening.whiten(table(spark, sf_dir, "embeddings"), components=4)
+    return out.select("vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error", "deviation_exact")
+
+
 def _shipped(query):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
