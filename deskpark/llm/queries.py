@@ -133,6 +133,13 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error", "deviation_exact")
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word's form, root and counts; see ``spelling.variants``."""
+    from deskpark.llm import spelling
+
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def _shipped(query):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
