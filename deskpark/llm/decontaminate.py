@@ -1,31 +1,37 @@
 """Benchmark decontamination by template canonicalisation, with DataFrame functions only.
 
-A text becomes a row of atoms: lower-cased words without punctuation, where a number, the unit behind a
-number and a name (a row of up to four capitalised words) are typed. A number or unit is read as its placeholder; a name is
-read both as a placeholder and as its plain lower-cased words, so that a copy in other case is met as
-well, and likewise at the start of a sentence, where a capital need not mean a name. Windows of five read words are hash-joined to those of the benchmark items, each window in all its
-readings. An item is leaked by a document that holds at least 0.8 of the item's distinct windows, in any
-reading, unless the slots contradict: within one place of the document each number, unit or name of the
-item stands for one and the same value (at least 0.8 of the slots, by the commonest value; windows that
-agree without a slot have no say). So verbatim copies are caught as well as questions whose numbers or
-names were changed throughout, and a chance match of placeholders is not.
-
-An atom counts as one position, so that positions of item and document run in step and
-(document position - item position) tells the places of a document apart.
+A text is read in two ways, as rows of lower-cased words without punctuation. In both, a number and the
+unit behind it are typed placeholders. The plain reading keeps all other words, so that a copy is met in
+any case and spacing; the typed reading makes each row of up to four capitalised words, wherever it
+stands, one name placeholder, on both sides alike, so that names may be changed, longer or shorter.
+Windows of five read words (of all words, for an item of three or four) are hash-joined to those of the
+benchmark items. A window needs two plain words to be a template; one of fewer is met with its own values
+only, and counts only in items that mostly consist of such. An item is leaked by a text that holds, in
+one reading and in one place, at least 0.8 of the item's distinct windows, unless the slots contradict:
+each number, unit or name of the item must stand for one and the same value (for at least 0.8 of the
+slots of the windows in common, by the commonest value).
+
+A text that leaks an item holds one of a few of its words; only texts with such a word are windowed. The
+words are those of so many of the item's windows that the others are too few.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from deskpark.llm.common import let, words_of
+from deskpark.llm.common import let
 from deskpark.plans.materialize import materialize
 
 WINDOW = 5
 SHARE = 0.8
-#: Rows that may be broadcast at most (two longs each); larger sides are joined by shuffle.
+#: Plain words of a template; words of an item that is looked for inside texts (a shorter one is met as a whole text).
+PLAIN_WORDS, INSIDE = 2, 3
+#: Rows that may be broadcast at most (a few longs each); larger sides are joined by shuffle.
 BROADCAST_ROWS = 500_000
+#: Words that texts are filtered by at most; with more of them every text is windowed.
+FILTER_WORDS = 20_000
 #: FIXED VALUES: units that may follow a number.
 UNITS = (
     "km cm mm m mi ft in yd kg mg g lb lbs oz t l ml cl gal s ms min h hr hrs kb mb gb tb hz khz mhz ghz w kw mw v a "
@@ -34,179 +40,196 @@ UNITS = (
     "gallons second seconds minute minutes hour hours day days week weeks month months year years dollar dollars "
     "euro euros cent cents usd eur"
 ).split()
-#: Words of a name at most; a longer row of capitalised words counts as several names.
-NAME_WORDS = 4
-_MARK, _VALUE, _JOIN = "\u0001", "\u0002", "\u0003"
-_WORD = r"\p{Lu}[\p{Ll}\p{M}]+(?![\p{L}\p{N}])"
-_ROW = rf"(?<![^ {_JOIN}])([^\p{{L}}\p{{N}}\s{_MARK}{_JOIN}]*{_WORD}) (?={_WORD})"
-_LONG = rf"({_WORD}(?:{_JOIN}{_WORD}){{{NAME_WORDS - 1}}}){_JOIN}"
-_RUN = rf"{_WORD}(?:{_JOIN}{_WORD})*"
-_NAME = rf"(?<=[^\s.!?:;|>] )({_RUN})"
-_FIRST = rf"(?<![^ ])([^\p{{L}}\p{{N}}\s{_MARK}]*{_RUN})"
-_NUMBER = r"(?<![\p{L}\p{N}_])([+-]?[0-9]+(?:[.,][0-9]+)*)"
-_UNIT = rf"(?i)({_MARK}n\S*\s+)({'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])"
-_PERCENT = rf"({_MARK}n\S*\s+)(%)"
-_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-
-
-def atoms(text: Column) -> Column:
-    """Lower-cased words of a text; numbers (n), units (u) and names are marked and carry their value.
-
-    A row of capitalised words is one name: p inside a sentence, and s where its first word may be
-    capitalised for its place (behind the end of a sentence or a quotation mark, for example).
-    """
-    put = lambda kind, group: f"{_MARK}{kind}{_VALUE}${group}"
-    t = F.translate(F.coalesce(text, F.lit("")), _MARK + _VALUE + _JOIN, "")
-    counted = F.regexp_replace(t, F.lit(_NUMBER), F.lit(put("n", 1) + " "))
-    counted = F.regexp_replace(counted, F.lit(_UNIT), F.lit("$1" + put("u", 2)))
-    counted = F.regexp_replace(counted, F.lit(_PERCENT), F.lit("$1" + put("u", 2)))
-    t = F.when(text.rlike("[0-9]"), counted).otherwise(t)
-    t = F.regexp_replace(t, F.lit(r"\s+"), F.lit(" "))
-    t = F.regexp_replace(t, F.lit(_ROW), F.lit("$1" + _JOIN))
-    t = F.regexp_replace(t, F.lit(_LONG), F.lit("$1 "))
-    t = F.regexp_replace(t, F.lit(_NAME), F.lit(put("p", 1)))
-    t = F.regexp_replace(t, F.lit(_FIRST), F.lit(put("s", 1)))
-    return words_of(F.translate(F.lower(t), _PUNCTUATION, ""))
-
-
-def template(text: Column, values: bool = False) -> Column:
-    """Template words of a text, names inside sentences typed; with ``values`` each placeholder carries its value."""
-    return _template(atoms(text), values)
+_MARK, _JOIN = "\u0001", "\u0003"
+_SPACE = r"\s\u00A0\u2000-\u206F\u3000"
+_BETWEEN = rf"[{_SPACE}!-/:-@\[-`{{-~]+"
+_POINT = r"(?<=[0-9])[.,](?=[0-9])"
+_NUMBER = r"(?=[0-9])(?<![\p{L}\p{N}_])[0-9]+"
+_UNIT = rf"(?i)({_MARK}n[0-9]+[{_SPACE}]+)({'|'.join(UNITS)}|%)(?![\p{{L}}\p{{N}}])"
+_CAPITAL = r"(\p{Lu}[\p{Ll}\p{M}]+)(?![\p{L}\p{N}])"
+_NAME = rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}]){_CAPITAL}" + rf"(?:[{_SPACE}]+{_CAPITAL})?" * 3 + r"(?:['’]s(?![\p{L}\p{N}]))?"
+PLAIN, TYPED = 0, 1
+_EXACT, _WHOLE = 2, 3  # salts of the plain reading's windows beside PLAIN and TYPED
 
 
-def _template(found: Column, values: bool = False) -> Column:
-    one = lambda a: F.when(_is(a, "s"), F.element_at(readings(a, values), 2)).otherwise(F.get(readings(a, values), F.lit(0)))
-    return F.flatten(F.transform(found, one))
+def _counted(text: Column) -> Column:
+    """The text with its numbers and units marked, n or u and the value."""
+    t = F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit(_MARK), F.lit(" ")), F.lit(_JOIN), F.lit(" "))
+    marked = F.regexp_replace(F.regexp_replace(t, F.lit(_POINT), F.lit("")), F.lit(_NUMBER), F.lit(f" {_MARK}n$0 "))
+    marked = F.regexp_replace(marked, F.lit(_UNIT), F.lit(f"$1{_MARK}u$2 "))
+    return F.when(t.rlike("[0-9]"), marked).otherwise(t)
 
 
-def _is(atom: Column, kind: str) -> Column:
-    return atom.startswith(_MARK + kind)
+def _words(text: Column) -> Column:
+    return F.array_remove(F.split(F.lower(text), _BETWEEN), "")
 
 
-def _is_name(atom: Column) -> Column:
-    return _is(atom, "p") | _is(atom, "s")
+def read(text: Column, reading: int, values: bool = True) -> Column:
+    """The words of a text in one reading; a placeholder is a mark, its kind and its value (of a name only with ``values``)."""
+    t = _counted(text)
+    if reading == TYPED:
+        value = _JOIN.join(f"${k}" for k in (1, 2, 3, 4)) if values else ""
+        t = F.regexp_replace(t, F.lit(_NAME), F.lit(f" {_MARK}p{value} "))
+    return _words(t)
 
 
-def _bare(word: Column) -> Column:
-    return F.substring_index(word, _VALUE, 1)
+def _kind(word: Column) -> Column:
+    """A placeholder without its value; other words as they are."""
+    return F.when(F.startswith(word, F.lit(_MARK)), F.substr(word, F.lit(1), F.lit(2))).otherwise(word)
 
 
-def readings(atom: Column, values: bool = False) -> Column:
-    """The word lists that an atom may be read as; the last of them is the plain one.
-
-    A name is its placeholder or its words; behind a first word of a sentence the rest alone may be the name.
-    """
-    parts = F.split(F.substr(atom, F.lit(4)), _JOIN)
-    words = F.transform(parts, _bare)
-    typed = lambda ws: F.concat(F.lit(_MARK + "p"), F.lit(_VALUE), F.array_join(ws, " ")) if values else F.lit(_MARK + "p")
-    rest = F.array(F.get(words, F.lit(0)), typed(F.slice(parts, 2, NAME_WORDS)))
-    name = F.when(_is(atom, "s") & (F.size(parts) > 1), F.array(F.array(typed(parts)), rest, words))
-    plain = F.array(F.array(atom if values else _bare(atom)))
-    return F.when(_is_name(atom), name.otherwise(F.array(F.array(typed(parts)), words))).otherwise(plain)
+def _hashes(words: Column, exact: bool = False) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w if exact else _kind(w)))
 
 
-def _paths(read: Column, i: Column, begun: Column) -> Column:
-    """Windows that start with one of the word lists ``begun`` and go on behind atom ``i`` in any reading."""
-    one = lambda q, rs: F.when(F.size(q) >= WINDOW, F.array(q)).otherwise(
-        F.transform(rs, lambda r: F.slice(F.concat(q, r), 1, WINDOW)))
-    out = F.aggregate(F.slice(read, i + 2, WINDOW - 1), begun, lambda acc, rs: F.flatten(F.transform(acc, lambda q: one(q, rs))))
-    return F.filter(out, lambda q: F.size(q) >= WINDOW)
+def _slide(hashes: Column, size: int, salt: int) -> Column:
+    """The hash of each window of ``size`` words."""
+    def windows(hs: Column) -> Column:
+        at = F.transform(hs, lambda h, i: F.xxhash64(F.lit(10 * size + salt), h, *[F.get(hs, i + k) for k in range(1, size)]))
+        return F.slice(at, F.lit(1), F.greatest(F.size(hs) - (size - 1), F.lit(0)))
 
+    return let(hashes, windows)
 
-def _tails(rs: Column) -> Column:
-    """Every place at which a window may start within the readings of an atom."""
-    return F.flatten(F.transform(rs, lambda r: F.transform(F.sequence(F.lit(1), F.size(r)), lambda j: F.slice(r, j, WINDOW))))
 
+def _whole(hashes: Column) -> Column:
+    """The hash of a text of fewer words than a window, as an array; longer texts and those without a word have none."""
+    one = lambda hs: F.xxhash64(F.lit(_WHOLE), F.array_join(F.transform(hs, lambda h: h.cast("string")), " "))
+    few = lambda hs: F.when((F.size(hs) > 0) & (F.size(hs) < WINDOW), F.array(one(hs))).otherwise(F.array().cast("array<bigint>"))
+    return let(hashes, few)
 
-def _hash(window: Column) -> Column:
-    return F.xxhash64(*[F.get(window, F.lit(k)) for k in range(WINDOW)])
 
+def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, text, ...), (item_id, text, ...) -> (doc_id, item_id, n_windows, n_found, slot_agreement).
 
-def _plain(found: Column) -> Column:
-    return F.flatten(F.transform(found, lambda a: F.element_at(readings(a), -1)))
+    One row for each item that a document leaks. Null ids are not reported, and items with a null id or
+    without a word leak nowhere; an item of one or two words, or of three or four without two plain ones, is
+    leaked by a text of just those words; rows that share an id are judged each by its own text and reported once,
+    by the best; slot_agreement is 1 where no window in common has a slot; texts of any length are read
+    whole; empty tables give an empty result; other columns are not read.
+    """
+    found = _text_leaks(docs, benchmark)
+    named = _keyed(docs.where("doc_id is not null").select("doc_id", "text")).drop("text")
+    best = F.max(F.struct(F.col("n_found") / F.col("n_windows"), "slot_agreement", "n_windows", "n_found")).alias("best")
+    out = named.join(_small(found), ["_t", "_u"]).groupBy("doc_id", "item_id").agg(best)
+    return out.select("doc_id", "item_id", "best.n_windows", "best.n_found", "best.slot_agreement")
 
 
-def _short_hashes(found: Column) -> Column:
-    """A text of fewer words than a window is one window, read plainly and as its template; no words, none."""
-    whole = lambda w: F.xxhash64(F.array_join(w, " "), F.lit(WINDOW))
-    return F.when(F.size(found) > 0, F.array(whole(_plain(found)), whole(_template(found)))).otherwise(F.array().cast("array<bigint>"))
+def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with all their columns whose text leaks no item, those with a null id as well."""
+    bad = materialize(_text_leaks(docs, benchmark).select(F.struct("_t", "_u").alias("_key")).distinct())
+    name = "_key"
+    while name in docs.columns:
+        name += "_"
+    t, u = _key(F.col("text"))
+    keyed = docs.withColumn(name, F.struct(t.alias("_t"), u.alias("_u")))
+    return keyed.join(_small(bad.withColumnRenamed("_key", name)), name, "left_anti").select(docs.columns)
 
 
-def window_hashes(text: Column) -> Column:
-    """The distinct hashes of a text's windows in all readings."""
+def _key(text: Column) -> tuple[Column, Column]:
+    """128 bits that name a text: what a text leaks depends on nothing else."""
+    t = F.coalesce(text, F.lit(""))
+    return F.xxhash64(t), F.xxhash64(F.lit(1), t)
 
-    def windows(found: Column, plain: Column) -> Column:
-        def at(i: Column) -> Column:
-            few = F.slice(found, i + 1, WINDOW)
-            simple = F.when(F.size(few) >= WINDOW, F.array(F.xxhash64(*[F.get(plain, i + k) for k in range(WINDOW)])))
-            simple = simple.otherwise(F.array().cast("array<bigint>"))
-            return F.when(F.exists(few, _is_name), let(F.transform(few, lambda a: readings(a)), full)).otherwise(simple)
 
-        full = lambda rs: F.transform(_paths(rs, F.lit(0), _tails(F.get(rs, F.lit(0)))), _hash)
-        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(found) - 1), at))
+def _keyed(rows: DataFrame) -> DataFrame:
+    t, u = _key(F.col("text"))
+    return rows.withColumn("_t", t).withColumn("_u", u)
 
-    def hashes(found: Column) -> Column:
-        long = F.size(found) >= WINDOW
-        long = long | (F.size(_plain(found)) >= WINDOW)
-        return F.when(long, let(F.transform(found, _bare), lambda bare: windows(found, bare))).otherwise(_short_hashes(found))
 
-    return F.array_distinct(let(atoms(text), hashes))
+def _text_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(_t, _u, item_id, n_windows, n_found, slot_agreement) of each distinct text and item that it leaks."""
+    wanted = materialize(_wanted(benchmark))
+    views = wanted.groupBy("item_id", "reading", "words").agg(F.count_distinct("h").alias("n"))
+    kinds = sorted((r.salt, r.size) for r in wanted.select("salt", "size").distinct().collect())  # a dozen at most
 
+    texts = _keyed(_likely(docs.select("text"), wanted))
+    held = texts.select("_t", "_u", F.explode(_window_hashes(F.col("text"), kinds)).alias("h"))
+    short = wanted.select("item_id", "reading", "h").distinct()
+    met = held.join(_small(short), "h").groupBy("_t", "_u", "item_id", "reading").agg(F.count_distinct("h").alias("found"))
+    met = materialize(met.join(_small(views), ["item_id", "reading"]).where(F.col("found") >= SHARE * F.col("n")).drop("found"))
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, text, ...), (item_id, text, ...) -> (doc_id, item_id, n_windows, n_found, slot_agreement).
+    few = _small(met.select("_t", "_u").distinct())
+    own = texts.join(few, ["_t", "_u"], "left_semi").dropDuplicates(["_t", "_u"])
+    own = own.select("_t", "_u", F.explode(_placed(F.col("text"), kinds)).alias("own")).select("_t", "_u", "own.*")
+    place = _places(own, met, short)
+    return _agreeing(own, place, wanted)
 
-    One row for each item that a document leaks. Null ids are not reported and items without a word or
-    with a null id leak nowhere; a text of fewer words than a window matches only a document of the same
-    few words; rows that share an id count as one text each and are reported once; slot_agreement is 1
-    where no matching window needs a slot to match; empty tables give an empty result; other columns are
-    not read.
-    """
-    items = benchmark.where("item_id is not null").select("item_id", "text")
-    wanted = materialize(_wanted(items))
-    sizes = wanted.groupBy("item_id").agg(F.count_distinct("window").alias("n_windows"))
 
-    rows = docs.where("doc_id is not null")
-    held = rows.select("doc_id", F.explode(window_hashes(F.col("text"))).alias("h"))
-    met = held.join(_small(wanted), "h").groupBy("doc_id", "item_id").agg(F.count_distinct("window").alias("n_found"))
-    met = materialize(met.join(_small(sizes), "item_id").where(F.col("n_found") >= SHARE * F.col("n_windows")))
-    agreed = _agreement(rows, items, met.select("doc_id", "item_id"))
-    out = met.join(agreed, ["doc_id", "item_id"], "left").withColumn("slot_agreement", F.coalesce("slot_agreement", F.lit(1.0)))
-    return out.where(F.col("slot_agreement") >= SHARE).select("doc_id", "item_id", "n_windows", "n_found", "slot_agreement")
+def _window_hashes(text: Column, kinds: list[tuple[int, int]]) -> Column:
+    """All window hashes of a text that an item may have: by salt and number of words."""
+    parts = []
+    for salt, size in kinds:
+        hashes = _hashes(read(text, TYPED if salt == TYPED else PLAIN, values=False), salt in (_EXACT, _WHOLE))
+        parts.append(_whole(hashes) if salt == _WHOLE else _slide(hashes, size, salt))
+    return F.concat(*parts) if parts else F.array().cast("array<bigint>")
 
 
-def _starts(row: Column) -> Column:
-    """(j, few, window) of each place where a plain window starts: at word j of the first of the ``few`` atoms."""
-    words = lambda a, i: F.transform(
-        F.sequence(F.lit(1), F.size(F.element_at(readings(a), -1))), lambda j: F.struct(i.alias("i"), j.alias("j")))
+def _placed(text: Column, kinds: list[tuple[int, int]]) -> Column:
+    """(p, h, few) of the windows of a text, as ``_window_hashes``: place, hash, words with their values."""
+    def of(salt: int, size: int):
+        def windows(words: Column) -> Column:
+            hashes = _hashes(words, salt in (_EXACT, _WHOLE))
+            if salt == _WHOLE:
+                return F.transform(_whole(hashes), lambda h: F.struct(F.lit(0).alias("p"), h.alias("h"), words.alias("few")))
+            return F.transform(_slide(hashes, size, salt), lambda h, i: F.struct(i.alias("p"), h.alias("h"), F.slice(words, i + 1, size).alias("few")))
 
-    def at(start: Column, n: Column) -> Column:
-        window = F.xxhash64(*[F.get(row.plain, n + k) for k in range(WINDOW)])
-        return F.struct(start.j.alias("j"), F.slice(row.w, start.i + 1, WINDOW).alias("few"), window.alias("window"))
+        return windows
 
-    starts = F.slice(F.flatten(F.transform(row.w, words)), F.lit(1), F.greatest(F.size(row.plain) - (WINDOW - 1), F.lit(0)))
-    return F.transform(starts, at)
+    parts = [let(read(text, TYPED if salt == TYPED else PLAIN), of(salt, size)) for salt, size in kinds]
+    return F.concat(*parts) if parts else F.array().cast("array<struct<p:int,h:bigint,few:array<string>>>")
 
 
-def _wanted(items: DataFrame) -> DataFrame:
-    """(item_id, window, h): the distinct windows of each item, read plainly, and the hashes that stand for each.
+def _wanted(benchmark: DataFrame) -> DataFrame:
+    """(item_id, reading, words, salt, size, q, h, few, rare): the windows of each item that count, in each reading.
 
-    A window that starts within a name stands for the one that starts with the name's placeholder, too.
+    words is the number of the item's words in that reading, q the window's place, few its words with
+    their values, and rare the hash of the window's longest plain word, or else word.
+    """
+    items = benchmark.where("item_id is not null").select("item_id", "text").distinct()
+    both = F.array(*[F.struct(F.lit(r).alias("reading"), read(F.col("text"), r).alias("w")) for r in (PLAIN, TYPED)])
+    rows = items.select("item_id", F.explode(both).alias("r")).select("item_id", "r.reading", "r.w").where(F.size("w") > 0)
+    size = F.least(F.size("w"), F.lit(WINDOW))
+    at = F.transform(F.sequence(F.lit(0), F.size("w") - size), lambda q: F.struct(q.alias("q"), F.slice("w", q + 1, size).alias("few")))
+    rows = rows.select("item_id", "reading", F.size("w").alias("words"), size.alias("size"), F.explode(at).alias("at"))
+    rows = rows.select("item_id", "reading", "words", "size", "at.q", "at.few")
+    is_plain = lambda w: ~F.startswith(w, F.lit(_MARK))
+    plain = F.filter("few", is_plain)
+    longest = lambda ws: F.get(F.sort_array(F.transform(ws, lambda w: F.struct(F.length(w), w.alias("w"))), asc=False), 0)["w"]
+    rows = rows.withColumn("good", F.size(plain) >= PLAIN_WORDS).withColumn("rare", longest(F.when(F.size(plain) > 0, plain).otherwise(F.col("few"))))
+    view = W.partitionBy("item_id", "reading")
+    rows = rows.withColumn("mostly", 2 * F.sum(F.col("good").cast("int")).over(view) >= F.count("*").over(view))
+    inside = (F.col("words") >= INSIDE) & F.col("mostly")
+    salt = F.when(inside & F.col("good"), F.col("reading"))  # a template
+    salt = salt.when(F.col("mostly") & (F.col("words") >= INSIDE) | (F.col("reading") == TYPED), F.lit(None))
+    salt = salt.when(F.col("words") < WINDOW, F.lit(_WHOLE)).when(F.col("good"), F.lit(PLAIN)).otherwise(F.lit(_EXACT))
+    rows = rows.withColumn("salt", salt).where("salt is not null")
+    whole = F.get(_whole(_hashes(F.col("few"), exact=True)), 0)
+    hashed = F.when(F.col("salt") == _WHOLE, whole)
+    for n in range(INSIDE, WINDOW + 1):
+        for s in (PLAIN, TYPED, _EXACT):
+            hashed = hashed.when((F.col("size") == n) & (F.col("salt") == s), F.get(_slide(_hashes(F.col("few"), s == _EXACT), n, s), 0))
+    return rows.select("item_id", "reading", "words", "salt", "size", "q", hashed.alias("h"), "few", F.xxhash64("rare").alias("rare"), F.length("rare").alias("letters"))
+
+
+def _likely(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The texts that hold a word without which too many windows of an item are missing: no other text leaks one.
+
+    Of an item's n windows, n - ceil(0.8 n) + 1 are taken, those of the longest words: a text without any
+    of these words lacks them all.
     """
-    read = items.select("item_id", atoms(F.col("text")).alias("w"))
-    read = read.select("item_id", "w", _plain(F.col("w")).alias("plain"))
-    short = read.where(F.size("plain") < WINDOW).select("item_id", _short_hashes(F.col("w")).alias("hs"))
-    short = short.where(F.size("hs") > 0).select("item_id", F.get("hs", F.lit(0)).alias("window"), F.explode("hs").alias("h"))
-
-    long = read.where(F.size("plain") >= WINDOW).select("item_id", let(F.struct("w", "plain"), _starts).alias("at"))
-    long = long.select("item_id", F.explode("at").alias("at"))
-    words = long.select("item_id", "at.j", "at.window", F.transform("at.few", lambda a: readings(a)).alias("read"))
-    own, j = F.get("read", F.lit(0)), F.col("j")
-    inner = F.transform(own, lambda r, k: F.when(k + 1 == F.size(own), F.slice(r, j, WINDOW)).otherwise(F.slice(r, F.size(r), 1)))
-    begun = F.when(j == 1, F.transform(own, lambda r: F.slice(r, 1, WINDOW))).otherwise(inner)
-    hashes = F.transform(_paths(F.col("read"), F.lit(0), begun), _hash)
-    long = words.select("item_id", "window", F.explode(hashes).alias("h"))
-    return long.union(short).distinct()
+    windows = wanted.groupBy("item_id", "reading", "h").agg(F.max(F.struct("letters", "rare")).alias("r"))
+    view = W.partitionBy("item_id", "reading")
+    windows = windows.withColumn("n", F.count("*").over(view)).withColumn("k", F.row_number().over(view.orderBy(F.desc("r"), "h")))
+    needed = windows.where(F.col("k") <= F.col("n") - F.ceil(SHARE * F.col("n")) + 1).select("r.rare").distinct()
+    found = [r.rare for r in needed.limit(FILTER_WORDS + 1).collect()]
+    if len(found) > FILTER_WORDS:
+        return docs
+    if not found:
+        return docs.where(F.lit(False))
+    listed = ", ".join(f"{h}L" if h != -(1 << 63) else "bigint('-9223372036854775808')" for h in sorted(found))
+    name = "_hashes"
+    named = docs.withColumn(name, _hashes(read(F.col("text"), PLAIN), exact=True))
+    return named.where(F.expr(f"exists({name}, x -> x IN ({listed}))")).drop(name)
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -214,47 +237,36 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _placed(df: DataFrame, key: str) -> DataFrame:
-    """(key, position, h, slots): each window in each reading with the placeholders and values in it."""
-    def windows(found: Column) -> Column:
-        each = F.transform(F.sequence(F.lit(0), F.size(found) - 1), lambda i: F.struct(i.alias("position"), at(found, i).alias("ws")))
-        return F.when(F.size(found) > 0, each)
-
-    def at(found: Column, i: Column) -> Column:
-        few = F.transform(F.slice(found, i + 1, WINDOW), lambda a: readings(a, True))
-        return let(few, lambda rs: _paths(rs, F.lit(0), _tails(F.get(rs, F.lit(0)))))
-
-    words = df.select(key, atoms(F.col("text")).alias("w"))
-    words = words.select(key, F.explode(let(F.col("w"), windows)).alias("own"))
-    words = words.select(key, "own.position", F.explode("own.ws").alias("w"))
-    slots = F.transform("w", lambda w, k: F.struct(k.alias("k"), _bare(w).alias("kind"), F.substring_index(w, _VALUE, -1).alias("value")))
-    h = _hash(F.transform("w", _bare))
-    return words.select(key, "position", h.alias("h"), F.filter(slots, lambda s: s.kind.startswith(_MARK)).alias("slots")).distinct()
+def _places(own: DataFrame, met: DataFrame, short: DataFrame) -> DataFrame:
+    """(_t, _u, item_id, reading, low, high, n, found): the one place of each text that holds enough of an item.
 
-
-def _agreement(docs: DataFrame, benchmark: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(doc_id, item_id) -> slot_agreement: share of slots, over all windows in common, that take their item value's commonest value.
-
-    Of the readings in which two windows match, the one of the fewest slots counts.
+    Places are spans of four times the item's words, each overlapping half of the next, so that a copy lies
+    within one; of an item's readings and places the one of the greatest share counts, then the plain one, then the first.
     """
-    few = _small(pairs.select("doc_id").distinct())
-    texts = docs.select("doc_id", "text").join(few, "doc_id", "left_semi")
-    own = _placed(texts, "doc_id")
-    items = _placed(benchmark, "item_id")
-    items = items.select("item_id", "h", F.col("position").alias("item_position"), F.col("slots").alias("item_slots"))
-    both = own.join(pairs, "doc_id").join(items, ["item_id", "h"])
-    least = F.min(F.struct(F.size("slots").alias("n"), "item_slots", "slots")).alias("least")
-    both = both.groupBy("doc_id", "item_id", "position", "item_position").agg(least)
-    both = both.withColumn("place", F.col("position") - F.col("item_position"))
-    both = both.select("doc_id", "item_id", "place", F.explode(F.arrays_zip("least.item_slots", "least.slots")).alias("s"))
-    key = ["doc_id", "item_id", "place", "kind", "meant"]
-    both = both.select("doc_id", "item_id", "place", F.col("s.item_slots.kind").alias("kind"),
-                       F.col("s.item_slots.value").alias("meant"), F.col("s.slots.value").alias("found"))
-    counted = both.groupBy(*key, "found").count().groupBy(*key).agg(F.max("count").alias("most"), F.sum("count").alias("n"))
-    return counted.groupBy("doc_id", "item_id").agg((F.sum("most") / F.sum("n")).alias("slot_agreement"))
-
-
-def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with all their columns that leak no item; rows with a null id stay."""
-    bad = materialize(leaks(docs, benchmark).select("doc_id").distinct())
-    return docs.join(_small(bad), "doc_id", "left_anti").select(docs.columns)
+    pair = ["_t", "_u", "item_id", "reading"]
+    rows = own.select("_t", "_u", "p", "h").join(_small(met), ["_t", "_u"]).join(_small(short), ["item_id", "reading", "h"])
+    step = 2 * F.col("words")
+    b = F.floor(F.col("p") / step)
+    rows = rows.select(*pair, "n", "words", "h", F.explode(F.array(b - 1, b)).alias("b"))
+    rows = rows.groupBy(*pair, "n", "words", "b").agg(F.count_distinct("h").alias("found")).where(F.col("found") >= SHARE * F.col("n"))
+    best = F.max(F.struct((F.col("found") / F.col("n")).alias("share"), (-F.col("reading")).alias("r"), (-F.col("b")).alias("b"), "words", "n", "found")).alias("best")
+    rows = rows.groupBy("_t", "_u", "item_id").agg(best)
+    low = -F.col("best.b") * 2 * F.col("best.words")
+    return materialize(rows.select("_t", "_u", "item_id", (-F.col("best.r")).alias("reading"), low.alias("low"),
+                                   (low + 4 * F.col("best.words")).alias("high"), "best.n", "best.found"))
+
+
+def _agreeing(own: DataFrame, place: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The places whose slots do not contradict: share of slots that take their item value's commonest value, where p - q is the same."""
+    pair = ["_t", "_u", "item_id"]
+    held = own.join(_small(place), ["_t", "_u"]).where("p >= low and p < high").drop("low", "high")
+    items = wanted.where(F.col("salt") == F.col("reading")).select("item_id", "reading", "h", "q", F.col("few").alias("meant")).distinct()
+    both = held.join(_small(items), ["item_id", "reading", "h"])
+    slots = F.filter(F.arrays_zip("meant", "few"), lambda s: F.startswith(s["meant"], F.lit(_MARK)))
+    both = both.select(*pair, (F.col("p") - F.col("q")).alias("place"), F.explode(slots).alias("s"))
+    counted = both.groupBy(*pair, "place", F.col("s.meant").alias("meant"), F.col("s.few").alias("value")).count()
+    counted = counted.groupBy(*pair, "place", "meant").agg(F.max("count").alias("most"), F.sum("count").alias("all"))
+    agreed = counted.groupBy(*pair).agg((F.sum("most") / F.sum("all")).alias("slot_agreement"))
+    out = place.join(agreed, pair, "left").withColumn("slot_agreement", F.coalesce("slot_agreement", F.lit(1.0)))
+    return materialize(out.where(F.col("slot_agreement") >= SHARE).select(
+        *pair, F.col("n").alias("n_windows"), F.col("found").alias("n_found"), "slot_agreement"))
