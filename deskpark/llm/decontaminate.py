@@ -11,8 +11,8 @@ one reading and in one place, at least 0.8 of the item's distinct windows, unles
 each number, unit or name of the item must stand for one and the same value (for at least 0.8 of the
 slots of the windows in common, by the commonest value).
 
-A text that leaks an item holds one of a few of its words; only texts with such a word are windowed. The
-words are those of so many of the item's windows that the others are too few.
+A text that leaks an item holds one of a few of its rarest words; only texts with such a word are windowed. The
+words are those of so many of the item's windows that the others are too few (see ``_likely``): no leak is lost.
 """
 
 from __future__ import annotations
@@ -30,8 +30,9 @@ SHARE = 0.8
 PLAIN_WORDS, INSIDE = 2, 3
 #: Rows that may be broadcast at most (a few longs each); larger sides are joined by shuffle.
 BROADCAST_ROWS = 500_000
-#: Words that texts are filtered by at most; with more of them every text is windowed.
-FILTER_WORDS = 20_000
+#: Words that texts are filtered by at most, with more of them every text is windowed; texts of which one is read
+#: to estimate how rare a word is.
+FILTER_WORDS, ESTIMATE = 20_000, 64
 #: FIXED VALUES: units that may follow a number.
 UNITS = (
     "km cm mm m mi ft in yd kg mg g lb lbs oz t l ml cl gal s ms min h hr hrs kb mb gb tb hz khz mhz ghz w kw mw v a "
@@ -41,13 +42,17 @@ UNITS = (
     "euro euros cent cents usd eur"
 ).split()
 _MARK, _JOIN = "\u0001", "\u0003"
-_SPACE = r"\s\u00A0\u2000-\u206F\u3000"
-_BETWEEN = rf"[{_SPACE}!-/:-@\[-`{{-~]+"
+_SPACE = r" \t\n\x0B\f\r"
+#: Spaces, dashes and quotes beyond ASCII, taken as spaces.
+_WIDE = r"[\u00A0\u2000-\u206F\u3000]"
+# Each character by itself: Java looks such a class up in one table, but tests ranges one by one.
+_BETWEEN = f"[{_SPACE}" + "".join(f"\\{c}" for c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~") + "]+"
+_COMMON = "[^ abcdefghijklmnopqrstuvwxyz,.]"
 _POINT = r"(?<=[0-9])[.,](?=[0-9])"
 _NUMBER = r"(?=[0-9])(?<![\p{L}\p{N}_])[0-9]+"
 _UNIT = rf"(?i)({_MARK}n[0-9]+[{_SPACE}]+)({'|'.join(UNITS)}|%)(?![\p{{L}}\p{{N}}])"
 _CAPITAL = r"(\p{Lu}[\p{Ll}\p{M}]+)(?![\p{L}\p{N}])"
-_NAME = rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}]){_CAPITAL}" + rf"(?:[{_SPACE}]+{_CAPITAL})?" * 3 + r"(?:['’]s(?![\p{L}\p{N}]))?"
+_NAME = rf"(?={_COMMON})(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}]){_CAPITAL}" + rf"(?:[{_SPACE}]+{_CAPITAL})?" * 3 + r"(?:'s(?![\p{L}\p{N}]))?"
 PLAIN, TYPED = 0, 1
 _EXACT, _WHOLE = 2, 3  # salts of the plain reading's windows beside PLAIN and TYPED
 
@@ -55,6 +60,7 @@ _EXACT, _WHOLE = 2, 3  # salts of the plain reading's windows beside PLAIN and T
 def _counted(text: Column) -> Column:
     """The text with its numbers and units marked, n or u and the value."""
     t = F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit(_MARK), F.lit(" ")), F.lit(_JOIN), F.lit(" "))
+    t = F.when(F.length(t) == F.octet_length(t), t).otherwise(F.regexp_replace(t, F.lit(_WIDE), F.lit(" ")))
     marked = F.regexp_replace(F.regexp_replace(t, F.lit(_POINT), F.lit("")), F.lit(_NUMBER), F.lit(f" {_MARK}n$0 "))
     marked = F.regexp_replace(marked, F.lit(_UNIT), F.lit(f"$1{_MARK}u$2 "))
     return F.when(t.rlike("[0-9]"), marked).otherwise(t)
@@ -149,8 +155,8 @@ def _text_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     met = materialize(met.join(_small(views), ["item_id", "reading"]).where(F.col("found") >= SHARE * F.col("n")).drop("found"))
 
     few = _small(met.select("_t", "_u").distinct())
-    own = texts.join(few, ["_t", "_u"], "left_semi").dropDuplicates(["_t", "_u"])
-    own = own.select("_t", "_u", F.explode(_placed(F.col("text"), kinds)).alias("own")).select("_t", "_u", "own.*")
+    own = _keyed(docs.select("text")).join(few, ["_t", "_u"], "left_semi").dropDuplicates(["_t", "_u"])
+    own = materialize(own).select("_t", "_u", F.explode(_placed(F.col("text"), kinds)).alias("own")).select("_t", "_u", "own.*")
     place = _places(own, met, short)
     return _agreeing(own, place, wanted)
 
@@ -180,10 +186,9 @@ def _placed(text: Column, kinds: list[tuple[int, int]]) -> Column:
 
 
 def _wanted(benchmark: DataFrame) -> DataFrame:
-    """(item_id, reading, words, salt, size, q, h, few, rare): the windows of each item that count, in each reading.
+    """(item_id, reading, words, salt, size, q, h, few): the windows of each item that count, in each reading.
 
-    words is the number of the item's words in that reading, q the window's place, few its words with
-    their values, and rare the hash of the window's longest plain word, or else word.
+    words is the number of the item's words in that reading, q the window's place and few its words with their values.
     """
     items = benchmark.where("item_id is not null").select("item_id", "text").distinct()
     both = F.array(*[F.struct(F.lit(r).alias("reading"), read(F.col("text"), r).alias("w")) for r in (PLAIN, TYPED)])
@@ -194,8 +199,7 @@ def _wanted(benchmark: DataFrame) -> DataFrame:
     rows = rows.select("item_id", "reading", "words", "size", "at.q", "at.few")
     is_plain = lambda w: ~F.startswith(w, F.lit(_MARK))
     plain = F.filter("few", is_plain)
-    longest = lambda ws: F.get(F.sort_array(F.transform(ws, lambda w: F.struct(F.length(w), w.alias("w"))), asc=False), 0)["w"]
-    rows = rows.withColumn("good", F.size(plain) >= PLAIN_WORDS).withColumn("rare", longest(F.when(F.size(plain) > 0, plain).otherwise(F.col("few"))))
+    rows = rows.withColumn("good", F.size(plain) >= PLAIN_WORDS)
     view = W.partitionBy("item_id", "reading")
     rows = rows.withColumn("mostly", 2 * F.sum(F.col("good").cast("int")).over(view) >= F.count("*").over(view))
     inside = (F.col("words") >= INSIDE) & F.col("mostly")
@@ -208,28 +212,31 @@ def _wanted(benchmark: DataFrame) -> DataFrame:
     for n in range(INSIDE, WINDOW + 1):
         for s in (PLAIN, TYPED, _EXACT):
             hashed = hashed.when((F.col("size") == n) & (F.col("salt") == s), F.get(_slide(_hashes(F.col("few"), s == _EXACT), n, s), 0))
-    return rows.select("item_id", "reading", "words", "salt", "size", "q", hashed.alias("h"), "few", F.xxhash64("rare").alias("rare"), F.length("rare").alias("letters"))
+    return rows.select("item_id", "reading", "words", "salt", "size", "q", hashed.alias("h"), "few")
 
 
 def _likely(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """The texts that hold a word without which too many windows of an item are missing: no other text leaks one.
 
-    Of an item's n windows, n - ceil(0.8 n) + 1 are taken, those of the longest words: a text without any
-    of these words lacks them all.
+    Of an item's n windows, n - ceil(0.8 n) + 1 are taken, each named by its rarest word, those of the rarest
+    words: a text without any of these words lacks them all. How rare a word is, is estimated from one
+    text in ``ESTIMATE``; the estimate decides which words are taken, and so how many texts are spared, but not
+    which texts leak.
     """
-    windows = wanted.groupBy("item_id", "reading", "h").agg(F.max(F.struct("letters", "rare")).alias("r"))
+    each = wanted.select("item_id", "reading", "h", F.explode("few").alias("word")).distinct()
+    few = docs.where(F.pmod(F.xxhash64("text"), F.lit(ESTIMATE)) == 0)
+    seen = few.select(F.explode(F.array_distinct(read(F.col("text"), PLAIN))).alias("word"))
+    seen = seen.join(_small(each.select("word").distinct()), "word").groupBy("word").agg(F.count("*").alias("texts"))
+    rank = F.struct((F.startswith("word", F.lit(_MARK + "p"))).alias("name"), F.startswith("word", F.lit(_MARK)).alias("marked"),
+                    F.coalesce("texts", F.lit(0)).alias("texts"), (-F.length("word")).alias("letters"), "word")
+    windows = each.join(seen, "word", "left").groupBy("item_id", "reading", "h").agg(F.min(rank).alias("r"))
     view = W.partitionBy("item_id", "reading")
-    windows = windows.withColumn("n", F.count("*").over(view)).withColumn("k", F.row_number().over(view.orderBy(F.desc("r"), "h")))
-    needed = windows.where(F.col("k") <= F.col("n") - F.ceil(SHARE * F.col("n")) + 1).select("r.rare").distinct()
-    found = [r.rare for r in needed.limit(FILTER_WORDS + 1).collect()]
+    windows = windows.withColumn("n", F.count("*").over(view)).withColumn("k", F.row_number().over(view.orderBy("r", "h")))
+    needed = windows.where(F.col("k") <= F.col("n") - F.ceil(SHARE * F.col("n")) + 1).select("r.word").distinct()
+    found = [r.word for r in needed.limit(FILTER_WORDS + 1).collect()]
     if len(found) > FILTER_WORDS:
         return docs
-    if not found:
-        return docs.where(F.lit(False))
-    listed = ", ".join(f"{h}L" if h != -(1 << 63) else "bigint('-9223372036854775808')" for h in sorted(found))
-    name = "_hashes"
-    named = docs.withColumn(name, _hashes(read(F.col("text"), PLAIN), exact=True))
-    return named.where(F.expr(f"exists({name}, x -> x IN ({listed}))")).drop(name)
+    return docs.where(F.exists(read(F.col("text"), PLAIN), lambda w: w.isin(found))) if found else docs.where(F.lit(False))
 
 
 def _small(df: DataFrame) -> DataFrame:

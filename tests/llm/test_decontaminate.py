@@ -166,15 +166,15 @@ def test_recall_of_questions_with_new_parameters(spark, make):
 
 
 def brute_read(text, reading):
-    space = r" \t\n\x0b\f\r\u00A0\u2000-\u206F\u3000"
-    t = (text or "").replace("\x01", " ").replace("\x03", " ")
+    space = r" \t\n\x0b\f\r"
+    t = regex.sub(r"[\x01\x03\u00A0\u2000-\u206F\u3000]", " ", text or "")
     if regex.search("[0-9]", t):
         t = regex.sub(r"(?<=[0-9])[.,](?=[0-9])", "", t)
         t = regex.sub(r"(?<![\p{L}\p{N}_])[0-9]+", lambda m: f" \x01n{m.group()} ", t)
         t = regex.sub(rf"(\x01n[0-9]+[{space}]+)({'|'.join(d.UNITS)}|%)(?![\p{{L}}\p{{N}}])", lambda m: f"{m.group(1)}\x01u{m.group(2)} ", t, flags=regex.I)
     if reading:
         word = r"(\p{Lu}[\p{Ll}\p{M}]+)(?![\p{L}\p{N}])"
-        name = rf"(?<![\p{{L}}\p{{N}}]){word}" + rf"(?:[{space}]+{word})?" * 3 + r"(?:['’]s(?![\p{L}\p{N}]))?"
+        name = rf"(?<![\p{{L}}\p{{N}}]){word}" + rf"(?:[{space}]+{word})?" * 3 + r"(?:'s(?![\p{L}\p{N}]))?"
         t = regex.sub(name, lambda m: " \x01p" + "\x03".join(g or "" for g in m.groups()) + " ", t)
     return [w for w in regex.split(rf"[{space}!-/:-@\[-`{{-~]+", t.lower()) if w]
 
