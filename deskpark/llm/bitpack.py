@@ -6,8 +6,8 @@ little-endian bit order, the last block filled up with zero ids; then the footer
 position in the file (unsigned 64-bit), and last the six numbers of ``_TAIL``. Any range of ids is read
 by seeking to its blocks and unpacked by vectorised shifts, 64 ids to ``width`` words at a time.
 
-Texts are range-partitioned by doc_id and sorted, and each task streams its documents into one file:
-it is written under another name and renamed when it is whole, and a repeated task writes the same
+Texts are encoded where they lie, their ids are range-partitioned by doc_id and sorted, and each task streams its
+documents into one file: it is written under another name and renamed when it is whole, and a repeated task writes the same
 bytes, so a lost executor costs a task. The folder may be on any file system that pyarrow opens by URI.
 """
 
@@ -18,20 +18,22 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from deskpark.llm.common import Generations, few_threads
+from deskpark.llm.common import few_threads
+from deskpark.plans.materialize import materialize
 
 MAGIC = b"BPK1"
 BLOCK = 1 << 16
 _TAIL = struct.Struct("<QQQQII")  # ids, documents, blocks, place of the footer, width, ids of a block
-#: Distinct words in a generation of a worker's cache, documents whose new words are encoded together,
-#: and new words joined to one line.
-CACHE, TOGETHER, LINE = 120_000, 256, 64
+#: Distinct words that a worker remembers besides those at hand, characters of texts that are encoded
+#: together, and new words joined to one line.
+CACHE, TOGETHER, LINE = 250_000, 4_000_000, 64
 _DOUBLE = re.compile(r"\s\s")
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 
@@ -170,28 +172,36 @@ class WordEncoder:
         pieces = self.backend.get_vocab()
         self.opens = np.zeros(1 + max(pieces.values()), bool)
         self.opens[[n for p, n in pieces.items() if p.startswith("\u0120")]] = True  # how the file writes a space
-        self.first, self.later = Generations(CACHE), Generations(CACHE)
+        self.first, self.later = {}, {}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        out = []
-        for at in range(0, len(texts), TOGETHER):
-            cut = [(_SAFE.split(t) if _DOUBLE.search(t) else t.split(" ")) if t else [] for t in texts[at: at + TOGETHER]]
-            first, later = [c[0] if c else "" for c in cut], [c[1:] for c in cut]
-            self._learn(self.first, set(first), "")
-            self._learn(self.later, set().union(*later), " ")
-            for word, rest in zip(first, later):
-                out.append(np.frombuffer(self.first[word] + b"".join(map(self.later.__getitem__, rest)), "<u4"))
+        out, at, sizes = [], 0, np.cumsum([len(t) for t in texts])
+        while at < len(texts):  # so many texts at a time that their words fit into memory
+            end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + TOGETHER, "right")))
+            out += self._encode(texts[at:end])
+            at = end
         return out
 
-    def _learn(self, known: Generations, words: set[str], before: str) -> None:
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        cut = [(_SAFE.split(t) if _DOUBLE.search(t) else t.split(" ")) if t else [""] for t in texts]
+        self._learn(self.first, {c[0] for c in cut}, "")
+        words = set().union(*cut)
+        if len(self.later) > CACHE:
+            self.later = {w: self.later[w] for w in words.intersection(self.later)}
+        self._learn(self.later, words, " ")
+        first, later = self.first, self.later.__getitem__
+        return [np.frombuffer(first[c[0]] + b"".join(map(later, islice(c, 1, None))), "<u4") for c in cut]
+
+    def _learn(self, known: dict, words: set[str], before: str) -> None:
         """Encodes new words: those that follow a space by lines of many, the others one by one.
 
-        A line is cut where a piece begins with a space; a word with a space inside gives one too many.
+        A line is cut where a piece begins with a space; one with a word that has a space inside gives too many.
         """
-        new = known.unknown(words)
-        plain, odd = [], []
-        for w in new:
-            (plain if before and w and not w[0].isspace() and not w[-1].isspace() else odd).append(w)
+        if len(known) > CACHE and not before:
+            known.clear()
+        new = list(words.difference(known))
+        plain = [w for w in new if " " not in w] if before else []
+        odd = [w for w in new if " " in w] if before else new
         lines = [plain[at: at + LINE] for at in range(0, len(plain), LINE)]
         for line, e in zip(lines, self.backend.encode_batch_fast([before + before.join(x) for x in lines], add_special_tokens=False)):
             ids = np.array(e.ids, "<u4")
@@ -199,8 +209,8 @@ class WordEncoder:
             if len(starts) != len(line):
                 odd += line
                 continue
-            data, bounds = ids.tobytes(), (4 * np.append(starts, len(ids))).tolist()
-            known.update(zip(line, (data[x:y] for x, y in zip(bounds, bounds[1:]))))
+            data, bounds = ids.tobytes(), (4 * starts).tolist()
+            known.update(zip(line, [data[x:y] for x, y in zip(bounds, [*bounds[1:], len(data)])]))
         for word, e in zip(odd, self.backend.encode_batch_fast([before + w for w in odd], add_special_tokens=False)):
             known[word] = struct.pack(f"<{len(e.ids)}I", *e.ids)
 
@@ -208,39 +218,52 @@ class WordEncoder:
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
+def encode_column(docs: DataFrame, tokenizer: str, vocabulary: int, end_id: int = 0) -> DataFrame:
+    """(doc_id, text, ...) -> (doc_id, ids): the ids with the end id as little-endian integers of 16 bits, or 32 for a large vocabulary."""
+    kind = "<u2" if vocabulary <= 1 << 16 else "<u4"
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if tokenizer not in _ENCODERS:
+            _ENCODERS[tokenizer] = WordEncoder(tokenizer)
+        end = np.array([end_id], kind).tobytes()
+        for batch in batches:
+            encoded = _ENCODERS[tokenizer].encode([t or "" for t in batch.text])
+            yield pd.DataFrame({"doc_id": batch.doc_id, "ids": [e.astype(kind).tobytes() + end for e in encoded]})
+
+    # An id must stay exact on its way through pandas, which has no null integers: it travels as text.
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    return rows.mapInPandas(task, "doc_id string, ids binary").withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
 def write(docs: DataFrame, tokenizer: str, vocabulary: int, folder: str, end_id: int = 0) -> DataFrame:
     """Encodes (doc_id, text, ...) and writes the files; returns (file, part, n_docs, n_ids), one row for each file.
 
-    Files follow each other in ascending doc_id (null ids first, repeated ones by their text), each
-    document ends with ``end_id``, and a null or empty text is that one id. An empty table writes no file.
-    The rows returned are those of a table written in ``folder``: the files are written once, here.
+    Files follow each other in ascending doc_id (null ids first, the order of repeated ones is that of a hash of
+    their ids), each document ends with ``end_id``, and a null or empty text is that one id; texts of any
+    length are encoded whole. An empty table writes no file; other columns are not read. Texts are
+    encoded where they lie and only their ids are shuffled. The rows returned are those of a table written in ``folder``.
     """
-    width = width_of(vocabulary)
+    width, kind = width_of(vocabulary), "<u2" if vocabulary <= 1 << 16 else "<u4"
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        if tokenizer not in _ENCODERS:
-            _ENCODERS[tokenizer] = WordEncoder(tokenizer)
         part, writer = TaskContext.get().partitionId(), None
-        end = np.array([end_id], np.uint32)
         for batch in batches:
             writer = writer or Writer(folder, f"part-{part:06d}.bpk", width)
-            for at in range(0, len(batch), TOGETHER):
-                few = batch.iloc[at: at + TOGETHER]
-                encoded = _ENCODERS[tokenizer].encode([t or "" for t in few.text])
-                for doc_id, ids in zip(few.doc_id, encoded):
-                    writer.add(None if pd.isna(doc_id) else int(doc_id), np.concatenate((ids, end)))
+            for doc_id, ids in zip(batch.doc_id, batch.ids):
+                writer.add(None if pd.isna(doc_id) else int(doc_id), np.frombuffer(ids, kind).astype(np.uint32))
         if writer:
             n_docs, n_ids = writer.close()
             yield pd.DataFrame({"file": [f"{folder}/part-{part:06d}.bpk"], "part": [part], "n_docs": [n_docs], "n_ids": [n_ids]})
 
     _create(folder)
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    encoded = encode_column(docs, tokenizer, vocabulary, end_id)
+    encoded = materialize(encoded.withColumn("tie", F.xxhash64("ids")).withColumn("mark", F.monotonically_increasing_id()))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    # An id must stay exact on its way through pandas, which has no null integers: it travels as text.
-    ordered = ordered.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    # The hash and the mark split a doc_id, or a row, that is repeated over and over.
+    ordered = encoded.repartitionByRange(parts, "doc_id", "tie", "mark").sortWithinPartitions("doc_id", "tie", "mark")
+    ordered = ordered.select(F.col("doc_id").cast("string").alias("doc_id"), "ids")
     ordered.mapInPandas(task, "file string, part int, n_docs long, n_ids long").write.parquet(f"{folder}/files.parquet")
     return docs.sparkSession.read.parquet(f"{folder}/files.parquet")
 

@@ -16,7 +16,6 @@ from llm.cases import EDGE, SF_SMALL
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 PLAIN = Tokenizer.from_file(PATH)
-PLAIN.encode_special_tokens = True
 
 
 def plain(text):
