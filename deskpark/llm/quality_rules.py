@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from deskpark.llm.common import ASCII_SPACE, words_of
+from deskpark.llm.common import ASCII_SPACE, let, words_of
 from deskpark.plans.materialize import materialize
 
 #: Common words of a language, and the letters that one has at most.
@@ -24,16 +24,18 @@ VOCABULARY, SHORT = 24, 5
 FAR_CLASSES, OFF_CLASSES, OFF_WORDS = 0.33, 0.12, 0.29
 LEAST_CHARS, LEAST_WORDS = 200, 60
 WINDOW = 5
-_LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+_UPPER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+# Each character by itself: Java looks such a class up in one table.
+_SPACES = r"[ \t\n\x0B\f\r]+"
 _SYMBOLS, _STOPS, _MARKS = "#*$%&|<>", ".,;:!?'\"()-", "@+/=\\^_`~[]{}"
 
 
 def base_counts(docs: DataFrame) -> DataFrame:
     """(doc_id, lang, text) -> (doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, classes, w)."""
     text = F.coalesce("text", F.lit(""))
-    df = docs.select("doc_id", "lang", text.alias("t"), words_of(F.col("text")).alias("w"))
+    df = docs.select("doc_id", "lang", text.alias("t"), F.array_remove(F.split(text, _SPACES), "").alias("w"))
     # All but the lower-case letters, which are most of a text: further counts need only read these.
-    df = df.withColumn("rest", F.translate("t", _LOWER, ""))
+    df = df.withColumn("rest", F.regexp_replace("t", F.lit("[a-z]+"), F.lit("")))
     without = lambda chars: (F.length("rest") - F.length(F.translate("rest", chars, ""))).cast("long")
     space, symbols = without(ASCII_SPACE), without(_SYMBOLS)
     lower, total = (F.length("t") - F.length("rest")).cast("long"), F.length("t").cast("long")
@@ -43,16 +45,22 @@ def base_counts(docs: DataFrame) -> DataFrame:
     other = F.col("total") - F.aggregate("classes", F.lit(0).cast("long"), lambda a, b: a + b)
     lines = F.filter(F.split("t", "\n", -1), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     df = df.select("doc_id", "lang", "w", "word_chars", "n_symbols", F.concat("classes", F.array(other)).alias("classes"), lines.alias("lines"))
-    at = F.sequence(F.lit(0), F.size("w") - WINDOW)
-    hashes = F.transform(at, lambda i: F.xxhash64(*[F.get("w", i + k) for k in range(WINDOW)]))
-    hashes = F.when(F.size("w") >= WINDOW, hashes).otherwise(F.array().cast("array<bigint>"))
     dup = F.size("lines") - F.size(F.array_distinct("lines"))
-    df = df.select("doc_id", "lang", "w", F.size("w").cast("long").alias("n_words"), "word_chars", "n_symbols",
-                   dup.cast("long").alias("n_dup_lines"), "classes", hashes.alias("h"))
-    return df.withColumn("n_repeat_words", _repeated(df)).drop("h")
+    return df.select("doc_id", "lang", "w", F.size("w").cast("long").alias("n_words"), "word_chars", "n_symbols",
+                     dup.cast("long").alias("n_dup_lines"), let(_windows(F.col("w")), _repeated).alias("n_repeat_words"), "classes")
 
 
-def _repeated(df: DataFrame) -> Column:
+def _windows(words: Column) -> Column:
+    """The hash of each window of ``WINDOW`` words, put together from the hashes of its words."""
+
+    def windows(hs: Column) -> Column:
+        at = F.transform(hs, lambda h, i: F.xxhash64(h, *[F.get(hs, i + k) for k in range(1, WINDOW)]))
+        return F.slice(at, F.lit(1), F.greatest(F.size(hs) - (WINDOW - 1), F.lit(0)))
+
+    return let(F.transform(words, lambda w: F.xxhash64(w)), windows)
+
+
+def _repeated(hashes: Column) -> Column:
     """Words in windows whose hash occurs again in the text; a text without any is told from the distinct hashes alone."""
 
     def covered(s: Column) -> Column:
@@ -63,9 +71,8 @@ def _repeated(df: DataFrame) -> Column:
         step = lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(F.lit(WINDOW), p - a["last"])).alias("n"))
         return F.aggregate(places, start, step, lambda a: a["n"])
 
-    placed = F.sort_array(F.transform("h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    bound = F.get(F.transform(F.array(placed), covered), 0)
-    return F.when(F.size(F.array_distinct("h")) == F.size("h"), F.lit(0).cast("long")).otherwise(bound)
+    placed = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("long")).otherwise(let(placed, covered))
 
 
 def common_words(docs: DataFrame, each: int = VOCABULARY) -> list[str]:
@@ -87,11 +94,7 @@ def judge(docs: DataFrame, far_classes: float = FAR_CLASSES, off_classes: float
     """
     vocabulary = common_words(docs)
     held = base_counts(docs)
-    words = F.filter("w", lambda w: w.isin(vocabulary)) if vocabulary else F.array().cast("array<string>")
-    held = held.withColumn("joined", F.concat(F.lit(" "), F.array_join(words, "  "), F.lit(" ")))
-    each = F.array(*map(F.lit, vocabulary)) if vocabulary else F.array().cast("array<string>")
-    padded = lambda v: F.concat(F.lit(" "), v, F.lit(" "))
-    counts = F.transform(each, lambda v: ((F.length("joined") - F.length(F.replace("joined", padded(v), F.lit("")))) / (F.length(v) + 2)).cast("long"))
+    counts = let(F.filter("w", lambda w: w.isin(vocabulary)), lambda own: _counts(own, vocabulary)) if vocabulary else F.array().cast("array<bigint>")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     held = held.select("doc_id", "lang", *base, "classes", counts.alias("common"), failed.alias("base_failed"))
@@ -104,6 +107,18 @@ def judge(docs: DataFrame, far_classes: float = FAR_CLASSES, off_classes: float
     return out.select("doc_id", *base, "base_failed", (~F.col("base_failed") & ~F.col("far")).alias("kept"), "class_distance", "word_distance")
 
 
+def _counts(own: Column, vocabulary: list[str]) -> Column:
+    """How often each word of the vocabulary occurs among the words ``own``; only those that occur are looked for in the joined words."""
+    padded = lambda v: F.concat(F.lit(" "), v, F.lit(" "))
+    joined = F.concat(F.lit(" "), F.array_join(own, "  "), F.lit(" "))
+
+    def each(held: Column) -> Column:
+        count = lambda v: ((F.length(held["joined"]) - F.length(F.replace(held["joined"], padded(v), F.lit("")))) / (F.length(v) + 2)).cast("long")
+        return F.transform(F.array(*map(F.lit, vocabulary)), lambda v: F.when(F.array_contains(held["kinds"], v), count(v)).otherwise(F.lit(0).cast("long")))
+
+    return let(F.struct(joined.alias("joined"), F.array_distinct(own).alias("kinds")), each)
+
+
 def _total(counts: str) -> Column:
     return F.aggregate(counts, F.lit(0).cast("long"), lambda a, b: a + b)
 
