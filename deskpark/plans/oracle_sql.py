@@ -453,19 +453,19 @@ def _bm25_sql(k: int) -> str:
     dt AS (SELECT doc_id, {_tokens('text')} AS toks FROM kb_document),
     stats AS (SELECT doc_id, len(toks) AS dl FROM dt),
     corpus AS (SELECT (SELECT count(*) FROM kb_document) AS n_docs, avg(dl) AS avgdl FROM stats),
-    qt AS (SELECT DISTINCT conv_id, unnest({_tokens('q')}) AS term FROM kb_question),
+    qt AS (SELECT DISTINCT conv_id, turn, unnest({_tokens('q')}) AS term FROM kb_question),
     postings AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(toks) AS term FROM dt)
                  WHERE term IN (SELECT term FROM qt) GROUP BY 1, 2),
     dfs AS (SELECT term, count(*) AS df FROM postings GROUP BY 1),
     contrib AS (
-      SELECT q.conv_id, p.doc_id,
+      SELECT q.conv_id, q.turn, p.doc_id,
              ln(1 + (c.n_docs - d.df + 0.5) / (d.df + 0.5)) * p.tf * {K1 + 1}
                / (p.tf + {K1} * ({1 - B} + {B} * s.dl / c.avgdl)) AS w
       FROM qt q JOIN postings p ON p.term = q.term JOIN dfs d ON d.term = q.term
       JOIN stats s ON s.doc_id = p.doc_id, corpus c),
-    scores AS (SELECT conv_id, doc_id, round(sum(w), 6) AS score FROM contrib GROUP BY 1, 2),
-    topk AS (SELECT conv_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
-               SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, doc_id) AS rank FROM scores)
+    scores AS (SELECT conv_id, turn, doc_id, round(sum(w), 6) AS score FROM contrib GROUP BY 1, 2, 3),
+    topk AS (SELECT conv_id, turn, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+               SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, doc_id) AS rank FROM scores)
              WHERE rank <= {k})"""
 
 
@@ -477,21 +477,21 @@ def _kb_topk() -> str:
 @q("kb_context", "kb_document", "kb_question")
 def _kb_context() -> str:
     return f"""WITH {_bm25_sql(V.KB_TOP_K)},
-    ctx AS (SELECT t.conv_id, count(*) AS n_docs,
+    ctx AS (SELECT t.conv_id, t.turn, count(*) AS n_docs,
                    string_agg(d.text, {sql_lit(V.KB_DOC_SEPARATOR)} ORDER BY t.rank) AS context
-            FROM topk t JOIN kb_document d ON d.doc_id = t.doc_id GROUP BY 1)
-    SELECT q.conv_id, coalesce(c.n_docs, 0) AS n_docs, coalesce(c.context, '') AS context
-    FROM kb_question q LEFT JOIN ctx c ON c.conv_id = q.conv_id"""
+            FROM topk t JOIN kb_document d ON d.doc_id = t.doc_id GROUP BY 1, 2)
+    SELECT q.conv_id, q.turn, coalesce(c.n_docs, 0) AS n_docs, coalesce(c.context, '') AS context
+    FROM kb_question q LEFT JOIN ctx c ON c.conv_id = q.conv_id AND c.turn = q.turn"""
 
 
 @q("kb_unanswered", "kb_document", "kb_question")
 def _kb_unanswered() -> str:
     return f"""
-    WITH qt AS (SELECT DISTINCT conv_id, unnest({_tokens('q')}) AS term FROM kb_question),
+    WITH qt AS (SELECT DISTINCT conv_id, turn, unnest({_tokens('q')}) AS term FROM kb_question),
     used AS (SELECT DISTINCT term FROM (SELECT unnest({_tokens('text')}) AS term FROM kb_document)
              WHERE term IN (SELECT term FROM qt))
-    SELECT conv_id, q FROM kb_question
-    WHERE conv_id NOT IN (SELECT conv_id FROM qt WHERE term IN (SELECT term FROM used))"""
+    SELECT conv_id, turn, q FROM kb_question
+    WHERE (conv_id, turn) NOT IN (SELECT (conv_id, turn) FROM qt WHERE term IN (SELECT term FROM used))"""
 
 
 def _triage_sql(table: dict, label_col: str, pick: str, default: str) -> str:

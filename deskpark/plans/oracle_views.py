@@ -54,13 +54,13 @@ def target(run: int) -> str:
 # name -> (dependencies, body)
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "line1": ((), """
-        SELECT l_orderkey, l_partkey, l_suppkey, shipped FROM (
-          SELECT l_orderkey, l_partkey, l_suppkey,
+        SELECT l_orderkey, l_partkey, l_suppkey, line_id, shipped FROM (
+          SELECT l_orderkey, l_partkey, l_suppkey, (l_orderkey * 8 + l_linenumber) * 10000000 + l_partkey AS line_id,
                  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS rn1,
                  max(l_shipdate) OVER (PARTITION BY l_orderkey) AS shipped
           FROM lineitem) WHERE rn1 = 1"""),
     "ticket": (("line1",), """
-        SELECT o_orderkey AS id_ticket, o_custkey AS id_colaborador, l_orderkey AS id_cliente_servicio,
+        SELECT o_orderkey AS id_ticket, o_custkey AS id_colaborador, line_id AS id_cliente_servicio,
                l_suppkey AS id_analista, p_name AS asunto,
                CASE WHEN o_orderkey % 2 = 0 THEN 'incidencia' ELSE 'solicitud' END AS tipo,
                CASE o_orderpriority WHEN '5-LOW' THEN 'bajo' WHEN '3-MEDIUM' THEN 'medio'
@@ -98,21 +98,25 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                lower(s_name) || '@example.test', s_name, CAST(NULL AS VARCHAR)
         FROM supplier"""),
     "servicio": ((), "SELECT p_partkey AS id_servicio, p_name AS nombre FROM part"),
-    "cliente_servicio": (("line1",), """
-        SELECT l_orderkey AS id_cliente_servicio, CAST(c_nationkey AS BIGINT) AS id_cliente,
+    "cliente_servicio": ((), """
+        SELECT DISTINCT (l_orderkey * 8 + l_linenumber) * 10000000 + l_partkey AS id_cliente_servicio, CAST(c_nationkey AS BIGINT) AS id_cliente,
                l_partkey AS id_servicio
-        FROM line1 JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey"""),
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey"""),
     "escalado": ((), """
         SELECT event_id AS id_escalado, user_id AS id_ticket, user_id % 10 AS id_analista_solicitante,
                (user_id + 1) % 10 AS id_analista_derivado, props AS motivo
         FROM events WHERE event_type = 'error'"""),
     "mensaje": ((), """
-        SELECT conv_id AS id_ticket, turn, CASE WHEN conv_id % 20 = 7 THEN 'system' ELSE role END AS role,
-               text AS content FROM conversations"""),
+        SELECT conv_id AS id_ticket, turn, role, text AS content FROM conversations
+        UNION ALL
+        SELECT conv_id + (SELECT max(conv_id) + 1 FROM conversations), turn, 'system', text
+        FROM conversations WHERE conv_id % 20 = 7"""),
     "kb_document": ((), "SELECT doc_id, text FROM documents"),
     "kb_question": ((), """
-        SELECT conv_id, CASE WHEN conv_id % 25 = 3 THEN 'xqz' || conv_id ELSE arg_min(text, turn) END AS q
-        FROM conversations WHERE role = 'user' GROUP BY conv_id"""),
+        SELECT conv_id, turn, text AS q FROM conversations WHERE role = 'user'
+        UNION ALL
+        SELECT DISTINCT conv_id, CAST(-1 AS BIGINT), 'xqz' || conv_id
+        FROM conversations WHERE role = 'user' AND conv_id % 25 = 3"""),
     "search_req": ((), """
         SELECT c_custkey AS id_colaborador,
                CASE c_custkey % 5 WHEN 0 THEN 'RED' WHEN 1 THEN 'bolt' WHEN 2 THEN '%e_r' WHEN 3 THEN ''
@@ -147,7 +151,9 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                'u' || CAST(event_id AS VARCHAR) || '@example.test' AS correo,
                'Login ' || CAST(event_id AS VARCHAR) AS nombre,
                CASE WHEN event_id % 2 = 0 THEN 'example.test' END AS hd
-        FROM events WHERE event_type = 'purchase'"""),
+        FROM events WHERE event_type = 'purchase'
+          AND CASE event_id % 9 WHEN 2 THEN 'accounts.google.com' WHEN 5 THEN 'https://issuer.example.test' WHEN 7 THEN NULL
+                   ELSE 'https://accounts.google.com' END IN ('accounts.google.com', 'https://accounts.google.com')"""),
     "status_cmd": (("line1",), f"""
         SELECT event_id AS cmd_id, ts,
                {target(4)} + CASE WHEN event_id % 97 = 0 THEN {OFF} ELSE 0 END AS id_ticket,

@@ -30,6 +30,11 @@ def _case(expr: Column, pairs: list[tuple[object, object]], default: object = No
     return out
 
 
+def _line_id(number: Column, part: Column) -> Column:
+    """Id of a line item: its order, number and part together."""
+    return (F.col("l_orderkey") * 8 + number) * 10_000_000 + part
+
+
 class TestData:
     """Views over ``<sf_dir>/<table>.parquet``."""
 
@@ -50,8 +55,8 @@ class TestData:
         li = self.raw("lineitem")
         first = F.min(F.struct("l_linenumber", "l_partkey", "l_suppkey")).alias("first")
         return (li.groupBy("l_orderkey").agg(first, F.max("l_shipdate").alias("shipped"))
-                .select("l_orderkey", F.col("first.l_partkey").alias("l_partkey"),
-                        F.col("first.l_suppkey").alias("l_suppkey"), "shipped"))
+                .select("l_orderkey", F.col("first.l_partkey").alias("l_partkey"), F.col("first.l_suppkey").alias("l_suppkey"),
+                        _line_id(F.col("first.l_linenumber"), F.col("first.l_partkey")).alias("line_id"), "shipped"))
 
     # ----------------------------------------------------------------- entities
     @cached_property
@@ -67,7 +72,7 @@ class TestData:
                       [("5-LOW", "bajo"), ("3-MEDIUM", "medio"), ("2-HIGH", "alto"), ("1-URGENT", "crítico")])
         return S.conform(t.select(
             k.alias("id_ticket"), F.col("o_custkey").alias("id_colaborador"),
-            F.col("l_orderkey").alias("id_cliente_servicio"), F.col("l_suppkey").alias("id_analista"),
+            F.col("line_id").alias("id_cliente_servicio"), F.col("l_suppkey").alias("id_analista"),
             F.col("p_name").alias("asunto"),
             F.when(k % 2 == 0, "incidencia").otherwise("solicitud").alias("tipo"),
             nivel.alias("nivel"), estado.alias("estado"),
@@ -128,11 +133,13 @@ class TestData:
 
     @cached_property
     def cliente_servicio(self) -> DataFrame:
+        """Every line item is a contracted service; lines that agree in order, number and part are one."""
         o = self.raw("orders").select("o_orderkey", "o_custkey")
         c = self.raw("customer").select("c_custkey", "c_nationkey")
-        cs = self.line1.join(o, F.col("l_orderkey") == F.col("o_orderkey")) \
-                       .join(c, F.col("o_custkey") == F.col("c_custkey"))
-        return S.conform(cs.select(F.col("l_orderkey").alias("id_cliente_servicio"),
+        lines = self.raw("lineitem").select("l_orderkey", "l_linenumber", "l_partkey").distinct()
+        cs = lines.join(o, F.col("l_orderkey") == F.col("o_orderkey")) \
+                  .join(c, F.col("o_custkey") == F.col("c_custkey"))
+        return S.conform(cs.select(_line_id(F.col("l_linenumber"), F.col("l_partkey")).alias("id_cliente_servicio"),
                                    F.col("c_nationkey").alias("id_cliente"),
                                    F.col("l_partkey").alias("id_servicio")), S.CLIENTE_SERVICIO)
 
@@ -147,11 +154,13 @@ class TestData:
 
     @cached_property
     def mensaje(self) -> DataFrame:
-        """Raw chat memory: every turn, system turns included."""
+        """Raw chat memory: every turn, system turns included, and further threads that hold system turns only."""
         cv = self.raw("conversations")
-        role = F.when(F.col("conv_id") % 20 == 7, "system").otherwise(F.col("role"))  # threads without a kept turn
-        return S.conform(cv.select(F.col("conv_id").alias("id_ticket"), "turn", role.alias("role"),
-                                   F.col("text").alias("content")), S.MENSAJE)
+        own = cv.select(F.col("conv_id").alias("id_ticket"), "turn", "role", F.col("text").alias("content"))
+        beyond = cv.agg(F.max("conv_id") + 1).scalar()
+        system = cv.where(F.col("conv_id") % 20 == 7).select(
+            (F.col("conv_id") + beyond).alias("id_ticket"), "turn", F.lit("system").alias("role"), F.col("text").alias("content"))
+        return S.conform(own.unionByName(system), S.MENSAJE)
 
     @cached_property
     def kb_document(self) -> DataFrame:
@@ -166,13 +175,12 @@ class TestData:
     # ------------------------------------------------------ requests / commands
     @cached_property
     def kb_question(self) -> DataFrame:
-        """First user turn of every conversation is the question asked; some questions have no known word."""
+        """Every user turn is a question, keyed by conversation and turn; turn -1 of some asks for an unknown word."""
         cv = self.raw("conversations").where(F.col("role") == "user")
-        first = F.min(F.struct("turn", "text")).alias("first")
-        return S.conform(cv.groupBy("conv_id").agg(first).select(
-            "conv_id", F.when(F.col("conv_id") % 25 == 3, F.concat(F.lit("xqz"), F.col("conv_id").cast("string")))
-            .otherwise(F.col("first.text")).alias("q")),
-                         S.KB_QUESTION)
+        asked = cv.select("conv_id", "turn", F.col("text").alias("q"))
+        unknown = cv.where(F.col("conv_id") % 25 == 3).select("conv_id").distinct().select(
+            "conv_id", F.lit(-1).cast("bigint").alias("turn"), F.concat(F.lit("xqz"), F.col("conv_id").cast("string")).alias("q"))
+        return S.conform(asked.unionByName(unknown), S.KB_QUESTION)
 
     @cached_property
     def search_req(self) -> DataFrame:
@@ -224,13 +232,15 @@ class TestData:
 
     @cached_property
     def login(self) -> DataFrame:
+        """Login feed with the token issuer, some of them not accepted."""
         e = self.raw("events").where(F.col("event_type") == "purchase")
         eid = F.col("event_id")
+        iss = _case(eid % 9, [(2, "accounts.google.com"), (5, "https://issuer.example.test"), (7, None)], "https://accounts.google.com")
         return S.conform(e.select(
             eid.alias("login_id"), "ts", F.col("user_id").cast("string").alias("id_provider"),
             F.concat(F.lit("u"), eid.cast("string"), F.lit("@example.test")).alias("correo"),
             F.concat(F.lit("Login "), eid.cast("string")).alias("nombre"),
-            F.when(eid % 2 == 0, "example.test").alias("hd")), S.LOGIN)
+            F.when(eid % 2 == 0, "example.test").alias("hd"), iss.alias("iss")), S.LOGIN_FEED)
 
     def _target(self, run: int) -> Column:
         """Ticket that an event's command names: runs of ``run`` events share one, and runs step over all order keys."""

@@ -41,10 +41,11 @@ SEARCH_REQ = _struct(("id_colaborador", L), ("q", S))
 INTAKE_REQ = _struct(("req_id", L), ("id_colaborador", L), ("id_cliente", L), ("nombre_servicio", S),
                      ("tipo", S), ("nivel", S), ("asunto", S), ("ts", TS), ("thread_id", L))
 LOGIN = _struct(("login_id", L), ("ts", TS), ("id_provider", S), ("correo", S), ("nombre", S), ("hd", S))
+LOGIN_FEED = _struct(*[(f.name, f.dataType) for f in LOGIN.fields], ("iss", S))
 STATUS_CMD = _struct(("cmd_id", L), ("ts", TS), ("id_ticket", L), ("id_persona", L), ("status", S),
                      ("level", S), ("description", S))
 ESCALATION_CMD = _struct(("cmd_id", L), ("ts", TS), ("id_ticket", L), ("id_persona", L), ("motivo", S))
-KB_QUESTION = _struct(("conv_id", L), ("q", S))
+KB_QUESTION = _struct(("conv_id", L), ("turn", L), ("q", S))
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
