@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from deskpark.operators import appends as AP
 from deskpark.operators import commands as CM
 from deskpark.operators import escalation as ES
 from deskpark.operators import hydrate as H
@@ -15,7 +19,10 @@ from deskpark.operators import services as SV
 from deskpark.operators import tickets as T
 from deskpark.operators import transcripts as TR
 from deskpark.operators import triage as TG
+from deskpark.plans.materialize import materialize
 from deskpark.plans.registry import register
+from deskpark.session import checkpoint_dir
+from deskpark.sources.appends import AppendTables
 from deskpark.sources.fixtures import DEFAULT_ASSIGNEE, DEFAULT_CLIENT, TestData
 
 
@@ -208,6 +215,36 @@ def intake_conversations(d: TestData) -> DataFrame:
     return TR.intake_conversations(_intake(d), d.mensaje.withColumnRenamed("id_ticket", "thread_id"))
 
 
+def _appended(d: TestData) -> AppendTables:
+    """New tables in a folder of their own under the shared checkpoint folder."""
+    return AppendTables(d.spark, f"{checkpoint_dir(d.spark).rstrip('/')}/appended-{uuid.uuid4().hex}", AP.TABLES)
+
+
+@register("ticket_append")
+def ticket_append(d: TestData) -> DataFrame:
+    """The tickets of the intake batch, read back from the table's files after the batch was run twice."""
+    tables, intake = _appended(d), materialize(_intake(d))
+    for _ in range(2):
+        AP.append_intake(tables, "intake-1", intake, d.mensaje.withColumnRenamed("id_ticket", "thread_id"))
+    return tables.read("ticket")
+
+
+@register("conversation_append")
+def conversation_append(d: TestData) -> DataFrame:
+    """The conversations of the intake batch, read back from the table's files; the array of turns as JSON."""
+    tables, intake = _appended(d), materialize(_intake(d))
+    AP.append_intake(tables, "intake-1", intake, d.mensaje.withColumnRenamed("id_ticket", "thread_id"))
+    return tables.read("conversacion").select("id_ticket", F.to_json("contenido").alias("contenido"))
+
+
+@register("escalation_append")
+def escalation_append(d: TestData) -> DataFrame:
+    """The log rows of the escalation batch, read back from the table's files."""
+    tables = _appended(d)
+    AP.append_escalations(tables, "escalations-1", ES.escalation_log(d.escalado, ES.escalation_validate(d.escalation_cmd, d.analista, d.ticket)))
+    return tables.read("escalado")
+
+
 @register("ticket_receipts")
 def ticket_receipts(d: TestData) -> DataFrame:
     return IN.ticket_receipts(_intake(d))

@@ -528,3 +528,30 @@ def _intake_conversations() -> str:
            coalesce(c.contenido, '[]') AS contenido
     FROM intake i LEFT JOIN conv_json c ON c.id_ticket = i.thread_id
     WHERE i.outcome = 'created'"""
+
+
+@q("ticket_append", "intake_req", "service_hits", "ticket", "external", "analista")
+def _ticket_append() -> str:
+    return f"""
+    WITH intake AS ({_intake_sql()})
+    SELECT id_ticket, id_colaborador, id_cliente_servicio, id_analista, asunto, tipo, nivel, estado,
+           CAST(NULL AS VARCHAR) AS diagnostico, created_at, CAST(NULL AS TIMESTAMP) AS updated_at, CAST(NULL AS TIMESTAMP) AS closed_at
+    FROM intake WHERE outcome = 'created'"""
+
+
+@q("conversation_append", "intake_req", "service_hits", "ticket", "external", "analista", "conv_json")
+def _conversation_append() -> str:
+    return f"""
+    WITH intake AS ({_intake_sql()})
+    SELECT i.id_ticket, coalesce(c.contenido, '[]') AS contenido
+    FROM intake i LEFT JOIN conv_json c ON c.id_ticket = i.thread_id
+    WHERE i.outcome = 'created'"""
+
+
+@q("escalation_append", "escalado", "esc_valid")
+def _escalation_append() -> str:
+    return """
+    SELECT CAST((SELECT coalesce(max(id_escalado), 0) FROM escalado)
+                + row_number() OVER (ORDER BY ts, cmd_id) AS BIGINT) AS id_escalado,
+           id_ticket, id_analista_solicitante, id_analista_derivado, motivo
+    FROM esc_valid WHERE code = 200"""
