@@ -88,6 +88,9 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
     """
     rank = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     known = docs.where(learnable(F.col("doc_id")) & F.col("lang").isNotNull()).select("doc_id", "lang").distinct()
+    # First within slices of a language, so that no task sorts all ids of a common one.
+    sliced = Window.partitionBy("lang", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(64))).orderBy(F.xxhash64("doc_id"), "doc_id")
+    known = known.withColumn("r", F.row_number().over(sliced)).where(F.col("r") <= rows)
     chosen = known.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= rows).select("doc_id", "lang")
     texts = docs.select("doc_id", "lang", "text").where("text is not null")
     texts = texts.join(F.broadcast(chosen), ["doc_id", "lang"])  # at most ``rows`` ids a language
@@ -122,7 +125,7 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
     counted = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()  # at most SYMBOLS**4 rows a language
     counted = counted.sort_values(["lang", "gram"])
     languages = sorted(counted.lang.unique())
-    owner = counted.lang.map({x: k for k, x in enumerate(languages)}).to_numpy(np.uint8)
+    owner = counted.lang.map({x: k for k, x in enumerate(languages)}).to_numpy(np.int32)
     gram, count = counted.gram.to_numpy(np.int32), counted.n.to_numpy(np.int32)
     return Model(languages, symbol, owner, gram, count, zlib.crc32(gram.tobytes() + count.tobytes()))
 

@@ -126,10 +126,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
             yield pd.DataFrame({"at": [f[0].astype(np.int32) for f in found], "value": [f[1].astype(np.float32) for f in found]})
 
     known = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id")
-    known = known.select("doc_id", "y", extract("text").alias("f")).select("doc_id", "y", "f.at", "f.value")
+    known = known.select("doc_id", "y", F.xxhash64("text").alias("named"), extract("text").alias("f"))
+    # An id may be repeated: its texts are put in order by their hash, and at most as many rows are taken in all.
+    known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "named").limit(rows).select("doc_id", "y", "named", "f.at", "f.value")
     got = known.toPandas()
     got["order"] = [zlib.crc32(str(i).encode()) for i in got.doc_id]
-    got = got.sort_values(["order", "doc_id"], kind="stable")
+    got = got.sort_values(["order", "doc_id", "named"], kind="stable")
     return fit_features(list(zip(got["at"], got["value"], got["y"])), bits)
 
 

@@ -78,14 +78,20 @@ def near_duplicates(docs: DataFrame, shingle: int, radius: int, tile_rows: int =
     ids take part and never become a component_id unless a component has no other id (then it is
     null); an empty table gives an empty result; other columns are not read.
     """
-    rows = materialize(docs.select("doc_id", fingerprint_column(F.col("text"), shingle).alias("fp")))
+    return _grouped(docs, shingle, radius, tile_rows).select("doc_id", "fp", "component_id")
+
+
+def _grouped(docs: DataFrame, shingle: int, radius: int, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """(doc_id, fp, text_hash, root, component_id): root is a fingerprint that names the group, also where groups share an id."""
+    own = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), fingerprint_column(F.col("text"), shingle).alias("fp"))
+    rows = materialize(own)
     nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = connected_components(linked_pairs(nodes.select("fp"), radius, tile_rows))
     rooted = nodes.join(roots, nodes.fp == roots.node, "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(named, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = rooted.join(named, "root").select("fp", "root", "component_id")
+    return rows.join(named, "fp").select("doc_id", "fp", "text_hash", "root", "component_id")
 
 
 def linked_pairs(fingerprints: DataFrame, radius: int, tile_rows: int = TILE_ROWS) -> DataFrame:
@@ -169,17 +175,23 @@ def _union(parent: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
 def one_of_each_group(docs: DataFrame, shingle: int, radius: int) -> DataFrame:
     """The rows of ``docs`` with all their columns, one document of each group: the smallest doc_id.
 
-    doc_id names a document: of several rows with the kept doc_id one stays, that of the smallest text
-    hash. Rows with a null id cannot be named and stay.
+    Of several rows of a group with that doc_id the one of the smallest text hash stays, once. Rows that
+    share an id but lie in different groups are different documents. Rows with a null id cannot be named and
+    stay. Null and empty texts are one group; an empty table gives an empty result.
     """
-    found = near_duplicates(docs, shingle, radius)
-    keep = found.where("doc_id = component_id").select("doc_id").distinct()
     from pyspark.sql import Window
 
-    rank = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    name = "_rank"
-    while name in docs.columns:
-        name += "_"
-    named = docs.join(keep, "doc_id", "left_semi").withColumn(name, F.row_number().over(rank))
-    named = named.where(F.col(name) == 1).drop(name)
-    return named.select(docs.columns).union(docs.where("doc_id is null"))
+    found = _grouped(docs, shingle, radius).where("doc_id = component_id")
+    keep = found.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("keep")).select("keep.*").distinct()
+    names = []
+    for name in ("text_hash", "_rank"):
+        while name in docs.columns:
+            name += "_"
+        names.append(name)
+    text_hash, order = names
+    hashed = docs.withColumn(text_hash, F.xxhash64("text"))
+    kept = hashed.join(keep.withColumnRenamed("text_hash", text_hash), ["doc_id", text_hash], "left_semi")
+    # Equal rows are limited to one in each task before they are shuffled.
+    rank = Window.partitionBy("doc_id", text_hash).orderBy(text_hash)
+    kept = kept.withColumn(order, F.row_number().over(rank)).where(F.col(order) == 1)
+    return kept.select(docs.columns).union(docs.where("doc_id is null"))

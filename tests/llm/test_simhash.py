@@ -101,3 +101,12 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (5, 5), (None, 3)], "u long, v long")
     got = {r.node: r.root for r in components.connected_components(edges).collect()}
     assert got == {**{i: 0 for i in range(1, 301)}, 1001: 1000}
+
+
+def test_rows_that_share_an_id_but_not_a_group_are_different_documents(make):
+    a = "the old mill by the river was built in the year of the great flood and stands there still today"
+    b = "every child of the village learns to swim before it is six since the water is never far from home"
+    kept = lambda rows: sorted((r.doc_id, r.text) for r in simhash.one_of_each_group(make(rows), 4, 4).collect())
+    assert kept([(3, b), (5, a), (5, b)]) == [(3, b), (5, a)]
+    assert kept([(5, a), (5, b), (5, b), (9, a)]) == [(5, b), (5, a)]
+    assert kept([(2, a), (2, a), (2, a), (7, a)]) == [(2, a)]
