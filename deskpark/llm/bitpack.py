@@ -26,14 +26,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from deskpark.llm.common import few_threads
-from deskpark.plans.materialize import materialize
 
 MAGIC = b"BPK1"
 BLOCK = 1 << 16
 _TAIL = struct.Struct("<QQQQII")  # ids, documents, blocks, place of the footer, width, ids of a block
 #: Distinct words that a worker remembers besides those at hand, characters of texts that are encoded
 #: together, and new words joined to one line.
-CACHE, TOGETHER, LINE = 250_000, 4_000_000, 64
+CACHE, TOGETHER, LINE = 700_000, 4_000_000, 64
 _DOUBLE = re.compile(r"\s\s")
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 
@@ -259,7 +258,10 @@ def write(docs: DataFrame, tokenizer: str, vocabulary: int, folder: str, end_id:
 
     _create(folder)
     encoded = encode_column(docs, tokenizer, vocabulary, end_id)
-    encoded = materialize(encoded.withColumn("tie", F.xxhash64("ids")).withColumn("mark", F.monotonically_increasing_id()))
+    encoded = encoded.withColumn("tie", F.xxhash64("ids")).withColumn("mark", F.monotonically_increasing_id())
+    # Written once: a range shuffle reads its input twice.
+    encoded.write.option("compression", "zstd").parquet(f"{folder}/encoded.parquet")
+    encoded = docs.sparkSession.read.parquet(f"{folder}/encoded.parquet")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # The hash and the mark split a doc_id, or a row, that is repeated over and over.
     ordered = encoded.repartitionByRange(parts, "doc_id", "tie", "mark").sortWithinPartitions("doc_id", "tie", "mark")
