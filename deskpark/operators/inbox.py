@@ -51,25 +51,25 @@ def analyst_inbox(requests: DataFrame, ticket: DataFrame, analista: DataFrame, c
 
     Tickets are ranked once for each distinct list that is asked for (analyst, wanted status or all),
     however many requests ask for it; a request then picks the at most 100 ranks of its page by an
-    equi-join. Ranks come from a distributed sort, so no task holds a hot analyst's list.
+    equi-join. Ranks come from a distributed sort, so no task holds a hot analyst's list. Only the keys
+    of the order are sorted and written; what a page shows is joined to the ids of its items.
     """
     req = resolve_requests(requests, analista).withColumn(
         "list", F.when(~F.col("no_filter"), F.col("wanted")).otherwise(F.lit(V.FILTER_ALL)))
     live = req.where((F.col("code") == 200) & F.col("id_analista").isNotNull())
-    t = ticket.select("id_ticket", "id_analista", "id_colaborador", "id_cliente_servicio", "asunto",
-                      "tipo", "estado", "created_at", "updated_at")
     lists = live.select("id_analista", "list").distinct()
     # Equi-join on the analyst; the status filter is a residual on the joined row.
-    listed = t.join(lists, "id_analista").where((F.col("list") == V.FILTER_ALL) | (F.col("estado") == F.col("list")))
+    keys = ticket.select("id_ticket", "id_analista", "estado", "updated_at")
+    listed = keys.join(lists, "id_analista").where((F.col("list") == V.FILTER_ALL) | (F.col("estado") == F.col("list"))).drop("estado")
     # ORDER BY updated_at DESC (PostgreSQL: NULLs first, T1), id_ticket DESC as tie-break.
     order = [F.col("updated_at").desc_nulls_first(), F.col("id_ticket").desc()]
     ranked, totals = rank_in_groups(listed, ["id_analista", "list"], order, "_rank")
     places = live.select("req_id", "id_analista", "list", "page_offset", F.explode(F.sequence(
         F.lit(1), F.col("page_limit"))).alias("rn"))
     places = places.withColumn("_rank", F.col("page_offset") + F.col("rn")).drop("page_offset")
-    page = places.join(ranked, ["id_analista", "list", "_rank"]).select(
-        "req_id", "rn", "id_ticket", "id_colaborador", "id_cliente_servicio", "asunto", "tipo", "estado",
-        "created_at", "updated_at")
+    found = places.join(ranked, ["id_analista", "list", "_rank"]).select("req_id", "rn", "id_ticket")
+    page = found.join(ticket.select("id_ticket", "id_colaborador", "id_cliente_servicio", "asunto", "tipo", "estado",
+                                    "created_at", "updated_at"), "id_ticket")
     req = req.join(totals.withColumnRenamed("n", "total"), ["id_analista", "list"], "left")
     items = H.hydrate_page(page, colaborador, external, cliente, cliente_servicio, servicio,
                            keep=("req_id", "rn"))
