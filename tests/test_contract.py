@@ -20,6 +20,6 @@ def test_bench_prints_one_json_line():
 
 
 def test_entry_works_without_the_training_data_operators():
-    code = ("import sys; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; "
-            "assert e.llm is None and len(e.queries()) == len(e.oracle_sql()) == 41, len(e.queries())")
+    code = ("import sys; sys.modules['corpus_pipeline'] = sys.modules['deskpark.llm'] = None; import __spark_entry__ as e; "
+            "assert e.llm is None and len(e.queries()) == len(e.oracle_sql()) == 44, len(e.queries())")
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=120)
