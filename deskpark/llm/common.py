@@ -52,12 +52,13 @@ def sample_rows(df: DataFrame, limit: int, *columns: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder name under the shared folder of the cluster."""
+    """A new folder name under the shared folder of the cluster; one without a scheme lies in Hadoop's default file system."""
     import uuid
 
     base = re.sub(r"/+$", "", checkpoint_dir(spark))
     if "://" not in base and not base.startswith("file:"):
-        base = f"file://{base}"
+        default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///"
+        base = re.sub(r"/+$", "", default.replace("file:///", "file://")) + base if "://" in default else f"file://{base}"
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
