@@ -30,6 +30,8 @@ from deskpark.llm.common import few_threads
 MAGIC = b"BPK1"
 BLOCK = 1 << 16
 _TAIL = struct.Struct("<QQQQII")  # ids, documents, blocks, place of the footer, width, ids of a block
+#: Rows whose keys are collected to cut the files.
+SAMPLE = 20_000
 #: Distinct words that a worker remembers besides those at hand, characters of texts that are encoded
 #: together, and new words joined to one line.
 CACHE, TOGETHER, LINE = 700_000, 4_000_000, 64
@@ -182,7 +184,9 @@ class WordEncoder:
         return out
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [(_SAFE.split(t) if _DOUBLE.search(t) else t.split(" ")) if t else [""] for t in texts]
+        # A printable text has no white space but spaces.
+        odd = lambda t: "  " in t or not t.isprintable() and _DOUBLE.search(t)
+        cut = [_SAFE.split(t) if odd(t) else t.split(" ") for t in texts]
         self._learn(self.first, {c[0] for c in cut}, "")
         words = set().union(*cut)
         if len(self.later) > CACHE:
@@ -217,32 +221,47 @@ class WordEncoder:
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
-def encode_column(docs: DataFrame, tokenizer: str, vocabulary: int, end_id: int = 0) -> DataFrame:
-    """(doc_id, text, ...) -> (doc_id, ids): the ids with the end id as little-endian integers of 16 bits, or 32 for a large vocabulary."""
-    kind = "<u2" if vocabulary <= 1 << 16 else "<u4"
+def _bounds(docs: DataFrame, parts: int) -> list[tuple]:
+    """Keys (doc_id known, doc_id, text hash) that cut the rows into ``parts`` ranges of about equal size; a hot key occurs several times.
 
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if tokenizer not in _ENCODERS:
-            _ENCODERS[tokenizer] = WordEncoder(tokenizer)
-        end = np.array([end_id], kind).tobytes()
-        for batch in batches:
-            encoded = _ENCODERS[tokenizer].encode([t or "" for t in batch.text])
-            yield pd.DataFrame({"doc_id": batch.doc_id, "ids": [e.astype(kind).tobytes() + end for e in encoded]})
-
-    # An id must stay exact on its way through pandas, which has no null integers: it travels as text.
-    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    return rows.mapInPandas(task, "doc_id string, ids binary").withColumn("doc_id", F.col("doc_id").cast("long"))
+    They are taken from at most about ``SAMPLE`` rows, chosen by hash; which rows are taken changes the sizes of the files alone.
+    """
+    keys = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"))
+    step = max(1, keys.count() // SAMPLE)
+    # Equal rows have equal hashes, and are taken or left together: they are numbered, so that a share of them is taken.
+    some = keys.withColumn("mark", F.monotonically_increasing_id()).where(F.pmod(F.xxhash64("doc_id", "tie", "mark"), F.lit(step)) == 0)
+    found = sorted((r.doc_id is not None, r.doc_id or 0, r.tie) for r in some.select("doc_id", "tie").collect())
+    return [found[len(found) * k // parts] for k in range(1, parts)] if found else []
 
 
 def write(docs: DataFrame, tokenizer: str, vocabulary: int, folder: str, end_id: int = 0) -> DataFrame:
     """Encodes (doc_id, text, ...) and writes the files; returns (file, part, n_docs, n_ids), one row for each file.
 
     Files follow each other in ascending doc_id (null ids first, the order of repeated ones is that of a hash of
-    their ids), each document ends with ``end_id``, and a null or empty text is that one id; texts of any
+    their text), each document ends with ``end_id``, and a null or empty text is that one id; texts of any
     length are encoded whole. An empty table writes no file; other columns are not read. Texts are
-    encoded where they lie and only their ids are shuffled. The rows returned are those of a table written in ``folder``.
+    encoded where they lie and only their ids are shuffled, each to the file whose range holds its key; rows of
+    one key that fills several ranges are dealt out to all of them. The rows returned are those of a table written in ``folder``.
     """
     width, kind = width_of(vocabulary), "<u2" if vocabulary <= 1 << 16 else "<u4"
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = _bounds(docs, parts)
+
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from bisect import bisect_left, bisect_right
+
+        if tokenizer not in _ENCODERS:
+            _ENCODERS[tokenizer] = WordEncoder(tokenizer)
+        end, n = np.array([end_id], kind).tobytes(), 0
+        for batch in batches:
+            encoded = _ENCODERS[tokenizer].encode([t or "" for t in batch.text])
+            keys = [(not pd.isna(i), 0 if pd.isna(i) else int(i), int(tie)) for i, tie in zip(batch.doc_id, batch.tie)]
+            part = []
+            for key in keys:
+                low, high = bisect_left(bounds, key), bisect_right(bounds, key)
+                part.append(high if high - low < 2 else low + 1 + n % (high - low))
+                n += 1
+            yield pd.DataFrame({"part": np.array(part, np.int32), "doc_id": batch.doc_id, "tie": batch.tie, "ids": [e.astype(kind).tobytes() + end for e in encoded]})
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -257,16 +276,11 @@ def write(docs: DataFrame, tokenizer: str, vocabulary: int, folder: str, end_id:
             yield pd.DataFrame({"file": [f"{folder}/part-{part:06d}.bpk"], "part": [part], "n_docs": [n_docs], "n_ids": [n_ids]})
 
     _create(folder)
-    encoded = encode_column(docs, tokenizer, vocabulary, end_id)
-    encoded = encoded.withColumn("tie", F.xxhash64("ids")).withColumn("mark", F.monotonically_increasing_id())
-    # Written once: a range shuffle reads its input twice.
-    encoded.write.option("compression", "zstd").parquet(f"{folder}/encoded.parquet")
-    encoded = docs.sparkSession.read.parquet(f"{folder}/encoded.parquet")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # The hash and the mark split a doc_id, or a row, that is repeated over and over.
-    ordered = encoded.repartitionByRange(parts, "doc_id", "tie", "mark").sortWithinPartitions("doc_id", "tie", "mark")
-    ordered = ordered.select(F.col("doc_id").cast("string").alias("doc_id"), "ids")
-    ordered.mapInPandas(task, "file string, part int, n_docs long, n_ids long").write.parquet(f"{folder}/files.parquet")
+    # An id must stay exact on its way through pandas, which has no null integers: it travels as text.
+    rows = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.xxhash64("text").cast("string").alias("tie"), "text")
+    encoded = rows.mapInPandas(encode, "part int, doc_id string, tie string, ids binary")
+    ordered = encoded.repartitionById(parts, F.col("part")).sortWithinPartitions(F.col("doc_id").cast("long"), F.col("tie").cast("long"))
+    ordered.select("doc_id", "ids").mapInPandas(task, "file string, part int, n_docs long, n_ids long").write.parquet(f"{folder}/files.parquet")
     return docs.sparkSession.read.parquet(f"{folder}/files.parquet")
 
 

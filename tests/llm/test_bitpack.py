@@ -100,3 +100,9 @@ def test_marker_in_a_text_is_encoded_as_the_library_does():
 @given(st.lists(st.sampled_from(["<|endoftext|>", " ", "\n", "a", "'s", "1", "\xa0", "<|", " b"]), max_size=12).map("".join))
 def test_encoding_with_markers_is_exact(text):
     assert (b._ENCODERS.get(PATH) or b_encoder()).encode([text])[0].tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
+def test_a_hot_row_is_dealt_out_to_several_files(spark, make):
+    rows = [(None, "without an id")] * 40 + [(7, "hot row")] * 400 + [(k, f"row {k}") for k in range(100)]
+    files = b.write(make(rows).repartition(5), PATH, 50257, work_dir(spark, "hot"))
+    assert files.agg({"n_docs": "max"}).first()[0] < 300 and got(b.read(files)) == expected(rows)
