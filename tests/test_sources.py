@@ -1,5 +1,6 @@
 """Production sources: domain tables read back with their fixed schemas."""
 
+import datetime
 import tempfile
 
 import pytest
@@ -49,3 +50,33 @@ def test_snapshot_replaces_only_incomplete_versions(spark, small):
     assert store.versions() == [1] and store.read(1).count() == small.cliente.count()
     with pytest.raises(FileExistsError):
         store.write(small.cliente, 1)
+
+
+def test_every_purchase_is_an_accepted_login(spark):
+    """No purchase is lost to the issuer test; logins of other issuers come on top and change nothing."""
+    import duckdb
+
+    from deskpark.operators import identity as ID
+    from deskpark.plans import registry
+    from deskpark.sources.fixtures import TestData
+
+    root, day = tempfile.mkdtemp(prefix="logins-"), datetime.datetime(2024, 1, 1)
+    tables = {
+        "events": ([(i, day, i, "purchase" if i % 10 else "view") for i in range(60)],
+                   "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string"),
+        "customer": ([(i, f"Customer {i}") for i in range(1, 30)], "c_custkey bigint, c_name string"),
+        "supplier": ([(1, "Supplier 1")], "s_suppkey bigint, s_name string")}
+    con = duckdb.connect()
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{root}/{name}.parquet")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{root}/{name}.parquet/*.parquet')")
+    data = TestData(spark, root)
+    bought = {i for i in range(60) if i % 10}
+    assert {r.login_id for r in ID.accepted_logins(data.login).collect()} == bought
+    assert data.login.count() > len(bought)
+    for key in ("identity_upsert", "role_analyst"):
+        got = registry.queries()[key](spark, root)
+        want = con.sql(registry.oracle_sql()[key])
+        assert sorted(map(tuple, got.select(want.columns).collect()), key=repr) == sorted(want.fetchall(), key=repr)
+    used = registry.queries()["identity_upsert"](spark, root)
+    assert {r.login_id for r in used.where("login_id is not null").collect()} == bought
