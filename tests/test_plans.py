@@ -47,3 +47,12 @@ def test_inbox_ranks_without_a_window_over_a_list(plans):
 def test_no_python_udfs(plans):
     for k, p in plans.items():
         assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p, k
+
+
+def test_unanswered_shuffles_distinct_words_not_texts(spark, small):
+    from deskpark.operators import retrieval as RT
+    plan = RT.kb_unanswered(small.kb_document, small.kb_question)._jdf.queryExecution().executedPlan().toString()
+    lines = plan.splitlines()
+    texts = next(i for i, x in enumerate(lines) if "Generate" in x and "filter(split(lower(text" in x)
+    above = next(x for x in reversed(lines[:texts]) if "Aggregate" in x or "Exchange" in x)
+    assert "RoundRobinPartitioning" not in plan and "Aggregate" in above, plan
