@@ -88,3 +88,39 @@ def test_bm25_top_k_equals_python_scorer(spark):
     want = {k: v for k, v in _bm25_python(docs, questions).items() if v}
     assert got == want
     assert [r.conv_id for r in RT.kb_unanswered(d, q).collect()] == [13]
+
+
+def test_bm25_top_k_over_many_blocks_makes_no_row_per_pair(spark):
+    rnd = random.Random(5)
+    words = [f"w{i}" for i in range(60)]
+    texts = ["the " + " ".join(rnd.choices(words, [1 / (i + 1) for i in range(60)], k=rnd.randrange(1, 40))) for _ in range(300)]
+    docs = [(i, texts[i % 250]) for i in range(400)]  # copies: equal scores go by doc_id
+    questions = [(i, "The " + " ".join(rnd.sample(words, 6)) + " unknown") for i in range(50)]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    q = spark.createDataFrame(questions, "conv_id bigint, q string")
+    for k in (1, 5, 90):
+        top, got = RT.kb_topk(d, q, k), {}
+        for r in top.orderBy("conv_id", "rank").collect():
+            got.setdefault(r.conv_id, []).append((r.doc_id, r.score))
+        want = _bm25_python(docs, questions, k)
+        assert {x: [d for d, _ in v] for x, v in got.items()} == {x: [d for d, _ in v] for x, v in want.items()}
+        assert all(abs(a[1] - b[1]) < 2e-6 for x in want for a, b in zip(got[x], want[x]))
+    joins = [x for x in top._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x]
+    assert joins and all("qid" in x for x in joins), joins  # no join by term
+
+
+def test_bm25_of_repeated_and_null_keys(spark):
+    """Rows of one doc_id are one document, rows of one question key one question, asked as often as it comes."""
+    docs = [(1, "red bolt"), (1, "red red nut"), (None, "nut bolt"), (None, "bolt"), (2, None), (3, "")]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)
+    q = spark.createDataFrame([(7, "red bolt"), (7, "red nut"), (None, "bolt")], "conv_id bigint, q string")
+    n, avgdl, dl = 6, 8 / 5, {1: 3, None: 2}
+    tf = {1: {"red": 3, "bolt": 1, "nut": 1}, None: {"nut": 1, "bolt": 2}}
+
+    def weight(term, doc):
+        df = sum(term in t for t in tf.values())
+        f = tf[doc].get(term, 0)
+        return math.log(1 + (n - df + 0.5) / (df + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl[doc] / avgdl))
+    got = {(r.conv_id, r.doc_id): r.score for r in RT.kb_topk(d, q).collect()}
+    want = {(7, x): 2 * weight("red", x) + weight("bolt", x) + weight("nut", x) for x in tf} | {(None, x): weight("bolt", x) for x in tf}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
