@@ -124,3 +124,14 @@ def test_bm25_of_repeated_and_null_keys(spark):
     got = {(r.conv_id, r.doc_id): r.score for r in RT.kb_topk(d, q).collect()}
     want = {(7, x): 2 * weight("red", x) + weight("bolt", x) + weight("nut", x) for x in tf} | {(None, x): weight("bolt", x) for x in tf}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+
+def test_context_joins_texts_of_the_best_documents_only(spark):
+    docs = [(i, f"common text {i}") for i in range(200)] + [(500, "rare common")]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)
+    q = spark.createDataFrame([(1, "rare"), (2, "common"), (3, "zzz")], "conv_id bigint, q string")
+    out = RT.kb_context(d, q)
+    assert {r.conv_id: (r.n_docs, r.context) for r in out.collect()} == {
+        1: (1, "rare common"), 2: (5, "\n\n".join(["rare common", *(f"common text {i}" for i in range(4))])), 3: (0, "")}
+    joins = [x for x in out._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x]
+    assert joins and not any("term" in x for x in joins), joins
