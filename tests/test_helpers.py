@@ -3,7 +3,9 @@
 import math
 import random
 import re
+import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -135,3 +137,39 @@ def test_context_joins_texts_of_the_best_documents_only(spark):
         1: (1, "rare common"), 2: (5, "\n\n".join(["rare common", *(f"common text {i}" for i in range(4))])), 3: (0, "")}
     joins = [x for x in out._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x]
     assert joins and not any("term" in x for x in joins), joins
+
+
+def test_context_sends_no_text_per_question_and_keeps_every_row(spark):
+    docs = [(1, "red bolt"), (1, "bolt anew"), (1, None), (2, "bolt bolt"), (3, ""), (None, "bolt"), *((i, f"nut {i}") for i in range(10, 40))]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    q = spark.createDataFrame([(1, 0, "bolt"), (1, 0, "bolt"), (1, 1, "red"), (2, 0, "zzz"), (None, 0, "bolt"), (3, 0, None)],
+                              "conv_id bigint, turn bigint, q string")
+    out = RT.kb_context(d, q)
+    got = sorted(((r.conv_id, r.turn), r.n_docs, r.context) for r in out.collect() if r.conv_id is not None)
+    of_1 = "bolt anew\n\nred bolt"
+    both = f"{of_1}\n\nbolt bolt"  # equal scores: the smaller id first
+    assert got == [((1, 0), 4, both), ((1, 0), 4, both), ((1, 1), 3, of_1), ((2, 0), 0, ""), ((3, 0), 0, "")]
+    assert [(r.n_docs, r.context) for r in out.where("conv_id is null").collect()] == [(0, "")]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not any("collect_list" in x and "text" in x for x in plan.splitlines()), plan
+
+
+def test_documents_are_indexed_where_they_lie_and_repeated_ids_merged(spark, monkeypatch):
+    docs = [(i % 7 if i < 14 else i, f"word{i % 5} word{i % 3} w{i}") for i in range(60)] + [(None, "a b"), (None, "b c"), (3, None)]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)
+
+    def rows(df):
+        out = {}
+        for r in df.collect():
+            data = zlib.decompress(bytes(r.packed))
+            counts = np.frombuffer(data, "<u4", r.n_terms).tolist()
+            assert r.doc_id not in out
+            out[r.doc_id] = (r.n_rows, r.n_texts, r.n_tokens, r.dl, dict(zip(data[4 * r.n_terms:].decode().split(" "), counts)))
+        return out
+
+    few = rows(RT.doc_index(d))
+    monkeypatch.setattr(RT, "REPEATED_ROWS", 1)
+    assert few == rows(RT.doc_index(d)) and len(few) == 54
+    assert few[3] == (3, 2, 6, 3, {"word3": 1, "word0": 2, "w3": 1, "w10": 1, "word1": 1}), few[3]
+    alone = RT.doc_index(d.where("doc_id >= 14"))
+    assert alone.rdd.getNumPartitions() == d.rdd.getNumPartitions()  # not shuffled
