@@ -173,3 +173,11 @@ def test_documents_are_indexed_where_they_lie_and_repeated_ids_merged(spark, mon
     assert few[3] == (3, 2, 6, 3, {"word3": 1, "word0": 2, "w3": 1, "w10": 1, "word1": 1}), few[3]
     alone = RT.doc_index(d.where("doc_id >= 14"))
     assert alone.rdd.getNumPartitions() == d.rdd.getNumPartitions()  # not shuffled
+
+
+def test_marks_hold_every_value_and_few_others(spark):
+    words = spark.createDataFrame([(f"w{i}",) for i in range(300)] + [("año",), (None,)], "term string")
+    marked = RT._marks(F.col("term"), words)
+    has = lambda t: marked[(x := zlib.crc32(t.encode()) % RT.MARKS) >> 3] >> (x & 7) & 1
+    assert len(marked) == RT.MARKS // 8 and all(has(f"w{i}") for i in range(300)) and has("año")
+    assert sum(has(f"other{i}") for i in range(1000)) < 10
