@@ -34,7 +34,7 @@ _TAIL = struct.Struct("<QQQQII")  # ids, documents, blocks, place of the footer,
 SAMPLE = 20_000
 #: Distinct words that a worker remembers besides those at hand, characters of texts that are encoded
 #: together, and new words joined to one line.
-CACHE, TOGETHER, LINE = 1_300_000, 4_000_000, 64
+CACHE, TOGETHER, LINE = 1_300_000, 4_000_000, 256
 _DOUBLE = re.compile(r"\s\s")
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 
