@@ -18,25 +18,24 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from deskpark.llm.common import few_threads
+from deskpark.llm.common import Generations
 
 MAGIC = b"BPK1"
 BLOCK = 1 << 16
 _TAIL = struct.Struct("<QQQQII")  # ids, documents, blocks, place of the footer, width, ids of a block
 #: Rows whose keys are collected to cut the files.
 SAMPLE = 20_000
-#: Distinct words that a worker remembers besides those at hand, characters of texts that are encoded
-#: together, and new words joined to one line.
-CACHE, TOGETHER, LINE = 1_300_000, 4_000_000, 256
-_DOUBLE = re.compile(r"\s\s")
-_SAFE = re.compile(r"(?<=\S) (?=\S)")
+#: Distinct pieces of each of the two generations that a worker remembers, characters of texts that are encoded
+#: together, and bytes of the longest piece that is remembered.
+CACHE, TOGETHER, LONG = 600_000, 4_000_000, 200
+#: Classes of characters besides 1 to 3 (letters, numbers, other signs): white space, and the end of a text.
+_WHITE, _END = 4, 5
 
 
 def width_of(vocabulary: int) -> int:
@@ -158,64 +157,129 @@ class Reader:
         self.file.close()
 
 
+class Remembered(Generations):
+    """Generations that are asked for many words at once."""
+
+    def get_all(self, words: list) -> list:
+        """The values of words, None for those in neither generation; all others are in the young one afterwards."""
+        if len(self) > self.size:
+            self.old = dict(self)
+            self.clear()
+        found = list(map(self.get, words))
+        if self.old:
+            for n, value in enumerate(found):
+                if value is None and (value := self.old.get(words[n])) is not None:
+                    found[n] = self[words[n]] = value
+        return found
+
+
 class WordEncoder:
-    """Encodes by distinct words; exact for a byte-level tokenizer that cuts text by the usual pattern.
+    """Encodes by distinct pieces; exact for a byte-level tokenizer that cuts text by the usual pattern.
 
-    That pattern starts a new piece at every single space between two characters that are not white
-    space, so a text is cut there; a text with white space in a row is cut by the slower expression.
+    That is ``'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+``: many texts are cut at
+    once by the classes of their characters, each asked of the library when it is first met, the library
+    encodes each distinct piece, and a text's ids are those of its pieces, one after the other. The library takes
+    added tokens such as <|endoftext|> out before it cuts, and so does this class; they must be plain (no stripping).
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        few_threads()
         self.backend = Tokenizer.from_file(path)
-        pieces = self.backend.get_vocab()
-        self.opens = np.zeros(1 + max(pieces.values()), bool)
-        self.opens[[n for p, n in pieces.items() if p.startswith("\u0120")]] = True  # how the file writes a space
-        self.first, self.later = {}, {}
+        self.marks = {t.content: np.array([n], "<u4") for n, t in self.backend.get_added_tokens_decoder().items()}
+        self.mark = re.compile("(" + "|".join(map(re.escape, sorted(self.marks, key=len, reverse=True))) + ")")
+        self.classes, self.known = np.zeros(0x110000, np.uint8), Remembered(CACHE)
+        # The sign by which the model knows each byte, asked of the library by characters that hold every byte of UTF-8.
+        signs = "".join(map(chr, [*range(0x800), *range(0x800, 0xD000, 0x800), 0xD000, 0xE000, 0xF000, *range(0x10000, 0x110000, 0x10000)]))
+        self.letters = np.full(256, ord("\n"), "<u2")  # 255 is in no text, and a line feed is no sign
+        self.letters[list(signs.encode())] = [ord(x) for piece, _ in self.backend.pre_tokenizer.pre_tokenize_str(signs) for x in piece]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        marked = {n: self.mark.split(t) for n, t in enumerate(texts) if any(m in t for m in self.marks)}
+        if marked:  # every second part is a mark
+            parts = iter(self.encode([x for n, t in enumerate(texts) for x in (marked[n][::2] if n in marked else [t])]))
+            return [np.concatenate([self.marks[x] if k % 2 else next(parts) for k, x in enumerate(marked[n])]) if n in marked else next(parts)
+                    for n in range(len(texts))]
         out, at, sizes = [], 0, np.cumsum([len(t) for t in texts])
-        while at < len(texts):  # so many texts at a time that their words fit into memory
+        while at < len(texts):  # so many texts at a time that their pieces fit into memory
             end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + TOGETHER, "right")))
             out += self._encode(texts[at:end])
             at = end
         return out
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        # A printable text has no white space but spaces.
-        odd = lambda t: "  " in t or not t.isprintable() and _DOUBLE.search(t)
-        cut = [_SAFE.split(t) if odd(t) else t.split(" ") for t in texts]
-        self._learn(self.first, {c[0] for c in cut}, "")
-        words = set().union(*cut)
-        if len(self.later) > CACHE:
-            self.later = {w: self.later[w] for w in words.intersection(self.later)}
-        self._learn(self.later, words, " ")
-        first, later = self.first, self.later.__getitem__
-        return [np.frombuffer(first[c[0]] + b"".join(map(later, islice(c, 1, None))), "<u4") for c in cut]
-
-    def _learn(self, known: dict, words: set[str], before: str) -> None:
-        """Encodes new words: those that follow a space by lines of many, the others one by one.
-
-        A line is cut where a piece begins with a space; one with a word that has a space inside gives too many.
-        """
-        if len(known) > CACHE and not before:
-            known.clear()
-        new = list(words.difference(known))
-        plain = [w for w in new if " " not in w] if before else []
-        odd = [w for w in new if " " in w] if before else new
-        lines = [plain[at: at + LINE] for at in range(0, len(plain), LINE)]
-        for line, e in zip(lines, self.backend.encode_batch_fast([before + before.join(x) for x in lines], add_special_tokens=False)):
-            ids = np.array(e.ids, "<u4")
-            starts = np.flatnonzero(self.opens[ids])
-            if len(starts) != len(line):
-                odd += line
-                continue
-            data, bounds = ids.tobytes(), (4 * starts).tolist()
-            known.update(zip(line, [data[x:y] for x, y in zip(bounds, [*bounds[1:], len(data)])]))
-        for word, e in zip(odd, self.backend.encode_batch_fast([before + w for w in odd], add_special_tokens=False)):
-            known[word] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+        joined = "\n".join([*texts, ""])
+        points = np.frombuffer(joined.encode("utf-32-le"), "<u4")
+        ends = np.cumsum([len(t) + 1 for t in texts]) - 1
+        starts = np.flatnonzero(self._cuts(points, ends))
+        firsts = np.searchsorted(starts, ends)  # the pieces that stand for the ends of texts
+        data = joined.encode()
+        places = starts if len(data) == len(points) else np.flatnonzero(np.frombuffer(data, np.int8) >= -64)[starts]  # bytes that begin a character
+        pieces = _binary(np.append(places, len(data)), data).dictionary_encode()
+        bounds, values = _taken(self._learn(pieces.dictionary.to_numpy(zero_copy_only=False).tolist()), pieces.indices)
+        lows = bounds[np.append(0, firsts[:-1] + 1)]
+        return [values[a // 4: b // 4] for a, b in zip(lows.tolist(), bounds[firsts].tolist())]
+
+    def _cuts(self, points: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Whether a piece begins at each code point; each of ``ends``, the places after texts, is a piece."""
+        kinds = self.classes[points]
+        if not kinds.all():
+            self._classify(np.unique(points[kinds == 0]))
+            kinds = self.classes[points]
+        kinds[ends] = _END
+        space, white = points == 0x20, kinds == _WHITE
+        cut = np.ones(len(points) + 3, bool)
+        # A new piece begins where the class changes, but a space belongs to what follows it ...
+        np.not_equal(kinds[1:], kinds[:-1], out=cut[1: len(points)])
+        cut[1: len(points)] &= ~space[:-1]
+        # ... and so does the last character of a run of white space that is followed by something.
+        cut[1: len(points) - 1] |= white[1:-1] & white[:-2] & (kinds[2:] < _WHITE)
+        cut[ends] = cut[ends + 1] = True
+        # An apostrophe that begins a piece takes s, t, m, d, re, ve or ll with it.
+        at = np.flatnonzero((points == 0x27) & cut[: len(points)])
+        after, then = points[at + 1], points[np.minimum(at + 2, len(points) - 1)]
+        short = np.isin(after, [ord(x) for x in "stmd"])
+        long = (np.isin(after, [ord(x) for x in "rv"]) & (then == ord("e"))) | ((after == ord("l")) & (then == ord("l")))
+        cut[at[short | long] + 1] = False
+        cut[at[short] + 2] = cut[at[long] + 3] = True
+        return cut[: len(points)]
+
+    def _classify(self, points: np.ndarray) -> None:
+        """Asks the library which of letters, numbers and other signs, if any, a character goes on with."""
+        cut = self.backend.pre_tokenizer.pre_tokenize_str
+        for c in map(chr, points.tolist()):
+            self.classes[ord(c)] = next((k for k, x in enumerate("a1!", 1) if len(cut(x + c)) == 1), _WHITE)
+
+    def _learn(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of distinct pieces; the library's model encodes those that are not remembered."""
+        found = self.known.get_all(pieces)
+        new = [n for n, ids in enumerate(found) if ids is None]
+        tokenize, ids, ends = self.backend.model.tokenize, [], []
+        spelt = self.letters[np.frombuffer(b"\xff".join([pieces[n] for n in new]), np.uint8)].tobytes().decode("utf-16-le")
+        for piece in spelt.split("\n") if new else []:
+            ids += [x.id for x in tokenize(piece)]
+            ends.append(4 * len(ids))
+        data = np.array(ids, "<u4").tobytes()
+        for n, low, high in zip(new, [0, *ends], ends):
+            found[n] = data[low:high]
+        self.known.update([(pieces[n], found[n]) for n in new if len(pieces[n]) <= LONG])
+        return found
+
+
+def _binary(bounds: np.ndarray, data: bytes):
+    """An Arrow array of the parts of ``data`` between ``bounds``."""
+    import pyarrow as pa
+
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(np.ascontiguousarray(bounds, np.int64)), pa.py_buffer(data)])
+
+
+def _taken(values: list[bytes], indices) -> tuple[np.ndarray, np.ndarray]:
+    """``values`` at ``indices``, one after the other: where each begins and, last, the end (in bytes); all their ids."""
+    import pyarrow as pa
+
+    taken = pa.array(values, pa.large_binary()).take(indices)
+    _, bounds, data = taken.buffers()
+    return np.frombuffer(bounds, np.int64)[: len(taken) + 1], np.frombuffer(data or b"", "<u4")
 
 
 _ENCODERS: dict[str, WordEncoder] = {}

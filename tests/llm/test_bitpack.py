@@ -106,3 +106,33 @@ def test_a_hot_row_is_dealt_out_to_several_files(spark, make):
     rows = [(None, "without an id")] * 40 + [(7, "hot row")] * 400 + [(k, f"row {k}") for k in range(100)]
     files = b.write(make(rows).repartition(5), PATH, 50257, work_dir(spark, "hot"))
     assert files.agg({"n_docs": "max"}).first()[0] < 300 and got(b.read(files)) == expected(rows)
+
+
+def remembered(encoder):
+    return sum(len(x) for x in vars(encoder).values() if isinstance(x, dict))
+
+
+def test_words_that_differ_in_their_signs_are_encoded_by_the_same_pieces():
+    """40,000 distinct words of 400 pieces: the library is asked for the pieces."""
+    one = b.WordEncoder(PATH)
+    texts = [" ".join(f"{'abcdefghij'[k % 10] * (k // 10 + 1)}{'!#$%&*+,-/'[n % 10] * (n // 10 + 1)}" for k in range(200)) for n in range(200)]
+    assert [x.tolist() for x in one.encode(texts)] == [plain(t)[:-1] for t in texts]
+    assert remembered(one) < 1000
+
+
+PARTS = ["'", "'s", "'re", "'LL", "’s", " ", "  ", "\n", "\r\n", "\xa0", " ", "\x1c", "\x85", "a", "Zé", "中", "Ⅷ", "²", "7", "_", "!", "́", "😀", "\xff", "<|endoftext|>"]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(PARTS), max_size=9).map("".join), max_size=6))
+def test_many_texts_at_once_are_cut_as_the_library_cuts_each(texts):
+    assert [x.tolist() for x in b_encoder().encode(texts)] == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_forgotten_and_long_pieces(monkeypatch):
+    monkeypatch.setattr(b, "CACHE", 20)
+    monkeypatch.setattr(b, "TOGETHER", 300)
+    one = b.WordEncoder(PATH)
+    texts = [f"word{k % 60} é{'x' * k}\n{k}. " for k in range(300)] * 2
+    assert [x.tolist() for x in one.encode(texts)] == [plain(t)[:-1] for t in texts]
+    assert all(len(p) <= b.LONG for p in one.known) and remembered(one) < 300
