@@ -111,6 +111,30 @@ def test_bm25_top_k_over_many_blocks_makes_no_row_per_pair(spark):
     assert joins and all("qid" in x for x in joins), joins  # no join by term
 
 
+def test_bm25_scores_only_documents_that_can_reach_the_floor(spark, monkeypatch):
+    """The k-th best of the first documents is a floor: blocks send on few others, and the best are those of all pairs."""
+    monkeypatch.setattr(RT, "BLOCK_POSTINGS", 400)
+    rnd = random.Random(7)
+    words = [f"w{i}" for i in range(400)]
+    odds = [1 / (i + 3) for i in range(400)]
+    docs = [(i, "the " + " ".join(rnd.choices(words, odds, k=rnd.randrange(5, 60)))) for i in range(900)] + [(900 + i, "the " * 300 + f"w{i}") for i in range(9)]
+    questions = [(i, "The " + " ".join(rnd.choices(words, odds, k=rnd.randrange(1, 25)))) for i in range(40)]
+    questions += [(50, "the"), (51, "the w0"), (52, "w399 w398"), (53, " ".join(words)), (54, "unknown"), (55, docs[5][1])]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    q = spark.createDataFrame(questions, "conv_id bigint, q string")
+    want = {x: v for x, v in _bm25_python(docs, questions, 5).items() if v}
+    for steps in (RT.STEPS, 0.3):  # few steps: more documents are scored, the best stay
+        monkeypatch.setattr(RT, "STEPS", steps)
+        got = {}
+        for r in RT.kb_topk(d, q).orderBy("conv_id", "rank").collect():
+            got.setdefault(r.conv_id, []).append((r.doc_id, r.score))
+        assert {x: [d for d, _ in v] for x, v in got.items()} == {x: [d for d, _ in v] for x, v in want.items()}
+        assert all(abs(a[1] - b[1]) < 2e-6 for x in want for a, b in zip(got[x], want[x]))
+    asked, best = RT.bm25_best(d, q, 5)
+    assert spark.sparkContext.defaultParallelism >= 2 and asked.count() == len(want)
+    assert best.count() < 150 * len(want), best.count()  # 5 of each question and block were more
+
+
 def test_bm25_of_repeated_and_null_keys(spark):
     """Rows of one doc_id are one document, rows of one question key one question, asked as often as it comes."""
     docs = [(1, "red bolt"), (1, "red red nut"), (None, "nut bolt"), (None, "bolt"), (2, None), (3, "")]
